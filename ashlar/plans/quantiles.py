@@ -19,13 +19,18 @@ def exact_percentiles(
     keys: Sequence[str],
     value: str,
     probs: Mapping[str, float],
+    weight: Column | None = None,
     bins: int = 64,
 ) -> DataFrame:
-    """One row per group: ``n`` (non-null values) and one column per entry of ``probs``."""
+    """One row per group: ``n`` (non-null values) and one column per entry of ``probs``.
+
+    ``weight`` counts a row several times (a whole number).
+    """
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.sum(F.lit(1) if weight is None else weight).cast("bigint").alias("_c"))
+        .filter(F.col("_c") > 0)
     )
     cuts = [i / bins for i in range(1, bins)]
     sketch = counts.groupBy(*keys).agg(F.percentile_approx("_v", cuts, 1000).alias("_cuts"))
