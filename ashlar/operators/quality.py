@@ -213,8 +213,8 @@ def spikes(buckets: DataFrame, seconds: int, n: int, ratio: float) -> DataFrame:
     """
     index = F.floor(F.unix_seconds(F.col("bucket").cast("timestamp")) / seconds)
     w = Window.partitionBy("key").orderBy("_i").rangeBetween(-n, -1)
-    trail = buckets.withColumn("_i", index).withColumn("trailing", F.coalesce(F.sum("value").over(w), F.lit(0)) / n)
-    return trail.filter(F.col("value") > ratio * F.col("trailing")).drop("_i")
+    trail = buckets.withColumn("_i", index).withColumn("trailing_mean", F.coalesce(F.sum("value").over(w), F.lit(0)) / n)
+    return trail.filter(F.col("value") > ratio * F.col("trailing_mean")).drop("_i")
 
 
 def peak_to_mean(buckets: DataFrame) -> DataFrame:

@@ -439,7 +439,7 @@ def c24(t):
     "c25_cost_cliffs",
     """
 WITH d AS (SELECT o_orderstatus AS system, quantile_cont(o_totalprice, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS q FROM orders GROUP BY 1),
-r AS (SELECT system, len(list_filter(q, x -> x < o_totalprice)) AS level, o_totalprice, o_custkey FROM orders JOIN d ON system = o_orderstatus),
+r AS (SELECT system, len(list_filter(q, lambda x: x < o_totalprice)) AS level, o_totalprice, o_custkey FROM orders JOIN d ON system = o_orderstatus),
 l AS (
   SELECT system, level::INTEGER AS level, count(DISTINCT o_custkey) AS load, count(*)::DOUBLE AS build, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS run
   FROM r GROUP BY ALL),
@@ -523,12 +523,12 @@ HOURLY = "b AS (SELECT event_type AS key, time_bucket(INTERVAL 1 HOUR, ts) AS bu
     f"""
 WITH {HOURLY},
 t AS (
-  SELECT *, coalesce(sum(value) OVER (PARTITION BY key ORDER BY bucket RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING), 0) / 24 AS trailing FROM b)
-SELECT key, bucket, value, round(trailing, 6) AS trailing FROM t WHERE value > 2 * trailing""",
+  SELECT *, coalesce(sum(value) OVER (PARTITION BY key ORDER BY bucket RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING), 0) / 24 AS trailing_mean FROM b)
+SELECT key, bucket, value, round(trailing_mean, 6) AS trailing_mean FROM t WHERE value > 2 * trailing_mean""",
 )
 def c28(t):
     buckets = ops.bucket_counts(t.events.withColumnRenamed("event_type", "key"), ["key"], "1 hour")
-    return ops.spikes(buckets, 3600, 24, 2.0).withColumn("trailing", F.round("trailing", 6))
+    return ops.spikes(buckets, 3600, 24, 2.0).withColumn("trailing_mean", F.round("trailing_mean", 6))
 
 
 @query(
