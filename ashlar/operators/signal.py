@@ -172,21 +172,25 @@ def ab_compare(chain_a: DataFrame, chain_b: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, kept.alias("kept_in"))
 
 
-def pass_progress(status_log: DataFrame, passes: int) -> DataFrame:
-    """status_log(job, pass, state, ts, seq) → per job: running pass n of N, its state, remaining seconds.
-
-    The estimate is the mean duration of finished passes times the passes left.
-    """
+def pass_states(status_log: DataFrame) -> DataFrame:
+    """status_log(job, pass, state, ts, seq) → latest state, start and end per job and pass."""
     state, ts = F.col("state"), F.col("ts")
-    per_pass = status_log.groupBy("job", "pass").agg(
+    return status_log.groupBy("job", "pass").agg(
         F.max_by("state", F.struct("ts", "seq")).alias("state"),
         F.min(F.when(state == "Processing", ts)).alias("started"),
         F.max(F.when(state == "Done", ts)).alias("finished"),
     )
+
+
+def job_progress(states: DataFrame, passes: int) -> DataFrame:
+    """Per job: running pass n of N, its state, remaining seconds.
+
+    The estimate is the mean duration of finished passes times the passes left.
+    """
     done = F.col("state") == "Done"
     took = F.when(done & (F.col("finished") > F.col("started")), seconds_between(F.col("started"), F.col("finished")))
     begun = F.when(F.col("state") != "Waiting", F.col("pass"))
-    per_job = per_pass.groupBy("job").agg(
+    per_job = states.groupBy("job").agg(
         F.max(begun).alias("pass"),
         F.max_by("state", begun).alias("state"),
         F.count_if(done).alias("finished"),
@@ -196,6 +200,10 @@ def pass_progress(status_log: DataFrame, passes: int) -> DataFrame:
     return per_job.select("job", "pass", F.lit(passes).alias("passes"), "state", "finished", (F.col("_mean") * left).alias("remaining_s"))
 
 
+def pass_progress(status_log: DataFrame, passes: int) -> DataFrame:
+    return job_progress(pass_states(status_log), passes)
+
+
 def separation_quality(reference: DataFrame, estimate: DataFrame) -> DataFrame:
     """reference(track, i, s), estimate(track, i, e) → signal-to-distortion ratio in dB; null without distortion."""
     pairs = reference.join(estimate, ["track", "i"])
