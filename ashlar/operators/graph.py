@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ashlar.functions.lint import blank, broken_rules, names_where
 from ashlar.functions.levels import seconds_between
-from ashlar.plans.loops import cut
+from ashlar.plans.loops import Workspace
 from ashlar.plans.numbering import number_rows
 from ashlar.plans.scans import running_sum, scan
 
@@ -104,24 +104,25 @@ def _on_both_sides(edges: DataFrame) -> DataFrame:
     return edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst")
 
 
-def _reach_labels(edges: DataFrame) -> DataFrame:
+def _reach_labels(edges: DataFrame, space: Workspace) -> DataFrame:
     """(node, f, b): the smallest node that reaches it and the smallest it reaches (itself included).
 
     Only nodes whose labels fell in the last round send messages.
     """
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    labels = cut(nodes.select("node", F.col("node").alias("f"), F.col("node").alias("b"), F.lit(True).alias("fresh")))
+    labels = nodes.select("node", F.col("node").alias("f"), F.col("node").alias("b"), F.lit(True).alias("fresh"))
+    labels = space.state(labels, "labels")
     while True:
         sender = labels.filter("fresh")
         ahead = sender.select(F.col("node").alias("src"), "f").join(edges, "src").select(F.col("dst").alias("node"), "f")
         behind = sender.select(F.col("node").alias("dst"), "b").join(edges, "dst").select(F.col("src").alias("node"), "b")
         own = labels.select("node", "f", "b", F.col("f").alias("_f"), F.col("b").alias("_b"))
         votes = own.unionByName(ahead, allowMissingColumns=True).unionByName(behind, allowMissingColumns=True)
-        labels = cut(
-            votes.groupBy("node")
-            .agg(F.min("f").alias("f"), F.min("b").alias("b"), F.max("_f").alias("_f"), F.max("_b").alias("_b"))
-            .select("node", "f", "b", ((F.col("f") < F.col("_f")) | (F.col("b") < F.col("_b"))).alias("fresh"))
+        lowest = votes.groupBy("node").agg(
+            F.min("f").alias("f"), F.min("b").alias("b"), F.max("_f").alias("_f"), F.max("_b").alias("_b")
         )
+        fell = (F.col("f") < F.col("_f")) | (F.col("b") < F.col("_b"))
+        labels = space.state(lowest.select("node", "f", "b", fell.alias("fresh")), "labels")
         if labels.filter("fresh").isEmpty():
             return labels.drop("fresh")
 
@@ -133,16 +134,17 @@ def cycle_members(edges: DataFrame, trims: int = 3) -> DataFrame:
     f = b names a finished group; an edge whose ends differ in f or b lies on no cycle. The
     closure is never built. Trimming loose ends first only saves work.
     """
-    pairs = cut(edges.select("src", "dst").distinct())
+    space = Workspace(edges.sparkSession)
+    pairs = space.keep(edges.select("src", "dst").distinct())
     loops = pairs.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("node"))
     live, groups = pairs, []
     while True:
         for _ in range(trims):
             live = _on_both_sides(live)
-        live = cut(live)
+        live = space.state(live, "live")
         if live.isEmpty():
             break
-        labels = _reach_labels(live)
+        labels = space.keep(_reach_labels(live, space))
         groups.append(labels.filter(F.col("f") == F.col("b")).select("node", F.col("f").alias("grp")))
         open_ = labels.filter(F.col("f") != F.col("b"))
         src = open_.select(F.col("node").alias("src"), F.col("f").alias("_sf"), F.col("b").alias("_sb"))
@@ -160,46 +162,63 @@ def cycle_members(edges: DataFrame, trims: int = 3) -> DataFrame:
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """seeds(node) → (seed, node, hops): everything that depends on a seed within ``depth`` hops."""
-    back = cut(edges.select(F.col("src").alias("_next"), F.col("dst").alias("node")).distinct())
+    space = Workspace(edges.sparkSession)
+    back = space.keep(edges.select(F.col("src").alias("_next"), F.col("dst").alias("node")).distinct())
     start = seeds.select("node").distinct()
-    frontier = cut(start.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hops")))
+    frontier = space.keep(start.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hops")))
     rounds = [frontier]
     for hop in range(1, depth + 1):
         reached = frontier.join(back, "node").select("seed", F.col("_next").alias("node")).distinct()
         seen = reduce(DataFrame.unionByName, rounds)
-        frontier = cut(reached.join(seen, ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        frontier = space.keep(reached.join(seen, ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
         rounds.append(frontier)
     return reduce(DataFrame.unionByName, rounds).filter(F.col("hops") > 0)
 
 
+def _roots(parents: DataFrame, space: Workspace) -> DataFrame:
+    """parents(node, up) with up <= node, followed to the end by pointer jumping."""
+    parents = space.state(parents, "parents")
+    while True:
+        above = parents.select(F.col("node").alias("_n"), F.col("up").alias("_up"))
+        jumped = parents.join(above, F.col("up") == F.col("_n"))
+        parents = space.state(
+            jumped.select("node", F.col("_up").alias("up"), (F.col("_up") < F.col("up")).alias("_moved")), "parents"
+        )
+        if parents.filter("_moved").isEmpty():
+            return parents.select("node", "up")
+        parents = parents.select("node", "up")
+
+
 def failure_domains(edges: DataFrame) -> DataFrame:
     """(node, domain): connected component of the undirected graph, named by its smallest node.
 
-    Each round takes the smallest label among neighbours, then jumps to the label's own label, so
-    long chains shrink by more than one hop. Minima combine on the map side, so a node with very
-    many edges costs no task more than its share.
+    Every round points each node at its smallest neighbour, follows the pointers to their ends and
+    contracts the edges onto those ends. The edge table shrinks fast, and the smallest node of a
+    component is never contracted away. Minima combine on the map side, so a node with very many
+    edges costs no task more than its share.
     """
-    pairs = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct()
-    both = cut(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    isolated = edges.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("node"))
-    nodes = both.select(F.col("src").alias("node")).unionByName(isolated).distinct()
-    labels = cut(nodes.select("node", F.col("node").alias("domain")))
-    while True:
-        heard = both.join(labels.select(F.col("node").alias("dst"), "domain"), "dst")
-        votes = labels.select("node", "domain", F.col("domain").alias("_old")).unionByName(
-            heard.select(F.col("src").alias("node"), "domain"), allowMissingColumns=True
-        )
-        lowest = cut(votes.groupBy("node").agg(F.min("domain").alias("domain"), F.max("_old").alias("_old")))
-        root = lowest.select(F.col("node").alias("_root"), F.col("domain").alias("_up"))
-        jumped = lowest.join(root, F.col("domain") == F.col("_root")).select(
-            "node", F.col("_up").alias("domain"), (F.col("_up") < F.col("_old")).alias("_moved")
+    space = Workspace(edges.sparkSession)
+    pairs = space.keep(edges.select("src", "dst").distinct())
+    ends = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node")))
+    domains = ends.distinct().withColumn("domain", F.col("node"))
+    live = pairs.filter(F.col("src") != F.col("dst"))
+    while not live.isEmpty():
+        sides = F.array(
+            F.struct(F.col("src").alias("node"), F.least("src", "dst").alias("up")),
+            F.struct(F.col("dst").alias("node"), F.least("src", "dst").alias("up")),
         )
-        jumped = cut(jumped)
-        labels = jumped.select("node", "domain")
-        if jumped.filter("_moved").isEmpty():
-            return labels
+        parents = live.select(F.inline(sides)).groupBy("node").agg(F.min("up").alias("up"))
+        roots = space.keep(_roots(parents, space))
+        src = roots.select(F.col("node").alias("src"), F.col("up").alias("_s"))
+        dst = roots.select(F.col("node").alias("dst"), F.col("up").alias("_d"))
+        contracted = live.join(src, "src").join(dst, "dst").filter(F.col("_s") != F.col("_d"))
+        low, high = F.least("_s", "_d").alias("src"), F.greatest("_s", "_d").alias("dst")
+        live = space.state(contracted.select(low, high).distinct(), "live")
+        named = roots.select(F.col("node").alias("domain"), F.col("up").alias("_up"))
+        domains = domains.join(named, "domain", "left").select("node", F.coalesce("_up", "domain").alias("domain"))
+    return domains
 
 
 # -- rules on edges and accesses ---------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ashlar.functions.lint import blank, broken_rules
-from ashlar.plans.loops import cut
+from ashlar.plans.loops import Workspace
 from ashlar.plans.scans import last, scan
 
 # Record format and domains.
@@ -77,7 +77,8 @@ def resolve_supersession(records: DataFrame) -> DataFrame:
         F.when(successor.isNotNull(), 1).otherwise(0).cast("bigint").alias("hops"),
         successor.isNull().alias("done"),
     )
-    state = cut(nodes)
+    space = Workspace(records.sparkSession)
+    state = space.state(nodes, "state")
     total = state.count()
     rounds = 0
     while 2**rounds <= 2 * total:
@@ -86,13 +87,14 @@ def resolve_supersession(records: DataFrame) -> DataFrame:
         )
         moved = state.join(step, F.col("ptr") == F.col("_n"), "left")
         # A pointer without a record of its own ends there; a finished pointer finishes this row.
-        state = cut(
+        state = space.state(
             moved.select(
                 "num",
                 F.coalesce("_p", "ptr").alias("ptr"),
                 F.when(F.col("done"), F.col("hops")).otherwise(F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"),
                 (F.col("done") | F.col("_n").isNull() | F.col("_d")).alias("done"),
-            )
+            ),
+            "state",
         )
         rounds += 1
         if state.filter(~F.col("done")).isEmpty():

@@ -1,8 +1,13 @@
-"""Lineage cuts for driver loops, on storage every executor can reach."""
+"""Lineage cuts for driver loops, on storage every executor can reach.
+
+A cut writes a table and reads it back. Unlike a cached or locally stored result it survives lost
+executors, the next plan starts from files with known sizes, and nothing of the old plan is kept.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,20 +16,41 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``. Only a local session may fall back to a temporary folder."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
     if configured:
-        if current is None:
-            sc.setCheckpointDir(configured)
-        return configured
-    if current is None:
+        return configured.rstrip("/")
+    if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ashlar-"))
-        current = sc.getCheckpointDir()
-    return current
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A fresh folder on the storage all executors share."""
+    return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+
+
+class Workspace:
+    """Tables of one loop. State that each round replaces alternates between two slots, so a loop
+    holds at most two copies of it however long it runs."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.root = new_folder(spark)
+        self.rounds: dict[str, int] = {}
+        self.kept = 0
+
+    def _store(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
+    def state(self, df: DataFrame, name: str) -> DataFrame:
+        """The next value of a loop variable; the value before the last one is overwritten."""
+        turn = self.rounds.get(name, 0)
+        self.rounds[name] = turn + 1
+        return self._store(df, f"{name}-{turn % 2}")
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and store it, so the next round starts from files."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A table that stays."""
+        self.kept += 1
+        return self._store(df, f"kept-{self.kept}")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.plans.loops import cut
+from ashlar.plans.loops import Workspace
 from ashlar.plans.scans import running_sum, scan
 
 
@@ -17,7 +17,7 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     Rows are range-partitioned; the partition number is stored before use, so a lost executor
     cannot change it between the two passes.
     """
-    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ranged = Workspace(df.sparkSession).keep(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     counted = scan(
         ranged.withColumn("_all", F.lit(0)), ["_all"], order, F.col("_range"), {name: running_sum(F.lit(1).cast("bigint"))}
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ashlar.plans.loops import shared_dir
+from ashlar.plans.loops import new_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -34,11 +33,6 @@ def event_stream(
     return reader.parquet(folder).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A fresh folder on the storage all executors share."""
-    return f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
-
-
 def _settings(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # Sessions merge before the shuffle, so a busy key sends sessions and not rows.

@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ashlar.sources.streams import new_folder, run_batches
+from ashlar.plans.loops import new_folder
+from ashlar.sources.streams import run_batches
 
 
 def latest_by(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

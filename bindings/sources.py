@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 from ashlar.operators import routing, signal
 from ashlar.sources.artifacts import read_artifacts, write_artifacts
 from ashlar.sources.records import read_records, write_records
-from ashlar.sources.streams import event_stream, new_folder, run_available
+from ashlar.plans.loops import new_folder
+from ashlar.sources.streams import event_stream, run_available
 from ashlar.sources.upsert import upsert_stream
 from ashlar.streaming import operators as ops
 import bindings.signal  # noqa: F401  its SQL is reused below
