@@ -111,8 +111,8 @@ def _reach_labels(edges: DataFrame, space: Workspace) -> DataFrame:
     """
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     labels = nodes.select("node", F.col("node").alias("f"), F.col("node").alias("b"), F.lit(True).alias("fresh"))
-    labels = space.state(labels, "labels")
-    while True:
+    labels, moved = space.state(labels, "labels")
+    while moved:
         sender = labels.filter("fresh")
         ahead = sender.select(F.col("node").alias("src"), "f").join(edges, "src").select(F.col("dst").alias("node"), "f")
         behind = sender.select(F.col("node").alias("dst"), "b").join(edges, "dst").select(F.col("src").alias("node"), "b")
@@ -122,9 +122,8 @@ def _reach_labels(edges: DataFrame, space: Workspace) -> DataFrame:
             F.min("f").alias("f"), F.min("b").alias("b"), F.max("_f").alias("_f"), F.max("_b").alias("_b")
         )
         fell = (F.col("f") < F.col("_f")) | (F.col("b") < F.col("_b"))
-        labels = space.state(lowest.select("node", "f", "b", fell.alias("fresh")), "labels")
-        if labels.filter("fresh").isEmpty():
-            return labels.drop("fresh")
+        labels, moved = space.state(lowest.select("node", "f", "b", fell.alias("fresh")), "labels", F.col("fresh"))
+    return labels.drop("fresh")
 
 
 def cycle_members(edges: DataFrame, trims: int = 3) -> DataFrame:
@@ -141,8 +140,8 @@ def cycle_members(edges: DataFrame, trims: int = 3) -> DataFrame:
     while True:
         for _ in range(trims):
             live = _on_both_sides(live)
-        live = space.state(live, "live")
-        if live.isEmpty():
+        live, edges_left = space.state(live, "live")
+        if not edges_left:
             break
         labels = space.keep(_reach_labels(live, space))
         groups.append(labels.filter(F.col("f") == F.col("b")).select("node", F.col("f").alias("grp")))
@@ -179,16 +178,14 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 def _roots(parents: DataFrame, space: Workspace) -> DataFrame:
     """parents(node, up) with up <= node, followed to the end by pointer jumping."""
-    parents = space.state(parents, "parents")
-    while True:
+    parents, moved = space.state(parents, "parents")
+    while moved:
         above = parents.select(F.col("node").alias("_n"), F.col("up").alias("_up"))
         jumped = parents.join(above, F.col("up") == F.col("_n"))
-        parents = space.state(
-            jumped.select("node", F.col("_up").alias("up"), (F.col("_up") < F.col("up")).alias("_moved")), "parents"
-        )
-        if parents.filter("_moved").isEmpty():
-            return parents.select("node", "up")
+        higher = (F.col("_up") < F.col("up")).alias("_moved")
+        parents, moved = space.state(jumped.select("node", F.col("_up").alias("up"), higher), "parents", F.col("_moved"))
         parents = parents.select("node", "up")
+    return parents
 
 
 def failure_domains(edges: DataFrame) -> DataFrame:
@@ -203,8 +200,8 @@ def failure_domains(edges: DataFrame) -> DataFrame:
     pairs = space.keep(edges.select("src", "dst").distinct())
     ends = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node")))
     domains = ends.distinct().withColumn("domain", F.col("node"))
-    live = pairs.filter(F.col("src") != F.col("dst"))
-    while not live.isEmpty():
+    live, edges_left = pairs.filter(F.col("src") != F.col("dst")), 1
+    while edges_left:
         sides = F.array(
             F.struct(F.col("src").alias("node"), F.least("src", "dst").alias("up")),
             F.struct(F.col("dst").alias("node"), F.least("src", "dst").alias("up")),
@@ -215,7 +212,7 @@ def failure_domains(edges: DataFrame) -> DataFrame:
         dst = roots.select(F.col("node").alias("dst"), F.col("up").alias("_d"))
         contracted = live.join(src, "src").join(dst, "dst").filter(F.col("_s") != F.col("_d"))
         low, high = F.least("_s", "_d").alias("src"), F.greatest("_s", "_d").alias("dst")
-        live = space.state(contracted.select(low, high).distinct(), "live")
+        live, edges_left = space.state(contracted.select(low, high).distinct(), "live")
         named = roots.select(F.col("node").alias("domain"), F.col("up").alias("_up"))
         domains = domains.join(named, "domain", "left").select("node", F.coalesce("_up", "domain").alias("domain"))
     return domains

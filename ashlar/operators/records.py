@@ -78,16 +78,15 @@ def resolve_supersession(records: DataFrame) -> DataFrame:
         successor.isNull().alias("done"),
     )
     space = Workspace(records.sparkSession)
-    state = space.state(nodes, "state")
-    total = state.count()
-    rounds = 0
-    while 2**rounds <= 2 * total:
+    state, total = space.state(nodes, "state")
+    rounds, open_ = 0, total
+    while open_ and 2**rounds <= 2 * total:
         step = state.select(
             F.col("num").alias("_n"), F.col("ptr").alias("_p"), F.col("hops").alias("_h"), F.col("done").alias("_d")
         )
         moved = state.join(step, F.col("ptr") == F.col("_n"), "left")
         # A pointer without a record of its own ends there; a finished pointer finishes this row.
-        state = space.state(
+        state, open_ = space.state(
             moved.select(
                 "num",
                 F.coalesce("_p", "ptr").alias("ptr"),
@@ -95,10 +94,9 @@ def resolve_supersession(records: DataFrame) -> DataFrame:
                 (F.col("done") | F.col("_n").isNull() | F.col("_d")).alias("done"),
             ),
             "state",
+            ~F.col("done"),
         )
         rounds += 1
-        if state.filter(~F.col("done")).isEmpty():
-            break
     known = records.select(F.col("num").alias("_n"), F.lit(True).alias("_known"))
     return state.join(known, F.col("ptr") == F.col("_n"), "left").select(
         "num",

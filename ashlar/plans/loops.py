@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,11 +45,18 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    def state(self, df: DataFrame, name: str) -> DataFrame:
-        """The next value of a loop variable; the value before the last one is overwritten."""
+    def state(self, df: DataFrame, name: str, where: Column | None = None) -> tuple[DataFrame, int]:
+        """The next value of a loop variable, and how many of its rows meet ``where`` (default: all).
+
+        The value before the last one is overwritten. The count is observed while writing, so a
+        stop test costs no job of its own.
+        """
         turn = self.rounds.get(name, 0)
         self.rounds[name] = turn + 1
-        return self._store(df, f"{name}-{turn % 2}")
+        seen = Observation(f"{name}-{turn}-{uuid.uuid4().hex}")
+        counted = df.observe(seen, F.count_if(F.lit(True) if where is None else where).alias("n"))
+        table = self._store(counted, f"{name}-{turn % 2}")
+        return table, seen.get["n"]
 
     def keep(self, df: DataFrame) -> DataFrame:
         """A table that stays."""
