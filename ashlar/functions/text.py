@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,10 +28,28 @@ SECRET_PATTERN = (
 )
 
 
+# Lower-case strings of which every match of the pattern contains at least one.
+DATA_CLASS_HINTS = {
+    "mail": ["@"],
+    "payment_term": ["iban", "invoice", "credit card", "payment"],
+    "health_term": ["diagnosis", "patient", "prescription", "allergy"],
+}
+SECRET_HINTS = ["key", "token", "secret", "passw", "akia"]
+DIGITS = "[0-9]{3}"
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case words of a text, in order, blanks dropped."""
-    return F.filter(F.split(F.lower(text), TOKEN_SEPARATOR), lambda t: t != "")
+    """Lower-case words of a text in order; the first or last may be blank."""
+    return F.split(F.lower(text), TOKEN_SEPARATOR)
+
+
+def may_match(text: Column, hints: Sequence[str]) -> Column:
+    """Cheap necessary condition for a pattern whose matches all contain one of the hints."""
+    lowered = F.lower(text)
+    return reduce(Column.__or__, [F.contains(lowered, F.lit(h)) for h in hints])
 
 
-def count_matches(text: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("bigint")
+def count_matches(text: Column, pattern: str, hints: Sequence[str] = ()) -> Column:
+    """Matches in the whole text. Texts without a hint (default: three digits in a row) skip the pattern."""
+    possible = may_match(text, hints) if hints else text.rlike(DIGITS)
+    return F.when(possible, F.regexp_count(text, F.lit(pattern))).otherwise(0).cast("bigint")

@@ -38,8 +38,10 @@ def undefined_terms(docs: DataFrame, vocab: DataFrame, ledger: DataFrame) -> Dat
     it combines on the map side, so a frequent word is not one hot key of raw tokens.
     """
     watched = vocab.select("term").distinct().join(ledger.select("term"), "term", "left_anti")
-    hits = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term")
-    return hits.agg(F.count(F.lit(1)).alias("hits")).join(watched, "term", "left_semi").select("doc_id", "term", "hits")
+    words = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).filter(F.col("term") != "")
+    return words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("hits")).join(watched, "term", "left_semi").select(
+        "doc_id", "term", "hits"
+    )
 
 
 def extract_measures(rows: DataFrame, text: str) -> DataFrame:

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ashlar.functions.levels import micros, seconds_between
-from ashlar.functions.text import DATA_CLASS_PATTERNS, SECRET_PATTERN, count_matches
+from ashlar.functions.text import (
+    DATA_CLASS_HINTS,
+    DATA_CLASS_PATTERNS,
+    SECRET_HINTS,
+    SECRET_PATTERN,
+    count_matches,
+    may_match,
+)
 from ashlar.plans.quantiles import exact_percentiles
 from ashlar.plans.scans import last, scan
 
@@ -195,13 +203,13 @@ def hot_spots(events: DataFrame, k: int) -> DataFrame:
     return top.join(totals, "grp").select("grp", "key", "rank", "hits", (F.col("hits") / F.col("_all")).alias("share"))
 
 
-def heavy_keys_approx(events: DataFrame, k: int = 20, max_items: int = 10000) -> DataFrame:
+def heavy_keys_approx(events: DataFrame, k: int = 20, max_items: int = 100_000) -> DataFrame:
     """Scale variant of :func:`hot_spots`: distinct and frequent keys per group from sketches of fixed size."""
     out = events.groupBy("grp").agg(
         F.approx_count_distinct("key", 0.01).alias("distinct_keys"),
         F.expr(f"approx_top_k(key, {k}, {max_items})").alias("_top"),
     )
-    return out.select("grp", "distinct_keys", F.explode("_top").alias("_t")).select(
+    return out.select("grp", "distinct_keys", F.explode_outer("_top").alias("_t")).select(
         "grp", "distinct_keys", F.col("_t.item").alias("key"), F.col("_t.count").alias("hits")
     )
 
@@ -372,14 +380,15 @@ def staleness_audit(reads: DataFrame, refreshes: DataFrame, writes: DataFrame, b
     return seen.filter(side == 2).select("key", "id", "ts", age.alias("age_s"), stale.alias("stale"))
 
 
-def classify_text(docs: DataFrame, text: str = "text", patterns: Mapping[str, str] = DATA_CLASS_PATTERNS) -> DataFrame:
+def classify_text(docs: DataFrame, text: str = "text") -> DataFrame:
     """Hits per data class over the whole text; the highest class with a hit wins."""
-    hits = {
-        name: sum((count_matches(F.col(text), patterns[p]) for p in votes[1:]), count_matches(F.col(text), patterns[votes[0]]))
-        for name, votes in DATA_CLASSES.items()
-    }
+
+    def hits(pattern: str) -> Column:
+        return count_matches(F.col(text), DATA_CLASS_PATTERNS[pattern], DATA_CLASS_HINTS.get(pattern, ()))
+
+    counts = {name: reduce(Column.__add__, map(hits, votes)) for name, votes in DATA_CLASSES.items()}
     winner = F.coalesce(*[F.when(F.col(name) > 0, F.lit(name)) for name in reversed(DATA_CLASSES)], F.lit("none"))
-    return docs.withColumns(hits).withColumn("class", winner)
+    return docs.withColumns(counts).withColumn("class", winner)
 
 
 def placement_check(classified: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -387,17 +396,18 @@ def placement_check(classified: DataFrame, allowed: DataFrame) -> DataFrame:
     return classified.filter(F.col("class") != "none").join(allowed, ["class", "store"], "left_anti")
 
 
-def secret_scan(docs: DataFrame, text: str = "text", pattern: str = SECRET_PATTERN) -> DataFrame:
+def secret_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents with credential-shaped strings: hits, digest of the first one, redacted text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(SECRET_PATTERN), F.lit(0))
     return (
-        docs.withColumn("_found", found)
+        docs.filter(may_match(F.col(text), SECRET_HINTS))
+        .withColumn("_found", found)
         .filter(F.size("_found") > 0)
         .withColumns(
             {
                 "hits": F.size("_found").cast("bigint"),
                 "digest": F.sha2(F.element_at("_found", 1), 256),
-                text: F.regexp_replace(text, pattern, "[REDACTED]"),
+                text: F.regexp_replace(text, SECRET_PATTERN, "[REDACTED]"),
             }
         )
         .drop("_found")

@@ -24,7 +24,7 @@ def exact_percentiles(
 ) -> DataFrame:
     """One row per group: ``n`` (non-null values) and one column per entry of ``probs``.
 
-    ``weight`` counts a row several times (a whole number).
+    ``weight`` counts a row several times (a whole number); ``bins`` is a power of two.
     """
     counts = (
         df.filter(F.col(value).isNotNull())
@@ -34,9 +34,7 @@ def exact_percentiles(
     )
     cuts = [i / bins for i in range(1, bins)]
     sketch = counts.groupBy(*keys).agg(F.percentile_approx("_v", cuts, 1000).alias("_cuts"))
-    binned = _join(counts, sketch, keys).select(
-        *keys, "_v", "_c", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_bin")
-    )
+    binned = _binned(_join(counts, sketch, keys), bins).select(*keys, "_v", "_c", "_bin")
     by_key = Window.partitionBy(*keys)
     upto = by_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     edges = (
@@ -77,6 +75,16 @@ def exact_percentiles(
     )
 
 
+def _binned(df: DataFrame, bins: int) -> DataFrame:
+    """``_bin`` = number of ``_cuts`` below ``_v``, by binary search in plain expressions."""
+    df, step = df.withColumn("_bin", F.lit(0)), bins // 2
+    while step:
+        above = F.try_element_at("_cuts", F.col("_bin") + step) < F.col("_v")
+        df = df.withColumn("_bin", F.when(above, F.col("_bin") + step).otherwise(F.col("_bin")))
+        step //= 2
+    return df
+
+
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join that keeps null group keys, as ``groupBy`` does."""
     named = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
