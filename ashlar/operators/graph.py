@@ -99,8 +99,8 @@ def levels_needed(designs: DataFrame, containers: DataFrame) -> DataFrame:
 
 def _on_both_sides(edges: DataFrame) -> DataFrame:
     """Edges whose source is entered and whose target is left by some edge."""
-    entered = edges.select(F.col("dst").alias("src"))
-    left = edges.select(F.col("src").alias("dst"))
+    entered = edges.select(F.col("dst").alias("src")).distinct()
+    left = edges.select(F.col("src").alias("dst")).distinct()
     return edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst")
 
 
@@ -242,7 +242,9 @@ def shared_tables(writes: DataFrame) -> DataFrame:
 
 def undeclared_dependencies(deps: DataFrame, decisions: DataFrame) -> DataFrame:
     """deps(change, dep) without decisions(dep, num) → stubs (num, dep, first_change) with the next numbers."""
-    missing = deps.join(decisions, "dep", "left_anti").groupBy("dep").agg(F.min("change").alias("first_change"))
+    # One row per dependency before the join, so a dependency of very many changes is no hot key.
+    seen = deps.groupBy("dep").agg(F.min("change").alias("first_change"))
+    missing = seen.join(decisions.select("dep").distinct(), "dep", "left_anti")
     highest = decisions.select(F.coalesce(F.max("num"), F.lit(0)).alias("_top")).scalar()
     numbered = number_rows(missing, ["dep"], "_n")
     return numbered.select((F.col("_n") + highest).alias("num"), "dep", "first_change")

@@ -37,7 +37,7 @@ def undefined_terms(docs: DataFrame, vocab: DataFrame, ledger: DataFrame) -> Dat
     docs(doc_id, text), vocab(term), ledger(term). Counting per (document, term) comes first:
     it combines on the map side, so a frequent word is not one hot key of raw tokens.
     """
-    watched = vocab.select("term").distinct().join(ledger.select("term"), "term", "left_anti")
+    watched = vocab.select("term").distinct().join(ledger.select("term").distinct(), "term", "left_anti")
     words = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).filter(F.col("term") != "")
     return words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("hits")).join(watched, "term", "left_semi").select(
         "doc_id", "term", "hits"

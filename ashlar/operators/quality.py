@@ -453,4 +453,5 @@ def crossing_edges(edges: DataFrame, teams: DataFrame) -> DataFrame:
 
 def skill_gaps(required: DataFrame, present: DataFrame) -> DataFrame:
     """required(team, skill) minus present(team, skill)."""
-    return required.select("team", "skill").distinct().join(present, ["team", "skill"], "left_anti")
+    there = present.select("team", "skill").distinct()
+    return required.select("team", "skill").distinct().join(there, ["team", "skill"], "left_anti")

@@ -139,7 +139,8 @@ def record_lint(
     per_option = options.groupBy("num").agg(
         F.count(F.lit(1)).alias("_options"), F.count_if(~F.col("chosen") & blank(F.col("reason"))).alias("_silent")
     )
-    per_score = scores.join(drivers, ["num", "driver"], "left_anti").groupBy("num").agg(F.count(F.lit(1)).alias("_loose"))
+    named = drivers.select("num", "driver").distinct()
+    per_score = scores.join(named, ["num", "driver"], "left_anti").groupBy("num").agg(F.count(F.lit(1)).alias("_loose"))
     bad_class = F.col("class").isNull() | ~F.col("class").isin(RISK_CLASSES)
     per_risk = risks.groupBy("num").agg(F.count_if(bad_class).alias("_risks"))
     joined = records.join(per_option, "num", "left").join(per_score, "num", "left").join(per_risk, "num", "left")
@@ -167,7 +168,7 @@ def tradeoff_matrix(scores: DataFrame, options: Sequence, by: Sequence[str] = ("
 def rejected_options(options: DataFrame, chosen: DataFrame, reasons: DataFrame) -> DataFrame:
     """Considered options (record, option) minus the chosen ones, each with its reason (null = missing)."""
     key = ["record", "option"]
-    return options.join(chosen, key, "left_anti").join(reasons, key, "left").select(*key, "reason")
+    return options.join(chosen.select(*key).distinct(), key, "left_anti").join(reasons, key, "left").select(*key, "reason")
 
 
 def gate_by_stakes(changes: DataFrame) -> DataFrame:

@@ -150,8 +150,8 @@ def decision_coverage(decisions: DataFrame, stories: DataFrame) -> DataFrame:
     without a story, and stories naming no decision or a superseded one."""
     named = stories.select("story", F.explode_outer("decisions").alias("num"))
     story = stories.schema["story"].dataType
-    uncovered = decisions.filter(F.col("status") == "accepted").join(named, "num", "left_anti")
-    gone = decisions.filter(F.col("status") == "superseded").select("num")
+    uncovered = decisions.filter(F.col("status") == "accepted").join(named.select("num").distinct(), "num", "left_anti")
+    gone = decisions.filter(F.col("status") == "superseded").select("num").distinct()
     return (
         uncovered.select(F.lit("no story").alias("kind"), "num", F.lit(None).cast(story).alias("story"))
         .unionByName(named.filter("num IS NULL").select(F.lit("no decision").alias("kind"), "num", "story"))

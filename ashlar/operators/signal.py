@@ -132,7 +132,8 @@ def mark_duplicates(rows: DataFrame, key: str, text: str) -> DataFrame:
     """``rows`` plus ``duplicate``: the same whole text occurs under a smaller key.
 
     Only digests are grouped, with map-side combine; the kept keys then join back on the unique
-    key, so even a text copied into a third of all rows makes no hot join key.
+    key, so even a text copied into a third of all rows makes no hot join key. Pass a narrow table
+    (key, digest or text, pass conditions): its columns are what the join moves.
     """
     digests = rows.select(key, F.sha2(text, 256).alias("_d"))
     keepers = digests.groupBy("_d").agg(F.min(key).alias(key)).select(key, F.lit(False).alias("_dup"))

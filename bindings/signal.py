@@ -134,10 +134,14 @@ PASSES = ["short", "duplicate", "symbols", "flagged"]
 
 
 def cleaned(t, enabled=tuple(PASSES)):
-    symbols = F.length(F.regexp_replace("text", r"[\p{L}\p{N} \n]", ""))
-    conditions = [F.length("text") < 200, F.col("duplicate"), symbols > 0.1 * F.length("text"), F.col("toxic") == 1]
-    docs = t.documents.select("doc_id", "text").join(t.labels.select("doc_id", "toxic"), "doc_id", "left")
-    return ops.pass_chain(ops.mark_duplicates(docs, "doc_id", "text"), dict(zip(PASSES, conditions)), enabled).select("doc_id", "removed_by")
+    # Conditions on the text are evaluated where it is read; only flags and a digest are shuffled.
+    symbols = F.length(F.regexp_replace("text", r"[\p{L}\p{N} \n]", "")) > 0.1 * F.length("text")
+    docs = t.documents.select(
+        "doc_id", F.sha2("text", 256).alias("digest"), (F.length("text") < 200).alias("short"), symbols.alias("symbols")
+    )
+    flagged = t.labels.select("doc_id", (F.col("toxic") == 1).alias("flagged"))
+    rows = ops.mark_duplicates(docs.join(flagged, "doc_id", "left"), "doc_id", "digest")
+    return ops.pass_chain(rows, {p: F.col(p) for p in PASSES}, enabled).select("doc_id", "removed_by")
 
 
 CHAIN = r"""

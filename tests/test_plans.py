@@ -3,7 +3,6 @@
 import random
 from bisect import bisect_right
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import Window
