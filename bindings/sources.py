@@ -105,14 +105,28 @@ def f3_stream(t):
     return ntz(run_available(ops.reroute_stream(seen, SHAPES, routing.ASK)), "ts")
 
 
-@query("f7_overlap_watch")
+@query(
+    "f7_overlap_watch",
+    f"""
+WITH RECURSIVE b AS (SELECT DISTINCT user_id % 5 AS worktree, user_id AS agent, time_bucket(INTERVAL 10 MINUTE, ts) AS ts FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY worktree ORDER BY ts, agent) AS rn FROM b WHERE ts + INTERVAL 10 MINUTE <= {CLOSED}),
+w(worktree, rn, ts, agent, holder, seen, hit) AS (
+  SELECT worktree, rn, ts, agent, agent, ts, NULL::BIGINT FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.worktree, o.rn, o.ts, o.agent,
+    CASE WHEN o.ts >= seen + INTERVAL 2 HOUR OR o.agent = holder THEN o.agent ELSE holder END,
+    CASE WHEN o.ts >= seen + INTERVAL 2 HOUR OR o.agent = holder THEN o.ts ELSE seen END,
+    CASE WHEN o.ts < seen + INTERVAL 2 HOUR AND o.agent <> holder THEN holder END
+  FROM w JOIN o ON o.worktree = w.worktree AND o.rn = w.rn + 1)
+SELECT worktree, ts, hit AS holder, agent AS intruder FROM w WHERE hit IS NOT NULL""",
+)
 def f7(t):
-    log = live(t).select((F.col("user_id") % 20).alias("worktree"), F.col("user_id").alias("agent"), "ts")
+    log = live(t).select((F.col("user_id") % 5).alias("worktree"), F.col("user_id").alias("agent"), "ts")
     root = new_folder(t.spark)
     run_available(ops.bucket_stream(log, ["worktree", "agent"], "10 minutes"), root)
     schema = "worktree BIGINT, agent BIGINT, bucket TIMESTAMP, value BIGINT"
     activity = event_stream(t.spark, f"{root}/rows", schema, time="bucket").withColumnRenamed("bucket", "ts")
-    return run_available(ops.overlap_stream(activity, 3600))
+    return ntz(run_available(ops.overlap_stream(activity, 7200)), "ts")
 
 
 @query(
