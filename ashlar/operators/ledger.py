@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ashlar.functions.lint import blank, names_where
 from ashlar.functions.text import BARE_MEASURE, MEASURE_WITH_COMPARATOR, tokens
 from ashlar.plans.asof import asof_join
+from ashlar.plans.sizes import BROADCAST_BYTES, stored_with_size
 
 # What an intake must state.
 INTAKE_FACTS = ["purpose", "quality", "scale", "constraints", "evolution"]
@@ -31,17 +32,25 @@ def ledger_open(ledger: DataFrame) -> DataFrame:
     return ledger_current(ledger).withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
-def undefined_terms(docs: DataFrame, vocab: DataFrame, ledger: DataFrame) -> DataFrame:
+def undefined_terms(
+    docs: DataFrame, vocab: DataFrame, ledger: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Watched terms without a ledger row that occur in each document, with hit counts.
 
-    docs(doc_id, text), vocab(term), ledger(term). Counting per (document, term) comes first:
-    it combines on the map side, so a frequent word is not one hot key of raw tokens.
+    docs(doc_id, text), vocab(term), ledger(term). The watched terms are stored and measured. If they
+    fit, they are broadcast and the words of the corpus are filtered where they are read. Otherwise
+    words are counted per (document, term) first, which combines on the map side, so that a frequent
+    word is not one hot key of raw tokens.
     """
     watched = vocab.select("term").distinct().join(ledger.select("term").distinct(), "term", "left_anti")
+    watched, size = stored_with_size(watched, "term")
     words = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).filter(F.col("term") != "")
-    return words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("hits")).join(watched, "term", "left_semi").select(
-        "doc_id", "term", "hits"
-    )
+    count = F.count(F.lit(1)).alias("hits")
+    if size <= broadcast_bytes:
+        hits = words.join(F.broadcast(watched), "term", "left_semi").groupBy("doc_id", "term").agg(count)
+    else:
+        hits = words.groupBy("doc_id", "term").agg(count).join(watched, "term", "left_semi")
+    return hits.select("doc_id", "term", "hits")
 
 
 def extract_measures(rows: DataFrame, text: str) -> DataFrame:

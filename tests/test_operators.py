@@ -45,6 +45,14 @@ def test_measures(spark):
     assert got[texts[4]]["wish"] and got[texts[4]]["value"] is None
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_undefined_terms_by_either_join(spark, limit):
+    docs = spark.createDataFrame([(1, "A scalable, SCALABLE thing; real-time!"), (2, "secure and plain"), (3, "")], "doc_id INT, text STRING")
+    vocab = spark.createDataFrame([("scalable",), ("real-time",), ("secure",), ("secure",)], "term STRING")
+    known = spark.createDataFrame([("secure",), ("secure",)], "term STRING")
+    assert rows(ledger.undefined_terms(docs, vocab, known, limit)) == [(1, "real-time", 1), (1, "scalable", 2)]
+
+
 def test_intake_of_a_vague_request(spark):
     asked = "request STRING, purpose STRING, quality STRING, scale STRING, constraints STRING, evolution STRING"
     df = spark.createDataFrame([("notifications", "notify users", None, "50k users", "small team", " "), ("full", "a", "b", "c", "d", "e")], asked)
