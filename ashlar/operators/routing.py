@@ -135,7 +135,7 @@ def worktree_overlaps(sessions: DataFrame, unit: str = "month") -> DataFrame:
     """
     marks = _marks(sessions)
     chunk = F.date_trunc(unit, F.col("at").cast("timestamp"))
-    order = ["at", "side", "agent", "start", "end"]
+    order = ["at", "side"]  # a sum of one side does not depend on the order within the other
     started = F.when(F.col("side") == 1, F.col("n")).otherwise(0)
     ended = F.when(F.col("side") == 0, F.col("n")).otherwise(0)
     everyone = scan(marks, ["worktree"], order, chunk, {"_s": running_sum(started), "_e": running_sum(ended)})
@@ -148,10 +148,11 @@ def worktree_overlaps(sessions: DataFrame, unit: str = "month") -> DataFrame:
 
 def peak_concurrency(sessions: DataFrame, unit: str = "month") -> DataFrame:
     """Highest number of sessions open at once per worktree, from ±1 events and a running sum."""
-    marks = _marks(sessions)
+    # All starts and ends of one instant combine before the shuffle into at most one row per side.
+    marks = _marks(sessions).groupBy("worktree", "at", "side").agg(F.sum("n").alias("n"))
     chunk = F.date_trunc(unit, F.col("at").cast("timestamp"))
     step = F.when(F.col("side") == 1, F.col("n")).otherwise(-F.col("n"))
-    open_now = scan(marks, ["worktree"], ["at", "side", "agent", "start", "end"], chunk, {"_open": running_sum(step)})
+    open_now = scan(marks, ["worktree"], ["at", "side"], chunk, {"_open": running_sum(step)})
     return open_now.groupBy("worktree").agg(F.max("_open").alias("peak"))
 
 

@@ -54,7 +54,8 @@ def scan(
 ) -> DataFrame:
     """``df`` plus one running column per carry.
 
-    ``order`` must be total within a key; ``chunk`` must not decrease along it.
+    ``order`` must be total within a key unless ties cannot change a carry; ``chunk`` must not
+    decrease along it.
     ``reverse`` runs from the last row to the first, so ``last`` becomes "next".
     """
     inputs = {f"_in_{n}": c.value for n, c in carries.items()}

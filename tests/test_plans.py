@@ -195,3 +195,21 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
     plan = entry.queries()["e3_finding_lint"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderpriority,1-URGENT)" in plan
+
+
+def test_top_k_is_cut_before_the_shuffle(spark):
+    plan = entry.queries()["c11_hot_spots"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_percentiles_read_their_input_once(spark):
+    df = entry.queries()["c7_path_latency"](spark, SF_DIR)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+
+
+def test_every_operator_of_the_inventory_has_a_query():
+    sizes = {"a": 7, "b": 12, "c": 28, "d": 18, "e": 8, "f": 9, "g": 6, "h": 11, "i": 4}
+    ids = {n.split("_")[0] for n in entry.queries()}
+    assert ids == {f"{family}{i}" for family, n in sizes.items() for i in range(1, n + 1)}
