@@ -50,7 +50,7 @@ def h2(t):
     "h3_peak_meter",
     """
 SELECT user_id AS track, time_bucket(INTERVAL 1 HOUR, ts) AS "start", time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS "end",
-  round(20 * log10(max(abs(value / 500))), 4) AS peak_db FROM events GROUP BY ALL""",
+  CASE WHEN max(abs(value)) > 0 THEN round(20 * log10(max(abs(value / 500))), 4) END AS peak_db FROM events GROUP BY ALL""",
 )
 def h3(t):
     return round_all(ops.peak_meter(samples(t), ["track"], "1 hour"), 4, "peak_db")
@@ -60,7 +60,7 @@ def h3(t):
     "h3_peak_meter_sliding",
     """
 WITH w AS (SELECT user_id AS track, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * unnest(range(4)) AS s, value / 500 AS x FROM events)
-SELECT track, s AS "start", s + INTERVAL 4 HOUR AS "end", round(20 * log10(max(abs(x))), 4) AS peak_db FROM w GROUP BY ALL""",
+SELECT track, s AS "start", s + INTERVAL 4 HOUR AS "end", CASE WHEN max(abs(x)) > 0 THEN round(20 * log10(max(abs(x))), 4) END AS peak_db FROM w GROUP BY ALL""",
 )
 def h3_sliding(t):
     return round_all(ops.peak_meter(samples(t), ["track"], "4 hours", "1 hour"), 4, "peak_db")

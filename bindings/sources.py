@@ -67,7 +67,7 @@ def i4(t):
     "h3_peak_meter_stream",
     f"""
 WITH w AS (SELECT user_id AS track, time_bucket(INTERVAL 1 HOUR, ts) AS "start", max(abs(value / 500)) AS peak FROM events GROUP BY ALL)
-SELECT track, "start", "start" + INTERVAL 1 HOUR AS "end", round(20 * log10(peak), 4) AS peak_db FROM w WHERE "start" + INTERVAL 1 HOUR <= {CLOSED}""",
+SELECT track, "start", "start" + INTERVAL 1 HOUR AS "end", CASE WHEN peak > 0 THEN round(20 * log10(peak), 4) END AS peak_db FROM w WHERE "start" + INTERVAL 1 HOUR <= {CLOSED}""",
 )
 def h3_stream(t):
     samples = live(t).select(F.col("user_id").alias("track"), "ts", (F.col("value") / 500).alias("x"))
