@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ashlar.llm import decontaminate, packing, quality, sentence_spans, sharding, token_counts, toxicity, warc
+from ashlar.llm import decontaminate, packing, quality, sentence_spans, sharding, suffix_dedup, token_counts, toxicity, warc
 from ashlar.llm.toxicity import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return sharded.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
                           "law", "shard", "slot", "grown_shard")
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_substrings(read(spark, sf_dir, "documents").select("doc_id", "text")))
