@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ashlar.llm import decontaminate, packing, quality, sentence_spans, sharding, suffix_dedup, token_counts, toxicity, warc
+from ashlar.llm import decontaminate, packing, quality, sentence_spans, sharding, suffix_dedup, token_counts, toxicity, warc, weighted_minhash
 from ashlar.llm.toxicity import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_substrings(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = weighted_minhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "is_kept")

@@ -141,8 +141,8 @@ def _cut(columns: list[str]):
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 spans = [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)]
-                rows.append((len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-            made = list(zip(*rows, strict=True)) if rows else [()] * 5
+                rows.append((len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept, kept.decode(errors="ignore")))
+            made = list(zip(*rows, strict=True)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in columns), *(pa.array(v, t) for v, t in zip(made, _RESULT.types, strict=True))],
                 names=[*columns, *_RESULT.names])
@@ -153,12 +153,13 @@ def _cut(columns: list[str]):
 _SPANS = "array<struct<start:long,end:long>>"
 _RESULT = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                      ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                     ("kept_sha256", pa.string()), ("kept", pa.binary())])
-_ADDED = f"n_bytes long, n_removed long, spans {_SPANS}, kept_sha256 string, kept binary"
+                     ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string())])
+_ADDED = f"n_bytes long, n_removed long, spans {_SPANS}, kept_sha256 string, kept binary, kept_text string"
 
 
 def remove_substrings(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, spans (removed byte ranges), kept_sha256 and kept (the remaining bytes).
+    """``docs`` with n_bytes, n_removed, spans (removed byte ranges), kept_sha256, kept (the
+    remaining bytes) and kept_text (the same without characters that lost a part).
 
     Every byte inside a WIDTH-byte string that also starts elsewhere, in the same or another document, goes; all is
     judged on the texts as they came, and no match crosses documents. Null texts count as empty; texts shorter
@@ -169,7 +170,7 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
     phrases of one document are all that meets in one row.
     """
     stored = Stored(docs.sparkSession)
-    plain = docs.drop("n_bytes", "n_removed", "spans", "kept_sha256", "kept", "document", "full", "more", "todo")
+    plain = docs.drop("n_bytes", "n_removed", "spans", "kept_sha256", "kept", "kept_text", "document", "full", "more", "todo")
     keyed = plain.withColumn("text", F.col("text").cast("string")).withColumn("document", F.xxhash64("doc_id", "text"))
     phrases = keyed.select("document", "text").mapInArrow(
         _phrases, "trigger long, phrase long, document long, start int, windows short")
@@ -213,7 +214,8 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
     changed = touched.join(more, "document", "left").select(*columns, "full", "more").mapInArrow(_cut(columns), schema)
     raw = F.coalesce("text", F.lit("")).cast("binary")
     same = (keyed.withColumns({"n_bytes": F.octet_length(raw).cast("long"), "n_removed": F.lit(0).cast("long"),
-                               "spans": F.array().cast(_SPANS), "kept_sha256": F.sha2(raw, 256), "kept": raw})
+                               "spans": F.array().cast(_SPANS), "kept_sha256": F.sha2(raw, 256), "kept": raw,
+                               "kept_text": F.coalesce("text", F.lit(""))})
             .join(touched.select("document").distinct(), "document", "left_anti").drop("document"))
     return changed.unionByName(same)
 
