@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ashlar.llm.common import BASE, INVERSE, PrefixHash, blocks, mix, powers_to, signed, text_of, word_bounds
+from ashlar.llm.common import BASE, INVERSE, PrefixHash, Stored, blocks, mix, powers_to, signed, text_of, word_bounds
 
 #: A run holds at least so many sentences and so many words.
 SENTENCES, WORDS = 3, 20
@@ -98,6 +98,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "document", "first")
     repeated = (places.groupBy("run").agg(F.min(place).alias("kept"), F.max(place).alias("other"))
                 .where(~F.col("kept").eqNullSafe(F.col("other"))).select("run", "kept"))
+    repeated = Stored(docs.sparkSession).keep(repeated, "repeated")  # a table, so that a skewed run can be split
     gone = (places.join(repeated, "run").where(~place.eqNullSafe(F.col("kept")))
             .groupBy("document").agg(F.collect_set(F.struct("first", "after")).alias("gone")))
     columns = plain.columns

@@ -231,7 +231,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     nodes = stored.keep(nodes, "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     several = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre != other")
-    live = stored.keep(members.join(several.select("bucket", "centre"), "bucket").where("node != centre"), "live-0")
+    several = stored.keep(several.select("bucket", "centre"), "several")  # a table, so that a skewed bucket can be split
+    live = stored.keep(members.join(several, "bucket").where("node != centre"), "live-0")
     pairs = stored.keep(live.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs-0")
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     keys = needed.join(nodes.select("node", "document"), "node")
@@ -245,6 +246,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         open_ = (sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("largest"))
                  .where("labels > 1").select("bucket", "largest"))
+        open_ = stored.keep(open_, f"buckets-{turn}")
         named = stored.keep(named.join(open_, "bucket"), f"open-{turn}")
         outside = named.where("label != largest").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(CENTRES)))
         centres = stored.keep(outside.groupBy("bucket", "salt").agg(F.min(F.struct("node", "label")).alias("c"))
@@ -261,6 +263,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         "doc_id", "document", F.coalesce("domain", "node").alias("label"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "document")
     classes = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min_by("document", order).alias("first"))
+    classes = stored.keep(classes, "classes")
     return rows.join(classes, "label").select("doc_id", "document", "class_id", (F.col("document") == F.col("first")).alias("is_kept"))
 
 
