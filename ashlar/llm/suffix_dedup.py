@@ -174,13 +174,15 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
     keyed = plain.withColumn("text", F.col("text").cast("string")).withColumn("document", F.xxhash64("doc_id", "text"))
     phrases = keyed.select("document", "text").mapInArrow(
         _phrases, "trigger long, phrase long, document long, start int, windows short")
-    frequent = phrases.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger")
+    # what a skewed side is joined with is a table: only then can the skewed side be split
+    frequent = stored.keep(phrases.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger"), "frequent")
     parse_ = stored.keep(phrases.join(frequent, "trigger"), "parse")
     dictionary = stored.keep(parse_.groupBy("trigger", "phrase").agg(
         F.count("*").alias("n"), F.min(F.struct("document", "start", "windows")).alias("at")), "dictionary")
     full = parse_.join(dictionary.where("n > 1").select("trigger", "phrase"), ["trigger", "phrase"])
     single = dictionary.where("n = 1")
-    partners = dictionary.where("n > 1").join(single.select("trigger").distinct(), "trigger", "left_semi")
+    open_ = stored.keep(single.select("trigger").distinct(), "open")
+    partners = dictionary.where("n > 1").join(open_, "trigger", "left_semi")
     entries = single.select("at.*").unionByName(partners.select("at.*"))
 
     pair = F.struct("start", "windows")
@@ -193,16 +195,17 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
     source = touched.where(F.size("todo") > 0).select("document", "text", "todo")
     for cell in (CELL, 1):
         found = source.mapInArrow(_suffixes(cell), "core long, whole long, document long, start int, windows short")
-        shared = found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+        shared = stored.keep(found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), f"shared-{cell}")
         left = stored.keep(found.join(shared, "core"), f"cells-{cell}")
         if cell == 1:
             done = left
         else:
-            same = left.groupBy("core", "whole").agg(F.count("*").alias("n"))
+            same = stored.keep(left.groupBy("core", "whole").agg(F.count("*").alias("n")), "same")
             judged = left.join(same, ["core", "whole"])
+            open_ = stored.keep(same.where("n = 1").select("core").distinct(), "open-cells")
             done = judged.where("n > 1")
             todo = (judged.where("n = 1").unionByName(
-                        judged.where("n > 1").join(judged.where("n = 1").select("core").distinct(), "core", "left_semi")
+                        judged.where("n > 1").join(open_, "core", "left_semi")
                         .dropDuplicates(["core", "whole"]))
                     .groupBy("document").agg(F.collect_set(pair).alias("todo")))
             source = source.select("document", "text").join(todo, "document")
