@@ -28,8 +28,8 @@ BANDS, ROWS = 16, 4
 BUCKET_BITS, SLICES = 18, 64
 #: A shingle in less than one of so many documents weighs most, 1 + DAMPING times one that every document has.
 RARE, DAMPING = 1000, 0.25
-#: Members of one bucket that are compared with the rest of it in one later round.
-CENTRES = 64
+#: Members of a bucket that are compared with the other components in it.
+CENTRES = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -201,6 +201,10 @@ def similar(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: flo
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(judge, "a binary, b binary")
 
 
+def components(links: DataFrame) -> DataFrame:
+    return failure_domains(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
 def document_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
@@ -214,10 +218,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     in both are one document. Null texts count as empty; texts without words are in one class only with equal texts.
     An empty table gives no rows; other columns are not looked at.
 
-    Copies (equal words) are one node throughout. In each bucket one member is compared with all others; then,
-    where a bucket still holds several components, up to CENTRES members outside its largest one are compared with
-    all members of other components and leave it, until every bucket is one component. So no pair of one bucket
-    that could join two components stays unseen, and no round makes more than CENTRES pairs for each member.
+    Copies (equal words) are one node throughout. In each bucket one member is compared with all others. Then CENTRES
+    further members of each bucket that still holds several components are compared with all its members of other
+    components. So the pairs grow with the members and not with their square; a pair that never met a centre in
+    any of its buckets is linked only through others.
     """
     spark = docs.sparkSession
     stored = Stored(spark)
@@ -238,27 +242,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     keys = needed.join(nodes.select("node", "document"), "node")
     texts = stored.keep(plain.select("document", "text").join(keys, "document").select("node", "text").dropDuplicates(["node"]), "texts")
     links = stored.keep(similar(pairs, texts, idf, similarity), "links-0")
-    tried, live, turn = pairs, live.select("bucket", "node"), 0
-    while True:
-        turn += 1
-        labels = stored.keep(failure_domains(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), f"labels-{turn}")
-        named = live.join(labels, "node", "left").select("bucket", "node", F.coalesce("domain", "node").alias("label"))
-        sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        open_ = (sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("largest"))
-                 .where("labels > 1").select("bucket", "largest"))
-        open_ = stored.keep(open_, f"buckets-{turn}")
-        named = stored.keep(named.join(open_, "bucket"), f"open-{turn}")
-        outside = named.where("label != largest").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(CENTRES)))
-        centres = stored.keep(outside.groupBy("bucket", "salt").agg(F.min(F.struct("node", "label")).alias("c"))
-                              .select("bucket", "c.*"), f"centres-{turn}")
-        if centres.isEmpty():
-            break
-        met = named.join(centres.select("bucket", F.col("node").alias("centre"), F.col("label").alias("centre_label")), "bucket")
-        across = met.where("label != centre_label").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
-        pairs = stored.keep(across.distinct().join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
-        links = stored.keep(links.unionByName(similar(pairs, texts, idf, similarity)), f"links-{turn}")
-        tried = stored.keep(tried.unionByName(pairs), f"tried-{turn}")
-        live = stored.keep(named.join(centres, ["bucket", "node"], "left_anti").select("bucket", "node"), f"live-{turn}")
+    labels = stored.keep(components(links), "labels-0")
+    named = live.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("domain", "node").alias("label"))
+    open_ = named.groupBy("bucket").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label != other")
+    named = stored.keep(named.join(stored.keep(open_.select("bucket"), "open"), "bucket"), "named")
+    salted = named.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(CENTRES)).alias("salt")).agg(F.min(F.struct("node", "label")).alias("c"))
+    centres = stored.keep(salted.select("bucket", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label")), "centres")
+    across = named.join(centres, "bucket").where("label != centre_label").select(
+        F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
+    later = stored.keep(across.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs-1")
+    links = stored.keep(links.unionByName(similar(later, texts, idf, similarity)), "links-1")
+    labels = stored.keep(components(links), "labels-1")
     rows = signed_.select("doc_id", "document", "node").join(labels, "node", "left").select(
         "doc_id", "document", F.coalesce("domain", "node").alias("label"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "document")
