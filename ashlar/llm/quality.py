@@ -117,10 +117,10 @@ def vote(good: Column, bad: Column) -> Column:
 def rules() -> dict[str, Column]:
     """Votes by the measures; a rule that cannot tell abstains."""
     n = F.col("n_words")
-    per_word = lambda c: F.col(c) / n
+    chars = F.col("word_chars")
     return {
         "length": vote(n >= 50, n < 10),
-        "word_length": vote((per_word("word_chars") >= 2.5) & (per_word("word_chars") <= 9), (n == 0) | (per_word("word_chars") > 14)),
+        "word_length": vote((2 * chars >= 5 * n) & (chars <= 9 * n), (n == 0) | (chars > 14 * n)),
         "symbols": vote((n > 0) & (10 * F.col("n_symbols") < n), 2 * F.col("n_symbols") > n),
         "lines": vote((F.col("n_lines") > 1) & (F.col("n_dup_lines") == 0), 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
         "repetition": vote((n >= 10) & (20 * F.col("n_repeat_words") <= n), 5 * F.col("n_repeat_words") > n),

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,10 +164,13 @@ def parse(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
 
 
 def serialised(records: DataFrame) -> DataFrame:
-    """``records`` with their bytes in a WARC file as column ``record``."""
-    @F.pandas_udf("binary")
-    def to_bytes(frame: pd.DataFrame) -> pd.Series:
-        return pd.Series([serialise(row) for row in frame.to_dict("records")])
+    """``records`` with their bytes in a WARC file as column ``record``, replacing a column of this name."""
+    plain = records.drop("record")
+    schema = T.StructType([*plain.schema, T.StructField("record", T.BinaryType())])
 
-    fields = [f for f in T._parse_datatype_string(RECORDS).names if f in records.columns]
-    return records.withColumn("record", to_bytes(F.struct(*fields)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [serialise(row) for row in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=schema.names)
+
+    return plain.mapInArrow(run, schema)
