@@ -159,21 +159,22 @@ def cycle_members(edges: DataFrame, trims: int = 3) -> DataFrame:
     return grouped.filter((F.col("_size") > 1) | F.col("_loop")).select("node", F.coalesce("grp", "node").alias("grp"))
 
 
-def blast_radius(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """seeds(node) → (seed, node, hops): everything that depends on a seed within ``depth`` hops."""
+def blast_radius(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """seeds(change, node) → (change, node, hops): everything that depends on what a change touches.
+
+    ``hops`` is the least over the change's nodes, which are left out themselves. A change gives at most one row per
+    node of the graph. Rounds go on until nothing new is reached, or to ``depth`` hops if that is asked for.
+    """
     space = Workspace(edges.sparkSession)
     back = space.keep(edges.select(F.col("src").alias("_next"), F.col("dst").alias("node")).distinct())
-    start = seeds.select("node").distinct()
-    frontier = space.keep(start.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hops")))
-    rounds = [frontier]
-    for hop in range(1, depth + 1):
-        reached = frontier.join(back, "node").select("seed", F.col("_next").alias("node")).distinct()
-        seen = reduce(DataFrame.unionByName, rounds)
-        frontier = space.keep(reached.join(seen, ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop)))
-        if frontier.isEmpty():
-            break
-        rounds.append(frontier)
-    return reduce(DataFrame.unionByName, rounds).filter(F.col("hops") > 0)
+    reached, fresh = space.state(seeds.select("change", "node").distinct().withColumn("hops", F.lit(0)), "reached")
+    hop = 0
+    while fresh and (depth is None or hop < depth):
+        frontier, hop = reached.filter(F.col("hops") == hop), hop + 1
+        ahead = frontier.join(back, "node").select("change", F.col("_next").alias("node"), F.lit(hop).alias("hops"))
+        nearest = reached.unionByName(ahead).groupBy("change", "node").agg(F.min("hops").alias("hops"))
+        reached, fresh = space.state(nearest, "reached", F.col("hops") == hop)
+    return reached.filter(F.col("hops") > 0)
 
 
 def _roots(parents: DataFrame, space: Workspace) -> DataFrame:

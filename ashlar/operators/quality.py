@@ -397,7 +397,7 @@ def placement_check(classified: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def secret_scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Documents with credential-shaped strings: hits, digest of the first one, redacted text."""
+    """Documents with credential-shaped strings: hits, digest of each in order, redacted text."""
     found = F.regexp_extract_all(text, F.lit(SECRET_PATTERN), F.lit(0))
     return (
         docs.filter(may_match(F.col(text), SECRET_HINTS))
@@ -406,7 +406,7 @@ def secret_scan(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumns(
             {
                 "hits": F.size("_found").cast("bigint"),
-                "digest": F.sha2(F.element_at("_found", 1), 256),
+                "digests": F.transform("_found", lambda secret: F.sha2(secret, 256)),
                 text: F.regexp_replace(text, SECRET_PATTERN, "[REDACTED]"),
             }
         )

@@ -99,12 +99,12 @@ def apply_install(plan: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def overall_status(checks: DataFrame, by: Sequence[str]) -> DataFrame:
-    """checks(by…, label, passed) → all passed, failing count, first failing label per scope."""
+    """checks(by…, ord, label, passed) → all passed, failing count, label of the first failing check by ord per scope."""
     bad = ~F.col("passed")
     return checks.groupBy(*by).agg(
         F.bool_and("passed").alias("all_passed"),
         F.count_if(bad).alias("failing"),
-        F.min(F.when(bad, F.col("label"))).alias("first_failing"),
+        F.min_by("label", F.when(bad, F.struct("ord", "label"))).alias("first_failing"),
     )
 
 

@@ -14,14 +14,22 @@ from ashlar.functions.lint import blank, broken_rules, names_where
 VERDICTS = ["VIOLATION", "DRIFT", "GAP", "CONFORMS"]
 TAG_IN_FRONT = r"\[(VIOLATION|DRIFT|GAP|CONFORMS)(?:\s*[—–-]\s*ADR-([0-9]+))?\]\s*(.*)$"
 TAG_AT_END = r"^(.*?)\s*\b(VIOLATION|DRIFT|GAP|CONFORMS)(?:\s*\((?:update |new )?ADR(?:-([0-9]+))?[^)]*\))?\s*\.?$"
+TAG_PLAIN = (
+    r"^\s*(?:[0-9]+\.\s*)?(VIOLATION|DRIFT|GAP|CONFORMS)"
+    r"(?:\s*\((?:update |new )?ADR(?:-([0-9]+))?[^)]*\)\s*[:—–-]?|\s*[:—–-])\s*(\S.*)$"
+)
 EVIDENCE = r"[A-Za-z0-9_/-]+\.[a-z]+(:[0-9]+)?|\b[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*"
 
 
 def parse_findings(lines: DataFrame) -> DataFrame:
-    """lines(…, line) → verdict (UNTAGGED if none), decision number, detail. Both written forms are read."""
+    """lines(…, line) → verdict (UNTAGGED if none), decision number, detail.
+
+    The tag stands in front, in brackets or plain with a record or colon after it, or at the end.
+    """
 
     def front(i: int) -> Column:
-        return F.nullif(F.regexp_extract("line", TAG_IN_FRONT, i), F.lit(""))
+        bracketed, plain = (F.nullif(F.regexp_extract("line", p, i), F.lit("")) for p in (TAG_IN_FRONT, TAG_PLAIN))
+        return F.when(F.regexp_extract("line", TAG_IN_FRONT, 1) != "", bracketed).otherwise(plain)
 
     def end(i: int) -> Column:
         return F.nullif(F.regexp_extract("line", TAG_AT_END, i), F.lit(""))

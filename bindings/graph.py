@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from ashlar.operators import graph as ops
 from bindings.registry import query
 
-# One dependency graph per release year (or month): node = period number and part number in one key.
+# The whole graph, or (D4, D7) the graph of each release year: node = year and part number in one key.
 SPAN = 1_000_000_000_000
 
 
@@ -19,17 +19,11 @@ def by_year(t):
     return edges(t, F.year("l_shipdate").cast("bigint"))
 
 
-def by_month(t):
-    return edges(t, (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("bigint"))
-
-
 YEAR_EDGES = f"""
 e AS (
   SELECT DISTINCT year(l_shipdate) * {SPAN} + l_partkey AS src, year(l_shipdate) * {SPAN} + l_suppkey * 20 + l_linenumber AS dst FROM lineitem)"""
-MONTH_EDGES = f"""
-e AS (
-  SELECT DISTINCT (year(l_shipdate) * 12 + month(l_shipdate)) * {SPAN} + l_partkey AS src,
-    (year(l_shipdate) * 12 + month(l_shipdate)) * {SPAN} + l_suppkey * 20 + l_linenumber AS dst FROM lineitem)"""
+ALL_EDGES = """
+e AS (SELECT DISTINCT l_partkey AS src, l_suppkey * 20 + l_linenumber AS dst FROM lineitem)"""
 
 
 @query(
@@ -154,24 +148,27 @@ def d6_shared(t):
     f"""
 WITH RECURSIVE {YEAR_EDGES},
 s AS (
-  SELECT DISTINCT year(l_shipdate) * {SPAN} + l_suppkey * 20 + l_linenumber AS node FROM lineitem
-  WHERE l_shipdate = (SELECT max(l_shipdate) FROM lineitem)),
-walk(seed, node, hops) AS (
-  SELECT node, node, 0 FROM s
-  UNION SELECT w.seed, e.src, w.hops + 1 FROM walk w JOIN e ON e.dst = w.node WHERE w.hops < 6)
-SELECT seed, node, min(hops)::INTEGER AS hops FROM walk GROUP BY ALL HAVING min(hops) > 0""",
+  SELECT DISTINCT year(l_shipdate) AS change, year(l_shipdate) * {SPAN} + l_suppkey * 20 + l_linenumber AS node FROM lineitem
+  WHERE l_shipdate IN (SELECT max(l_shipdate) FROM lineitem GROUP BY year(l_shipdate))),
+walk(change, node, hops) USING KEY (change, node) AS (
+  SELECT change, node, 0 FROM s
+  UNION
+  SELECT w.change, e.src, min(w.hops + 1) FROM walk w JOIN e ON e.dst = w.node
+  LEFT JOIN recurring.walk r ON r.change = w.change AND r.node = e.src WHERE r.node IS NULL GROUP BY w.change, e.src)
+SELECT change, node, hops::INTEGER AS hops FROM walk WHERE hops > 0""",
 )
 def d7(t):
-    latest = t.lineitem.select(F.max("l_shipdate").alias("m")).scalar()
     graph = by_year(t)
-    seeds = graph.filter(F.col("l_shipdate") == latest).select(F.col("dst").alias("node"))
-    return ops.blast_radius(graph, seeds, 6)
+    year = F.year("l_shipdate").cast("bigint")
+    last = graph.groupBy(year.alias("change")).agg(F.max("l_shipdate").alias("l_shipdate"))
+    touched = graph.join(last, "l_shipdate").select("change", F.col("dst").alias("node"))
+    return ops.blast_radius(graph, touched)
 
 
 @query(
     "d8_failure_domains",
     f"""
-WITH RECURSIVE {MONTH_EDGES},
+WITH RECURSIVE {ALL_EDGES},
 u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
 cc(node, domain) USING KEY (node) AS (
   SELECT DISTINCT a, a FROM u
@@ -180,7 +177,7 @@ cc(node, domain) USING KEY (node) AS (
 SELECT node, domain FROM cc""",
 )
 def d8(t):
-    return ops.failure_domains(by_month(t))
+    return ops.failure_domains(edges(t))
 
 
 @query(

@@ -418,11 +418,11 @@ _SECRET = SECRET_PATTERN.replace("'", "''")
 @query(
     "c23_secret_scan",
     f"""
-SELECT doc_id, len(regexp_extract_all(text, '{_SECRET}'))::BIGINT AS hits, sha256(regexp_extract(text, '{_SECRET}')) AS digest,
+SELECT doc_id, len(regexp_extract_all(text, '{_SECRET}'))::BIGINT AS hits, array_to_string(list_transform(regexp_extract_all(text, '{_SECRET}'), lambda x: sha256(x)), ',') AS digests,
   regexp_replace(text, '{_SECRET}', '[REDACTED]', 'g') AS text FROM documents WHERE regexp_matches(text, '{_SECRET}')""",
 )
 def c23(t):
-    return ops.secret_scan(t.documents.select("doc_id", "text"))
+    return ops.secret_scan(t.documents.select("doc_id", "text")).withColumn("digests", F.concat_ws(",", "digests"))
 
 
 @query(

@@ -82,12 +82,12 @@ def g4(t):
 @query(
     "g5_overall_status",
     f"""WITH {STATE}
-SELECT p_brand AS scope, bool_and(passed) AS all_passed, count_if(NOT passed)::BIGINT AS failing, min(CASE WHEN NOT passed THEN label END) AS first_failing
+SELECT p_brand AS scope, bool_and(passed) AS all_passed, count_if(NOT passed)::BIGINT AS failing, arg_min(label, path) FILTER (NOT passed) AS first_failing
 FROM v GROUP BY p_brand""",
 )
 def g5(t):
     checks = ops.check_state(desired(t), observed(t)).join(desired(t).select("path", F.col("p_brand").alias("scope")), "path")
-    return ops.overall_status(checks, ["scope"])
+    return ops.overall_status(checks.withColumn("ord", F.col("path")), ["scope"])
 
 
 @query(

@@ -8,10 +8,13 @@ def finding_lines(t):
     kind, user, place = F.col("event_type"), F.col("user_id"), F.concat(F.lit("src/u"), F.col("user_id"), F.lit(".py:"), F.col("event_id"))
     line = (
         F.when((kind == "error") & (F.col("value") < 50), F.concat(F.lit("1. [VIOLATION — ADR-"), user, F.lit("] "), place))
+        .when((kind == "error") & (F.col("value") >= 300), F.concat(F.lit("VIOLATION (ADR-"), user, F.lit("): "), place))
         .when(kind == "error", F.concat(place, F.lit(" VIOLATION (ADR-"), user, F.lit(")")))
         .when((kind == "signup") & (F.col("value") < 50), F.concat(F.lit("[DRIFT — ADR-"), user, F.lit("] "), place))
+        .when((kind == "signup") & (F.col("value") >= 300), F.concat(F.lit("DRIFT (update ADR-"), user, F.lit(") - "), place))
         .when(kind == "signup", F.concat(place, F.lit(" DRIFT (update ADR-"), user, F.lit(")")))
         .when((kind == "click") & (F.col("value") < 50), F.concat(F.lit("[GAP] "), place))
+        .when((kind == "click") & (F.col("value") >= 300), F.concat(F.lit("GAP: "), place))
         .when(kind == "click", F.concat(place, F.lit(" GAP (new ADR needed)")))
         .when(kind == "purchase", F.concat(place, F.lit(" CONFORMS")))
         .otherwise(F.concat(F.lit("I would not do this at "), place))

@@ -1,5 +1,6 @@
 """Golden rows and edge cases of single operators."""
 
+import hashlib
 import datetime as dt
 
 import pytest
@@ -145,6 +146,7 @@ def test_text_classes_and_secrets(spark):
     s = spark.createDataFrame([(1, 'a token = "abcdef123456" and password: hunter2hunter2 end'), (2, "token gesture")], "doc_id INT, text STRING")
     r = quality.secret_scan(s).collect()
     assert len(r) == 1 and r[0]["hits"] == 2 and r[0]["text"] == "a [REDACTED] and [REDACTED] end"
+    assert r[0]["digests"] == [hashlib.sha256(x.encode()).hexdigest() for x in ('token = "abcdef123456"', "password: hunter2hunter2")]
     assert "AKIA" in SECRET_PATTERN
 
 
@@ -202,9 +204,12 @@ def test_findings_in_both_forms(spark):
         "cache ttl DRIFT (update ADR-0003)",
         "queue GAP (new ADR needed)",
         "api layer CONFORMS",
+        "VIOLATION (ADR-0007): OrderService writes into the stock tables",
+        "DRIFT (update ADR-0003) - cache ttl",
+        "GAP: nobody decided on the queue",
     ]
     got = [(r["verdict"], r["decision"]) for r in review.parse_findings(spark.createDataFrame([(l,) for l in lines], "line STRING")).collect()]
-    assert got == [("UNTAGGED", None), ("VIOLATION", 7), ("GAP", None), ("DRIFT", 3), ("VIOLATION", 7), ("DRIFT", 3), ("GAP", None), ("CONFORMS", None)]
+    assert got == [("UNTAGGED", None), ("VIOLATION", 7), ("GAP", None), ("DRIFT", 3), ("VIOLATION", 7), ("DRIFT", 3), ("GAP", None), ("CONFORMS", None), ("VIOLATION", 7), ("DRIFT", 3), ("GAP", None)]
 
 
 def test_routing_examples(spark):
@@ -260,8 +265,8 @@ def test_install_outcomes(spark):
     assert dict(rows(reconcile.plan_removal(d, o), "label", "action")) == {
         "a": "nothing", "b": "remove", "d": "remove", "e": "leave", "f": "leave", "g": "remove", "r": "remove", "q": "nothing",
     }
-    status = reconcile.overall_status(reconcile.check_state(d, o).withColumn("s", F.lit(1)), ["s"]).first()
-    assert (status["all_passed"], status["failing"], status["first_failing"]) == (False, 5, "a")
+    status = reconcile.overall_status(reconcile.check_state(d, o).withColumns({"s": F.lit(1), "ord": -F.ascii("label")}), ["s"]).first()
+    assert (status["all_passed"], status["failing"], status["first_failing"]) == (False, 5, "q")
     assert rows(reconcile.replan_is_noop(d, o)) == [("link", "no-op", 4, 0), ("link", "skip", 2, 0), ("rule", "write", 2, 0)]
 
 

@@ -149,9 +149,16 @@ def test_cycles_without_edges(spark):
 def test_blast_radius(spark):
     edges = [(1, 2), (2, 3), (3, 1), (4, 3), (5, 4), (6, 6)]
     df = spark.createDataFrame(edges, "src BIGINT, dst BIGINT")
-    seeds = spark.createDataFrame([(3,), (6,)], "node BIGINT")
-    got = sorted(tuple(r) for r in blast_radius(df, seeds, 2).select("seed", "node", "hops").collect())
-    assert got == [(3, 1, 2), (3, 2, 1), (3, 4, 1), (3, 5, 2)]
+    seeds = spark.createDataFrame([(1, 3), (1, 6), (2, 3), (2, 2)], "change BIGINT, node BIGINT")
+    got = sorted(tuple(r) for r in blast_radius(df, seeds).select("change", "node", "hops").collect())
+    assert got == [(1, 1, 2), (1, 2, 1), (1, 4, 1), (1, 5, 2), (2, 1, 1), (2, 4, 1), (2, 5, 2)]
+    assert blast_radius(df, seeds, 1).count() == 4
+
+
+def test_blast_radius_follows_a_long_chain_to_its_end(spark):
+    chain = spark.range(40).select((F.col("id") + 1).alias("src"), F.col("id").alias("dst"))
+    got = blast_radius(chain, spark.createDataFrame([("c", 0)], "change STRING, node BIGINT"))
+    assert sorted((r["node"], r["hops"]) for r in got.collect()) == [(n, n) for n in range(1, 41)]
 
 
 def test_supersession(spark):
