@@ -317,16 +317,23 @@ def same_change_check(touches: DataFrame) -> DataFrame:
 
 
 def saga_reconcile(commands: DataFrame, steps: DataFrame, limit_s: float) -> DataFrame:
-    """commands(key, ts) against the first of steps(key, ts): complete, missing step, orphan step, late step."""
+    """commands(key, ts) against the first of steps(key, ts) not before it: complete, missing step, late step.
+
+    Steps before the command, or without one, answer nothing: the first of them is a row of its own, orphan step.
+    """
     sent = commands.groupBy("key").agg(F.min("ts").alias("sent"))
-    done = steps.groupBy("key").agg(F.min("ts").alias("done"))
+    dated = steps.select("key", "ts").distinct().join(sent, "key", "left")
+    answers = F.col("sent").isNotNull() & (F.col("ts") >= F.col("sent"))
+    done = dated.filter(answers).groupBy("key").agg(F.min("ts").alias("done"))
+    orphans = dated.filter(~answers).groupBy("key").agg(F.min("ts").alias("done"))
     state = (
         F.when(F.col("done").isNull(), "missing step")
-        .when(F.col("sent").isNull(), "orphan step")
         .when(seconds_between(F.col("sent"), F.col("done")) > limit_s, "late step")
         .otherwise("complete")
     )
-    return sent.join(done, "key", "full_outer").withColumn("state", state)
+    rows = sent.join(done, "key", "left").withColumn("state", state)
+    alone = orphans.withColumns({"sent": F.lit(None).cast(sent.schema["sent"].dataType), "state": F.lit("orphan step")})
+    return rows.unionByName(alone)
 
 
 def replay_as_of(events: DataFrame, at: Column) -> DataFrame:

@@ -186,14 +186,15 @@ def gate_by_stakes(changes: DataFrame) -> DataFrame:
 
 def trigger_monitor(buckets: DataFrame, triggers: DataFrame, seconds: int) -> DataFrame:
     """buckets(metric, bucket, value), triggers(metric, threshold, sustain) → runs of consecutive
-    buckets above the threshold that last at least ``sustain`` buckets.
+    buckets above the threshold that last at least ``sustain`` buckets, for each trigger by itself.
 
-    Works on one row per (metric, bucket), so a window over a metric is bounded by time, not by rows.
+    Works on one row per (trigger, bucket), so a window over a trigger is bounded by time, not by rows.
     """
     above = buckets.join(triggers, "metric").filter(F.col("value") > F.col("threshold"))
     index = F.floor(F.unix_seconds(F.col("bucket").cast("timestamp")) / seconds)
-    w = Window.partitionBy("metric").orderBy("bucket")
-    runs = above.withColumn("_run", index - F.row_number().over(w)).groupBy("metric", "sustain", "_run")
+    trigger = ["metric", "threshold", "sustain"]
+    w = Window.partitionBy(*trigger).orderBy("bucket")
+    runs = above.withColumn("_run", index - F.row_number().over(w)).groupBy(*trigger, "_run")
     return (
         runs.agg(
             F.min("bucket").alias("first_bucket"),
@@ -202,7 +203,7 @@ def trigger_monitor(buckets: DataFrame, triggers: DataFrame, seconds: int) -> Da
             F.max("value").alias("peak"),
         )
         .filter(F.col("buckets") >= F.col("sustain"))
-        .drop("_run", "sustain")
+        .drop("_run")
     )
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ashlar.operators.signal import peak_meter
 from ashlar.streaming import processors as p
 
+# State processors travel with their code: the worker that prepares a query sees no files sent to executors.
+cloudpickle.register_pickle_by_value(p)
+
 
 def peak_meter_stream(samples: DataFrame, keys: Sequence[str], size: str, slide: str | None = None) -> DataFrame:
     """Closed windows of the peak meter, in append mode."""
@@ -25,7 +29,7 @@ def bucket_stream(events: DataFrame, keys: Sequence[str], size: str) -> DataFram
 def trigger_stream(buckets: DataFrame, triggers: DataFrame, bucket_s: int) -> DataFrame:
     """buckets(metric, bucket, value) as a stream, triggers(metric, threshold, sustain) → runs as they reach sustain."""
     above = buckets.join(triggers, "metric").filter(F.col("value") > F.col("threshold"))
-    keyed = above.select("metric", "bucket", "sustain").groupBy("metric")
+    keyed = above.select("metric", "threshold", "sustain", "bucket").groupBy("metric", "threshold", "sustain")
     return keyed.transformWithStateInPandas(p.SustainedRuns(bucket_s), p.RUNS, "append", "none")
 
 

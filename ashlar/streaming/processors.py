@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 REGIONS = "track BIGINT, started TIMESTAMP, stopped TIMESTAMP"
 REROUTES = "task BIGINT, ts TIMESTAMP, old_target STRING, new_target STRING"
 CONFLICTS = "worktree BIGINT, ts TIMESTAMP, holder BIGINT, intruder BIGINT"
-RUNS = "metric STRING, first_bucket TIMESTAMP, fired_bucket TIMESTAMP, buckets BIGINT"
+RUNS = "metric STRING, threshold INT, sustain INT, first_bucket TIMESTAMP, fired_bucket TIMESTAMP, buckets BIGINT"
 
 
 def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -126,7 +126,7 @@ class WorktreeHolder(StatefulProcessor):
 
 
 class SustainedRuns(StatefulProcessor):
-    """Buckets of a metric above its threshold → one row when a run reaches its length."""
+    """Buckets above the threshold of one trigger (metric, threshold, sustain) → one row when a run reaches its length."""
 
     def __init__(self, bucket_s: int) -> None:
         self.step = bucket_s * 1_000_000
@@ -144,10 +144,10 @@ class SustainedRuns(StatefulProcessor):
             else:
                 first, n = at, 1
             last = at
-            if n == r.sustain:
-                out.append((key[0], _stamp(first), r.bucket, n))
+            if n == key[2]:
+                out.append((*key, _stamp(first), r.bucket, n))
         self.run.update((first, last, n))
-        yield pd.DataFrame(out, columns=["metric", "first_bucket", "fired_bucket", "buckets"])
+        yield pd.DataFrame(out, columns=["metric", "threshold", "sustain", "first_bucket", "fired_bucket", "buckets"])
 
     def close(self) -> None:
         pass

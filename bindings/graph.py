@@ -281,13 +281,15 @@ def d14(t):
     "d15_saga_reconcile",
     """
 WITH c AS (SELECT o_orderkey AS key, min(o_orderdate) AS sent FROM orders GROUP BY 1),
-s AS (SELECT l_orderkey AS key, min(l_shipdate) AS done FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
-SELECT coalesce(c.key, s.key) AS key, sent, done, CASE WHEN done IS NULL THEN 'missing step' WHEN sent IS NULL THEN 'orphan step'
-  WHEN done > sent + INTERVAL 30 DAY THEN 'late step' ELSE 'complete' END AS state FROM c FULL JOIN s ON c.key = s.key""",
+s AS (SELECT l_orderkey AS key, l_shipdate - INTERVAL 10 DAY AS ts FROM lineitem WHERE l_returnflag <> 'N'),
+d AS (SELECT s.key, min(ts) AS done FROM s JOIN c ON c.key = s.key AND ts >= sent GROUP BY 1)
+SELECT c.key, sent, done, CASE WHEN done IS NULL THEN 'missing step' WHEN done > sent + INTERVAL 30 DAY THEN 'late step' ELSE 'complete' END AS state
+FROM c LEFT JOIN d ON c.key = d.key
+UNION ALL SELECT s.key, NULL, min(ts), 'orphan step' FROM s LEFT JOIN c ON c.key = s.key WHERE sent IS NULL OR ts < sent GROUP BY 1""",
 )
 def d15(t):
     commands = t.orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("ts"))
-    steps = t.lineitem.filter(F.col("l_returnflag") != "N").select(F.col("l_orderkey").alias("key"), F.col("l_shipdate").alias("ts"))
+    steps = t.lineitem.filter(F.col("l_returnflag") != "N").select(F.col("l_orderkey").alias("key"), (F.col("l_shipdate") - F.expr("INTERVAL 10 DAYS")).alias("ts"))
     return ops.saga_reconcile(commands, steps, 30 * 86400.0)
 
 

@@ -233,7 +233,7 @@ def b8(t):
     return ops.gate_by_stakes(changes).select("change", "stakes")
 
 
-TRIGGERS = "VALUES ('view', 4, 2), ('click', 3, 2), ('purchase', 3, 2), ('signup', 3, 2), ('error', 2, 2)"
+TRIGGERS = "VALUES ('view', 4, 2), ('view', 6, 1), ('click', 3, 2), ('purchase', 3, 2), ('signup', 3, 2), ('error', 2, 2)"
 
 
 def hourly_counts(t):
@@ -248,10 +248,10 @@ def hourly_counts(t):
 WITH triggers AS (SELECT * FROM ({TRIGGERS}) v(metric, threshold, sustain)),
 b AS (SELECT event_type AS metric, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, count(*) AS value FROM events GROUP BY ALL),
 r AS (
-  SELECT b.*, sustain, bucket - INTERVAL 1 HOUR * (row_number() OVER (PARTITION BY b.metric ORDER BY bucket)) AS run
+  SELECT b.*, threshold, sustain, bucket - INTERVAL 1 HOUR * (row_number() OVER (PARTITION BY b.metric, threshold, sustain ORDER BY bucket)) AS run
   FROM b JOIN triggers t ON b.metric = t.metric AND value > threshold)
-SELECT metric, min(bucket) AS first_bucket, max(bucket) AS last_bucket, count(*) AS buckets, max(value) AS peak
-FROM r GROUP BY metric, sustain, run HAVING count(*) >= sustain""",
+SELECT metric, threshold, sustain, min(bucket) AS first_bucket, max(bucket) AS last_bucket, count(*) AS buckets, max(value) AS peak
+FROM r GROUP BY metric, threshold, sustain, run HAVING count(*) >= sustain""",
 )
 def b9(t):
     triggers = t.spark.sql(f"SELECT * FROM {TRIGGERS} AS v(metric, threshold, sustain)")

@@ -7,6 +7,8 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ashlar.session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -26,6 +28,7 @@ class Tables:
 
 def _run(fn: Callable[[Tables], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
     return fn(Tables(spark, sf_dir))
 
 

@@ -167,10 +167,10 @@ b AS (
   SELECT * FROM (SELECT event_type AS metric, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, count(*) AS value FROM events GROUP BY ALL)
   WHERE bucket + INTERVAL 1 HOUR <= {CLOSED}),
 r AS (
-  SELECT b.*, sustain, bucket - INTERVAL 1 HOUR * (row_number() OVER (PARTITION BY b.metric ORDER BY bucket)) AS run
+  SELECT b.*, threshold, sustain, bucket - INTERVAL 1 HOUR * (row_number() OVER (PARTITION BY b.metric, threshold, sustain ORDER BY bucket)) AS run
   FROM b JOIN triggers t ON b.metric = t.metric AND value > threshold)
-SELECT metric, min(bucket) AS first_bucket, min(bucket) + INTERVAL 1 HOUR * (any_value(sustain) - 1) AS fired_bucket, any_value(sustain)::BIGINT AS buckets
-FROM r GROUP BY metric, sustain, run HAVING count(*) >= sustain""",
+SELECT metric, threshold, sustain, min(bucket) AS first_bucket, min(bucket) + INTERVAL 1 HOUR * (any_value(sustain) - 1) AS fired_bucket, any_value(sustain)::BIGINT AS buckets
+FROM r GROUP BY metric, threshold, sustain, run HAVING count(*) >= sustain""",
 )
 def b9_stream(t):
     root = new_folder(t.spark)

@@ -101,6 +101,19 @@ def test_trigger_needs_consecutive_buckets(spark):
     b = spark.createDataFrame(stamps, "metric STRING, bucket STRING, value INT").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
     t = spark.createDataFrame([("rps", 5, 2)], "metric STRING, threshold INT, sustain INT")
     assert rows(records.trigger_monitor(b, t, 3600), "buckets") == [(2,), (3,)]
+    two = spark.createDataFrame([("rps", 1, 3), ("rps", 5, 3)], "metric STRING, threshold INT, sustain INT")
+    assert rows(records.trigger_monitor(b, two, 3600), "threshold", "buckets") == [(1, 3), (5, 3)]
+
+
+def test_saga_steps_before_the_command_answer_nothing(spark):
+    at = F.col("ts").cast("timestamp_ntz")
+    sent = spark.createDataFrame([(1, "2024-01-10"), (2, "2024-01-10"), (3, "2024-01-10"), (5, "2024-01-10")], "key INT, ts STRING").withColumn("ts", at)
+    done = [(1, "2024-01-01"), (1, "2024-01-11"), (2, "2024-01-01"), (3, "2024-01-20"), (4, "2024-01-10")]
+    steps = spark.createDataFrame(done, "key INT, ts STRING").withColumn("ts", at)
+    got = graph.saga_reconcile(sent, steps, 5 * 86400.0)
+    assert sorted(rows(got, "key", "state")) == [
+        (1, "complete"), (1, "orphan step"), (2, "missing step"), (2, "orphan step"), (3, "late step"), (4, "orphan step"), (5, "missing step"),
+    ]
 
 
 def test_rejected_plus_chosen_is_all(spark):
