@@ -223,5 +223,5 @@ def test_percentiles_read_their_input_once(spark):
 
 def test_every_operator_of_the_inventory_has_a_query():
     sizes = {"a": 7, "b": 12, "c": 28, "d": 18, "e": 8, "f": 9, "g": 6, "h": 11, "i": 4}
-    ids = {n.split("_")[0] for n in entry.queries()}
+    ids = {n.split("_")[0] for n in set(entry.queries()) - IN_TASKS}
     assert ids == {f"{family}{i}" for family, n in sizes.items() for i in range(1, n + 1)}
