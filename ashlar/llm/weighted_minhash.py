@@ -28,8 +28,10 @@ BANDS, ROWS = 16, 4
 BUCKET_BITS, SLICES = 18, 64
 #: A shingle in less than one of so many documents weighs most, 1 + DAMPING times one that every document has.
 RARE, DAMPING = 1000, 0.25
-#: Members of a bucket that are compared with the other components in it.
-CENTRES = 8
+#: A block of bucket members holds about so many members, or so many bytes of text if they are long.
+BLOCK_MEMBERS, BLOCK_TEXT = 1024, 4 << 20
+#: Columns of a block's element matrix that are multiplied at a time.
+COLUMNS = 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -145,17 +147,18 @@ def draws(of: np.ndarray, shingle: np.ndarray, weight: np.ndarray, documents: in
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(doc_id, document, node, has_words, bands): node names the normalised words, so copies share it."""
+    """(doc_id, document, node, has_words, n_bytes, bands): node names the normalised words, so copies share it."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, wordy, bands = [], [], []
+            nodes, wordy, bands, size = [], [], [], []
             for lo, hi, data, offsets in blocks(text_of(batch)):
                 of, shingle, occurrences = shingles(data, offsets)
                 keys = draws(of, shingle, weights(shingle, occurrences, shared.value), hi - lo)
                 bands.append(keys)
                 wordy.append(np.bincount(of, minlength=hi - lo) > 0)
+                size.append(np.diff(offsets).astype(np.int64))
                 for i in range(hi - lo):
                     raw = data[offsets[i] : offsets[i + 1]].tobytes()
                     words = raw.translate(_NORMAL).split()
@@ -164,11 +167,12 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("document"), pa.array(nodes, pa.binary()),
                  pa.array(np.concatenate(wordy) if wordy else np.zeros(0, bool)),
+                 pa.array(np.concatenate(size) if size else np.zeros(0, np.int64)),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), pa.array(signed(flat)))],
-                names=["doc_id", "document", "node", "has_words", "bands"])
+                names=["doc_id", "document", "node", "has_words", "n_bytes", "bands"])
 
     return docs.select("doc_id", "document", "text").mapInArrow(
-        sign, "doc_id long, document long, node binary, has_words boolean, bands array<long>")
+        sign, "doc_id long, document long, node binary, has_words boolean, n_bytes long, bands array<long>")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
@@ -201,6 +205,84 @@ def similar(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: flo
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(judge, "a binary, b binary")
 
 
+def elements(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, hash and shingle of every occurrence of a shingle; the n-th one has the same hash in all texts."""
+    found = []
+    for lo, _, data, offsets in blocks(texts):
+        of, shingle, occurrences = shingles(data, offsets)
+        nth = np.arange(occurrences.sum()) - np.repeat(np.cumsum(occurrences) - occurrences, occurrences)
+        each = np.repeat(shingle, occurrences)
+        found.append((np.repeat(of, occurrences) + lo, mix(each + nth.astype(np.uint64) * np.uint64(BASE)), each))
+    of, element, shingle = (np.concatenate(part) for part in zip(*found, strict=True))
+    return of, element, shingle
+
+
+def overlaps(texts: pa.Array, left: np.ndarray, right: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Common weight of each left with each right text, and the weight of every text.
+
+    Elements in one text only add nothing; the others are columns of a 0/1 matrix, multiplied a few at a time.
+    """
+    of, element, shingle = elements(texts)
+    weight = weights(shingle, np.ones(len(shingle), np.int64), idf)
+    total = np.bincount(of, weight, minlength=len(texts))
+    _, column, number = np.unique(element, return_inverse=True, return_counts=True)
+    many = number > 1
+    place = np.cumsum(many) - 1
+    inside = many[column]
+    of, column, weight = of[inside], place[column[inside]], weight[inside]
+    order = np.argsort(column, kind="stable")
+    of, column, weight = of[order], column[order], weight[order]
+    common = np.zeros((len(left), len(right)))
+    for first in range(0, int(many.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [first, first + COLUMNS])
+        held, worth = np.zeros((len(texts), COLUMNS)), np.zeros(COLUMNS)
+        held[of[lo:hi], column[lo:hi] - first] = 1
+        worth[column[lo:hi] - first] = weight[lo:hi]
+        common += (held[left] * worth) @ held[right].T
+    return common, total
+
+
+def across_components(tiles: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) that join the labels of each tile: (bucket, low, high, block, node, label, text).
+
+    A tile compares the members of one block with those of another, or of one block with each other, inside its task.
+    Of the links found, those that join labels not yet joined are returned, so less than the tile has members.
+    """
+    shared = tiles.sparkSession.sparkContext.broadcast(idf)
+
+    def compare(tile: pa.Table) -> pa.Table:
+        batch = tile.combine_chunks().to_batches()[0]
+        block, node = batch.column("block").to_numpy(), batch.column("node")
+        left = np.flatnonzero(block == batch.column("low")[0].as_py())
+        right = np.flatnonzero(block == batch.column("high")[0].as_py())
+        label = batch.column("label").dictionary_encode().indices.to_numpy()
+        a, b = [], []
+        if len(left) and len(right) and label.any():
+            common, total = overlaps(text_of(batch), left, right, shared.value)
+            linked = common >= (similarity - 1e-9) * (total[left][:, None] + total[right] - common)
+            i, j = np.nonzero(linked & (label[left][:, None] != label[right]))
+            i, j = left[i], right[j]
+            ends = np.sort(np.stack([label[i], label[j]]).astype(np.int64), axis=0)
+            _, first = np.unique(ends[0] * len(label) + ends[1], return_index=True)
+            root = list(range(len(label)))
+
+            def top(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for at in first.tolist():
+                s, t = top(int(ends[0, at])), top(int(ends[1, at]))
+                if s != t:
+                    root[s] = t
+                    a.append(node[int(i[at])])
+                    b.append(node[int(j[at])])
+        return pa.table({"a": pa.array([x.as_py() for x in a], pa.binary()), "b": pa.array([x.as_py() for x in b], pa.binary())})
+
+    return tiles.groupBy("bucket", "low", "high").applyInArrow(compare, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     return failure_domains(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
@@ -218,10 +300,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     in both are one document. Null texts count as empty; texts without words are in one class only with equal texts.
     An empty table gives no rows; other columns are not looked at.
 
-    Copies (equal words) are one node throughout. In each bucket one member is compared with all others. Then CENTRES
-    further members of each bucket that still holds several components are compared with all its members of other
-    components. So the pairs grow with the members and not with their square; a pair that never met a centre in
-    any of its buckets is linked only through others.
+    Copies (equal words) are one node throughout. In each bucket one member is compared with all others, so the pairs
+    grow with the members. A bucket that then still holds several components is cut into blocks, and every two blocks
+    are compared inside one task. No two members of a bucket that could join two components stay uncompared.
     """
     spark = docs.sparkSession
     stored = Stored(spark)
@@ -231,27 +312,30 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     idf = inverse_frequency(counts, documents)
     signed_ = stored.keep(signatures(plain, idf), "signatures")
     nodes = (signed_.where("has_words").groupBy("node")
-             .agg(F.min_by("document", F.struct("document")).alias("document"), F.first("bands").alias("bands")))
+             .agg(F.min_by("document", F.struct("document")).alias("document"), F.max("n_bytes").alias("n_bytes"),
+                  F.first("bands").alias("bands")))
     nodes = stored.keep(nodes, "nodes")
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    members = nodes.select("node", "n_bytes", F.explode("bands").alias("bucket"))
     several = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre != other")
     several = stored.keep(several.select("bucket", "centre"), "several")  # a table, so that a skewed bucket can be split
-    live = stored.keep(members.join(several, "bucket").where("node != centre"), "live-0")
-    pairs = stored.keep(live.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs-0")
+    live = stored.keep(members.join(several, "bucket").where("node != centre"), "live")
+    pairs = stored.keep(live.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     keys = needed.join(nodes.select("node", "document"), "node")
     texts = stored.keep(plain.select("document", "text").join(keys, "document").select("node", "text").dropDuplicates(["node"]), "texts")
     links = stored.keep(similar(pairs, texts, idf, similarity), "links-0")
     labels = stored.keep(components(links), "labels-0")
-    named = live.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("domain", "node").alias("label"))
-    open_ = named.groupBy("bucket").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label != other")
-    named = stored.keep(named.join(stored.keep(open_.select("bucket"), "open"), "bucket"), "named")
-    salted = named.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(CENTRES)).alias("salt")).agg(F.min(F.struct("node", "label")).alias("c"))
-    centres = stored.keep(salted.select("bucket", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label")), "centres")
-    across = named.join(centres, "bucket").where("label != centre_label").select(
-        F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
-    later = stored.keep(across.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs-1")
-    links = stored.keep(links.unionByName(similar(later, texts, idf, similarity)), "links-1")
+    named = live.select("bucket", "node", "n_bytes").join(labels, "node", "left").withColumn("label", F.coalesce("domain", "node"))
+    open_ = named.groupBy("bucket").agg(
+        F.min("label").alias("label"), F.max("label").alias("other"),
+        F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n_bytes") / BLOCK_TEXT)).cast("int").alias("blocks"))
+    open_ = stored.keep(open_.where("label != other").select("bucket", "blocks"), "open")
+    placed = (named.select("bucket", "node", "label").join(open_, "bucket")
+              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+              .withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("bucket", F.least("block", "met").alias("low"), F.greatest("block", "met").alias("high"), "block", "node", "label"))
+    tiles = placed.join(texts, "node")
+    links = stored.keep(links.unionByName(across_components(tiles, idf, similarity)), "links-1")
     labels = stored.keep(components(links), "labels-1")
     rows = signed_.select("doc_id", "document", "node").join(labels, "node", "left").select(
         "doc_id", "document", F.coalesce("domain", "node").alias("label"))

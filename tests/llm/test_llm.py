@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,6 +122,35 @@ def test_near_duplicates_against_all_pairs(spark, docs, none):
     assert len({raw(r["text"]) for r in kept}) == len(kept) and set(kept[0]) == set(DOCS.names)
 
 
+@pytest.mark.parametrize("members", [1024, 16])
+def test_near_copies_linked_only_through_their_original(spark, monkeypatch, members):
+    monkeypatch.setattr(weighted_minhash, "BLOCK_MEMBERS", members)
+    base = prose(300, 5).split()
+    texts = [" ".join(base)]
+    for k in range(80):
+        words = list(base)
+        for at in range(3 + k % 60, 300, 60):
+            words[at] = f"edit{k}x{at}"
+        texts.append(" ".join(words))
+    table = spark.createDataFrame([(i, t, None, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = rows(weighted_minhash.near_duplicates(table))
+    assert len(got) == len(texts) and {r["class_id"] for r in got} == {0}
+    assert [r["doc_id"] for r in got if r["is_kept"]] == [0]
+
+
+def test_overlaps_are_sums_of_least_weights():
+    texts = pa.array([raw(" ".join(random.Random(k).choices(["a", "b", "c"], k=60 * k))) for k in range(6)], pa.large_binary())
+    idf = 1 + np.random.default_rng(3).random(1 << weighted_minhash.BUCKET_BITS)
+    bags = []
+    for t in texts:
+        data = np.frombuffer(t.as_py(), np.uint8)
+        _, s, c = weighted_minhash.shingles(data, np.array([0, len(data)]))
+        bags.append(dict(zip(s.tolist(), weighted_minhash.weights(s, c, idf).tolist(), strict=True)))
+    common, total = weighted_minhash.overlaps(texts, np.arange(2), np.arange(1, 6), idf)
+    assert np.allclose(total, [sum(b.values()) for b in bags])
+    assert np.allclose(common, [[sum(min(w, bags[j].get(s, 0)) for s, w in bags[i].items()) for j in range(1, 6)] for i in range(2)])
+
+
 def test_token_counts_against_longest_match(docs, none):
     for tokens in (token_counts.byte_vocabulary(tokenizer_path("byte_bpe_50k.json")), [b" a", b" alp", b"ha", b"l", b"pha", b" ", b"be", b"ta"]):
         vocabulary, longest = set(tokens), max(map(len, tokens))
