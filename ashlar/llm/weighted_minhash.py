@@ -218,7 +218,7 @@ def elements(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def overlaps(texts: pa.Array, left: np.ndarray, right: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Common weight of each left with each right text, and the weight of every text.
+    """Common weight of each left with each other right text, and the weight of every text.
 
     Elements in one text only add nothing; the others are columns of a 0/1 matrix, multiplied a few at a time.
     """
