@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 TOKEN_SEPARATOR = r"[^\p{L}\p{N}-]+"
 
-MEASURE_WITH_COMPARATOR = r"^(.*?)\s*(<=|>=|<|>)\s*([0-9]+(?:\.[0-9]+)?)\s*(k?)\s*(ms|rps|%|x|s)?"
-BARE_MEASURE = r"(?:^|\s)([0-9]+(?:\.[0-9]+)?)\s*(k?)\s*(ms|rps|%|x|s)?"
+#: Words before, comparator, currency, number, k, unit; a number inside a word is none.
+MEASURE = r"(?s)(.*?)\s*(<=|>=|<|>)?\s*(\$)?\b([0-9]+(?:\.[0-9]+)?)(?:(k)\b)?\s*(%|×|/?[A-Za-z]+(?:/[A-Za-z]+)?)?"
+MEASURE_LEAD = r"^[^\p{L}\p{N}]+"
 
 # Shapes of regulated data and of credentials.
 DATA_CLASS_PATTERNS = {

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ashlar.functions.lint import blank, names_where
-from ashlar.functions.text import BARE_MEASURE, MEASURE_WITH_COMPARATOR, tokens
+from ashlar.functions.text import MEASURE, MEASURE_LEAD, tokens
 from ashlar.plans.asof import asof_join
 from ashlar.plans.sizes import BROADCAST_BYTES, stored_with_size
 
@@ -54,39 +54,36 @@ def undefined_terms(
 
 
 def extract_measures(rows: DataFrame, text: str) -> DataFrame:
-    """Metric, comparator, number and unit of a definition; a row without a number is a wish.
+    """One row per number of a definition: metric, comparator, value, k, unit; without a number it is one row, a wish.
 
-    ``scaled`` is in base units: k is 1000, ms are seconds, % is a share.
+    ``measure`` counts from 1 along the text. ``metric`` is the text between the number before and the comparator, null
+    without comparator. ``unit`` is the sign or word behind the number, whatever it is; $ goes in front of it.
+    ``scaled`` is in base units: k is 1000, ms are seconds, % is a share; other units stay as they are.
     """
-    t = F.col(text)
-
-    def compared(group: int):
-        return F.regexp_extract(t, MEASURE_WITH_COMPARATOR, group)
-
-    def bare(group: int):
-        return F.regexp_extract(t, BARE_MEASURE, group)
-
-    has_comparator = compared(2) != ""
-    number = F.when(has_comparator, compared(3)).otherwise(bare(1))
-    suffix = F.when(has_comparator, compared(4)).otherwise(bare(2))
-    unit = F.when(has_comparator, compared(5)).otherwise(bare(3))
-    value = F.when(F.col("number") != "", F.col("number").cast("double"))
-    factor = (
-        F.when(F.col("suffix") == "k", 1000.0).otherwise(1.0)
-        * F.when(F.col("unit") == "ms", 0.001).when(F.col("unit") == "%", 0.01).otherwise(1.0)
-    )
+    pieces = F.regexp_extract_all(F.col(text), F.lit(MEASURE), F.lit(0))
+
+    def part(group: int):
+        return F.nullif(F.regexp_extract("_piece", MEASURE, group), F.lit(""))
+
+    lead = F.nullif(F.trim(F.regexp_replace(F.regexp_extract("_piece", MEASURE, 1), MEASURE_LEAD, "")), F.lit(""))
+    factor = F.when(F.col("suffix") == "k", 1000.0).otherwise(1.0) * F.when(F.col("unit") == "ms", 0.001).when(
+        F.col("unit") == "%", 0.01
+    ).otherwise(1.0)
+    unit = F.concat(F.coalesce(part(3), F.lit("")), F.coalesce(part(6), F.lit("")))
     return (
-        rows.withColumns({"number": number, "suffix": suffix, "unit": unit})
+        rows.select("*", F.posexplode_outer(pieces).alias("_at", "_piece"))
         .withColumns(
             {
-                "metric": F.when(has_comparator, F.trim(compared(1))),
-                "op": F.when(has_comparator, compared(2)),
-                "value": value,
-                "scaled": value * factor,
-                "wish": F.col("number") == "",
+                "measure": F.col("_at") + 1,
+                "metric": F.when(part(2).isNotNull(), lead),
+                "op": part(2),
+                "value": part(4).cast("double"),
+                "suffix": part(5),
+                "unit": F.nullif(unit, F.lit("")),
             }
         )
-        .drop("number")
+        .withColumns({"scaled": F.col("value") * factor, "wish": F.col("value").isNull()})
+        .drop("_at", "_piece")
     )
 
 

@@ -69,16 +69,22 @@ def peak_meter(samples: DataFrame, keys: Sequence[str], size: str, slide: str |
 
 
 def loudness_blocks(energy: DataFrame, step: str, steps: int = 4) -> DataFrame:
-    """energy(track, ts, e) → mean square per block of ``steps`` steps, a new block each step.
+    """energy(track, ts, e) → mean square per complete block of ``steps`` steps, a new block each step.
 
-    Samples are reduced to one row per step first; only those rows are spread over the blocks.
+    A block is complete if it lies between the track's first and last step; a step without samples is silence. Samples are
+    reduced to one row per step first; only those rows are spread over the blocks. Wholly silent blocks have no row.
     """
-    per_step = energy.groupBy("track", F.window("ts", step).alias("_w")).agg(F.sum("e").alias("_e"), F.count("e").alias("_n"))
-    starts = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.col("_w.start") - k * F.expr(f"INTERVAL {step}"))
+    length = F.expr(f"INTERVAL {step}")
+    per_step = energy.groupBy("track", F.window("ts", step).start.alias("_step")).agg(F.avg("e").alias("_e"))
+    span = per_step.groupBy("track").agg(F.min("_step").alias("_first"), F.max("_step").alias("_last"))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.col("_step") - k * length)
+    complete = (F.col("block") >= F.col("_first")) & (F.col("block") + (steps - 1) * length <= F.col("_last"))
     return (
-        per_step.select("track", F.explode(starts).alias("block"), "_e", "_n")
+        per_step.join(span, "track")
+        .select("track", F.explode(starts).alias("block"), "_e", "_first", "_last")
+        .filter(complete)
         .groupBy("track", "block")
-        .agg((F.sum("_e") / F.sum("_n")).alias("ms"))
+        .agg((F.sum("_e") / steps).alias("ms"))
     )
 
 

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from ashlar.functions.text import BARE_MEASURE, MEASURE_WITH_COMPARATOR, tokens
+from ashlar.functions.text import MEASURE, MEASURE_LEAD, tokens
 from ashlar.operators import ledger as ops
 from bindings.registry import query
 
@@ -66,33 +66,34 @@ WITH rows AS (
   SELECT o_orderkey AS id,
     CASE WHEN o_orderstatus = 'P' THEN 'fast enough'
          WHEN o_orderpriority = '1-URGENT' THEN 'about ' || (o_orderkey % 100)::VARCHAR || 'k rps'
+         WHEN o_orderpriority = '2-HIGH' THEN concat(o_orderkey % 10, 'x load (→ ', o_orderkey % 100, 'k rps) with < ', o_orderkey % 7, 'x cost, $', o_orderkey % 900, '/month, past 3 squads')
          ELSE concat('p', o_orderkey % 100, ' latency < ', floor(o_totalprice)::BIGINT, 'ms') END AS definition
   FROM orders),
+pieces AS (
+  SELECT id, definition, unnest(CASE WHEN len(p) = 0 THEN [NULL] ELSE range(1, len(p) + 1) END)::INTEGER AS measure,
+    unnest(CASE WHEN len(p) = 0 THEN [NULL] ELSE p END) AS piece
+  FROM (SELECT *, regexp_extract_all(definition, '{MEASURE}', 0) AS p FROM rows)),
 parts AS (
-  SELECT *, regexp_extract(definition, '{MEASURE_WITH_COMPARATOR}', 2) <> '' AS c,
-    regexp_extract(definition, '{MEASURE_WITH_COMPARATOR}', 1) AS m1,
-    regexp_extract(definition, '{MEASURE_WITH_COMPARATOR}', 2) AS m2,
-    regexp_extract(definition, '{MEASURE_WITH_COMPARATOR}', 3) AS m3,
-    regexp_extract(definition, '{MEASURE_WITH_COMPARATOR}', 4) AS m4,
-    regexp_extract(definition, '{MEASURE_WITH_COMPARATOR}', 5) AS m5,
-    regexp_extract(definition, '{BARE_MEASURE}', 1) AS b1,
-    regexp_extract(definition, '{BARE_MEASURE}', 2) AS b2,
-    regexp_extract(definition, '{BARE_MEASURE}', 3) AS b3 FROM rows),
-named AS (
-  SELECT id, definition, CASE WHEN c THEN m4 ELSE b2 END AS suffix, CASE WHEN c THEN m5 ELSE b3 END AS unit,
-    CASE WHEN c THEN trim(m1) END AS metric, CASE WHEN c THEN m2 END AS op,
-    nullif(CASE WHEN c THEN m3 ELSE b1 END, '')::DOUBLE AS value FROM parts)
-SELECT id, definition, suffix, unit, metric, op, value,
+  SELECT id, definition, measure, nullif(regexp_extract(piece, '{MEASURE}', 2), '') AS op,
+    nullif(trim(regexp_replace(regexp_extract(piece, '{MEASURE}', 1), '{MEASURE_LEAD}', '')), '') AS words,
+    nullif(regexp_extract(piece, '{MEASURE}', 4), '')::DOUBLE AS value, nullif(regexp_extract(piece, '{MEASURE}', 5), '') AS suffix,
+    nullif(concat(regexp_extract(piece, '{MEASURE}', 3), regexp_extract(piece, '{MEASURE}', 6)), '') AS unit FROM pieces)
+SELECT id, definition, measure, suffix, unit, CASE WHEN op IS NOT NULL THEN words END AS metric, op, value,
   round(value * (CASE WHEN suffix = 'k' THEN 1000.0 ELSE 1.0 END)
     * (CASE unit WHEN 'ms' THEN 0.001 WHEN '%' THEN 0.01 ELSE 1.0 END), 4)::DOUBLE AS scaled,
-  value IS NULL AS wish FROM named""",
+  value IS NULL AS wish FROM parts""",
 )
 def a4(t):
     number = F.floor("o_totalprice").cast("bigint")
     bucket = F.col("o_orderkey") % 100
+    several = F.concat(
+        F.col("o_orderkey") % 10, F.lit("x load (→ "), bucket, F.lit("k rps) with < "), F.col("o_orderkey") % 7,
+        F.lit("x cost, $"), F.col("o_orderkey") % 900, F.lit("/month, past 3 squads"),
+    )
     definition = (
         F.when(F.col("o_orderstatus") == "P", "fast enough")
         .when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("about "), bucket, F.lit("k rps")))
+        .when(F.col("o_orderpriority") == "2-HIGH", several)
         .otherwise(F.concat(F.lit("p"), bucket, F.lit(" latency < "), number, F.lit("ms")))
     )
     rows = t.orders.select(F.col("o_orderkey").alias("id"), definition.alias("definition"))

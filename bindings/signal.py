@@ -67,8 +67,12 @@ def h3_sliding(t):
 
 
 LOUD = """
-w AS (SELECT user_id AS track, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * unnest(range(4)) AS block, (value / 500) * (value / 500) AS e FROM events),
-b AS (SELECT track, block, avg(e) AS ms FROM w GROUP BY ALL),
+s AS (SELECT user_id AS track, time_bucket(INTERVAL 1 HOUR, ts) AS step, avg((value / 500) * (value / 500)) AS e FROM events GROUP BY ALL),
+z AS (SELECT track, min(step) AS first_step, max(step) AS last_step FROM s GROUP BY track),
+w AS (SELECT track, step - INTERVAL 1 HOUR * unnest(range(4)) AS block, e FROM s),
+b AS (
+  SELECT track, block, sum(e) / 4 AS ms FROM w JOIN z USING (track)
+  WHERE block >= first_step AND block + INTERVAL 3 HOUR <= last_step GROUP BY ALL),
 a AS (SELECT * FROM b WHERE ms > 0 AND -0.691 + 10 * log10(ms) > -70),
 g AS (SELECT track, -10.691 + 10 * log10(avg(ms)) AS gate FROM a GROUP BY track),
 l AS (

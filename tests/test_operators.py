@@ -37,14 +37,20 @@ def test_ledger(spark):
 def test_measures(spark):
     texts = ["p99 end-to-end latency < 200ms", "10x current load (→ 5k rps) with < 2x cost", "availability >= 99.9%", "up to 5k rps", "fast"]
     df = ledger.extract_measures(spark.createDataFrame([(t,) for t in texts], "d STRING"), "d")
-    got = {r["d"]: r for r in df.collect()}
+    rows = df.collect()
+    got = {r["d"]: r for r in rows if r["measure"] in (None, 1)}
     first = got[texts[0]]
     assert (first["metric"], first["op"], first["value"], first["unit"]) == ("p99 end-to-end latency", "<", 200.0, "ms")
     assert first["scaled"] == pytest.approx(0.2)
-    assert (got[texts[1]]["op"], got[texts[1]]["value"], got[texts[1]]["unit"]) == ("<", 2.0, "x")
+    several = sorted((r["measure"], r["metric"], r["op"], r["scaled"], r["unit"]) for r in rows if r["d"] == texts[1])
+    assert several == [(1, None, None, 10.0, "x"), (2, None, None, 5000.0, "rps"), (3, "with", "<", 2.0, "x")]
     assert got[texts[2]]["scaled"] == pytest.approx(0.999)
     assert (got[texts[3]]["value"], got[texts[3]]["suffix"], got[texts[3]]["scaled"]) == (5.0, "k", 5000.0)
     assert got[texts[4]]["wish"] and got[texts[4]]["value"] is None
+    units = ["team grows past 3 squads", "within 4 stages", "p99 < 5 kb", "under $900/month", "12 months"]
+    df = ledger.extract_measures(spark.createDataFrame([(t,) for t in units], "d STRING"), "d")
+    got = {r["d"]: (r["scaled"], r["unit"]) for r in df.collect()}
+    assert got == dict(zip(units, [(3.0, "squads"), (4.0, "stages"), (5.0, "kb"), (900.0, "$/month"), (12.0, "months")], strict=True))
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 0])
@@ -292,6 +298,18 @@ def test_capture_ignores_repeated_controls(spark):
     assert rows(got, F.hour("region"), F.col("seq") - 100, "open") == [(1, 2, False), (1, 4, False), (8, 40, True), (8, 9, True)]
 
 
+def test_only_complete_blocks_are_gated_in(spark):
+    def loud(steps):
+        rows = [("a", f"2024-01-01 {h:02d}:{m:02d}:00", e) for h, e in steps for m in (0, 30)]
+        df = spark.createDataFrame(rows, "track STRING, ts STRING, e DOUBLE").withColumn("ts", F.to_timestamp("ts"))
+        return [(r["blocks"], round(r["lufs"], 3)) for r in signal.integrated_loudness(df, "1 HOUR").collect()]
+
+    assert loud([(5, 1.0)]) == []
+    assert loud([(h, 1.0) for h in range(4)]) == [(1, -0.691)]
+    assert loud([(h, 1.0) for h in range(6)]) == [(3, -0.691)]
+    assert loud([(0, 1.0), (3, 1.0)]) == [(1, -3.701)]  # two of four steps are silent
+
+
 def test_gain_is_capped_and_silence_kept(spark):
     levels = spark.createDataFrame([("loud", -10.0, -3.0), ("quiet", -30.0, -20.0), ("peaky", -30.0, -2.0), ("silent", None, None)], "track STRING, lufs DOUBLE, peak_db DOUBLE")
     got = {r["track"]: (r["gain_db"], r["capped"]) for r in signal.track_gain(levels).collect()}
