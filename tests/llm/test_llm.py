@@ -252,6 +252,57 @@ def test_sentence_spans(spark, docs, none):
     assert rows(sentence_spans.remove_repeats(none)) == []
 
 
+def spans_removed(texts):
+    """The words of each text, and whether each is removed, by sentence_spans' own sentences and runs."""
+    seen, out = set(), []
+    for text in texts:
+        data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+        first, after, doc, start, words = sentence_spans.sentences(data, offsets)
+        opens, stop, run = sentence_spans.runs(first, after, doc, words)
+        mark = np.zeros(len(words), bool)
+        for a, b, h in zip(opens, stop, run.tolist()):
+            mark[first[a] : after[b - 1]] |= h in seen
+        seen.update(run.tolist())
+        out.append((start, mark))
+    return out
+
+
+@pytest.mark.parametrize("offset", range(16))
+def test_passages_in_long_sentences_are_found_at_every_offset(offset):
+    rng = random.Random(offset)
+    names = [f"w{i}" for i in range(3000)]
+    passage = " ".join(rng.choices(names, k=70))
+    for stop in ("", "."):  # within one sentence; as its opening words
+        one = " ".join(rng.choices(names, k=160)) + " " + passage + " " + " ".join(rng.choices(names, k=50))
+        head = " ".join(rng.choices(names, k=160 + offset)) + stop + " "
+        two = head + passage + " " + " ".join(rng.choices(names, k=50))
+        (_, _), (start, mark) = spans_removed([one, two])
+        inside = (start >= len(head)) & (start < len(head + passage))
+        # Brute force: the only words of a common stretch of over 20 words are the passage's; at most 2 windows are lost at an edge.
+        lost = np.flatnonzero(~mark[inside])
+        assert not mark[~inside].any()
+        assert all(i < 2 * sentence_spans.CUT_WINDOW or i >= 70 - 2 * sentence_spans.CUT_WINDOW - 20 for i in lost) and mark[inside].any()
+
+
+def test_sentences_end_at_the_stops_of_other_scripts():
+    def cut(text):
+        data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+        first, after, _, start, _ = sentence_spans.sentences(data, offsets)
+        edges = [*(start[first]).tolist(), len(data)]
+        return [data[a:b].tobytes().decode() for a, b in zip(edges, edges[1:])], (after - first).tolist()
+
+    assert cut("वह घर गया। वह आया॥ फिर") == (["वह घर गया। ", "वह आया॥ ", "फिर"], [3, 2, 1])
+    assert cut("我们去。你好吗？abc好！x") == (["我们去。", "你好吗？", "abc好！", "x"], [3, 3, 2, 1])
+    assert cut("هل؟ نعم۔ one") == (["هل؟ ", "نعم۔ ", "one"], [1, 1, 1])
+
+
+def test_repeated_passage_without_blanks(spark):
+    passage = "今天天气很好我们去公园。孩子们在湖边放风筝。晚上大家一起吃饭！后来他们都回家了。"
+    table = [(i, f"第{i}篇文章开头。{passage}第{i}篇文章完。") for i in range(3)]
+    got = {r["doc_id"]: r["kept_text"] for r in rows(sentence_spans.remove_repeats(spark.createDataFrame(table, "doc_id long, text string")))}
+    assert got[0] == table[0][1] and all(got[i] == f"第{i}篇文章开头。第{i}篇文章完。" for i in (1, 2))
+
+
 def test_shards_are_gapless_and_grow_into_the_new_one(docs, none):
     got = rows(sharding.shard(docs, bucket_bytes=3000))
     assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter((r[0], r[1]) for r in ROWS)
