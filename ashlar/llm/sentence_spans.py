@@ -109,7 +109,11 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def runs(first: np.ndarray, after: np.ndarray, doc: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each sentence that opens a run: its index, the sentence after the run, the hash of the run's words."""
+    """Least runs, each once: the first sentence, the sentence after the last, the hash of the words.
+
+    For each sentence the shortest run that opens there and the shortest that closes there; in any run each sentence is
+    in such a run that lies inside.
+    """
     n = len(first)
     if n < SENTENCES:
         none = np.zeros(0, np.int64)
@@ -120,6 +124,13 @@ def runs(first: np.ndarray, after: np.ndarray, doc: np.ndarray, words: np.ndarra
     last = last[last < n]
     inside = doc[last] == doc[opens]
     opens, last = opens[inside], last[inside]
+    closes = np.arange(SENTENCES - 1, n)
+    start = np.minimum(closes - SENTENCES + 1, np.searchsorted(first, after[closes] - WORDS, "right") - 1)
+    closes, start = closes[start >= 0], start[start >= 0]
+    last_of = np.full(n, -1)
+    last_of[opens] = last
+    new = (doc[start] == doc[closes]) & (last_of[start] != closes)
+    opens, last = np.concatenate([opens, start[new]]), np.concatenate([last, closes[new]])
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(mix(words) * powers_to(BASE, len(words)), out=sums[1:])
     a, b = first[opens], after[last]
@@ -134,8 +145,8 @@ def document_key():
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with n_sentences, n_removed (long) and kept_text after its columns, replacing columns of these names.
 
-    Every run of at least SENTENCES consecutive sentences and WORDS words is hashed. Of the places of one run the
-    first by (doc_id, document, position) stays, nulls first; the sentences of every other place are removed, from
+    Every run of at least SENTENCES consecutive sentences and WORDS words counts; the least runs are hashed, which cover
+    all others. Of the places of one run the first by (doc_id, document, position) stays, nulls first; the sentences of every other place are removed, from
     the first word of a sentence to the first word of the next kept one. Documents equal in id and text are
     one document and keep the same. Null texts stay null, texts without a run stay whole. An empty table gives
     no rows. Places of a frequent run are counted before they are shuffled, and the join that returns to them splits

@@ -303,6 +303,39 @@ def test_repeated_passage_without_blanks(spark):
     assert got[0] == table[0][1] and all(got[i] == f"第{i}篇文章开头。第{i}篇文章完。" for i in (1, 2))
 
 
+def removed_by_all_runs(texts):
+    """Brute force over every run of at least SENTENCES sentences and WORDS words: the removed sentences of each text."""
+    cut = [[re.findall(r"\w+", s.lower()) for s in re.findall(r"[^.]+\.", t)] for t in texts]
+    seen, gone = set(), [set() for _ in texts]
+    for t, sentences in enumerate(cut):
+        for a in range(len(sentences)):
+            for b in range(a + sentence_spans.SENTENCES, len(sentences) + 1):
+                run = tuple(w for s in sentences[a:b] for w in s)
+                if len(run) >= sentence_spans.WORDS:
+                    if run in seen:
+                        gone[t].update(range(a, b))
+                    seen.add(run)
+    return gone
+
+
+def test_uneven_repeats_are_removed_to_their_end_as_by_all_runs(spark):
+    rng = random.Random(8)
+
+    def uneven(lengths):
+        return [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) + ". " for n in lengths]
+
+    tail = uneven([16, 1, 3, 1])
+    texts = ["".join(tail), "".join(uneven([2]) + tail), "".join(tail + uneven([9, 9, 9]))]
+    for _ in range(40):
+        passage = uneven(rng.choices([1, 1, 2, 3, 5, 9, 16], k=rng.randrange(3, 9)))
+        texts += ["".join(uneven(rng.choices([1, 2, 12], k=2)) + passage + uneven(rng.choices([1, 3, 12], k=rng.randrange(3)))) for _ in range(3)]
+    got = {r["doc_id"]: r for r in rows(sentence_spans.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)))}
+    for i, gone in enumerate(removed_by_all_runs(texts)):
+        sentences = re.findall(r"[^.]+\. ?", texts[i])
+        assert got[i]["kept_text"] == "".join(s for k, s in enumerate(sentences) if k not in gone)
+        assert (got[i]["n_sentences"], got[i]["n_removed"]) == (len(sentences), len(gone))
+
+
 def test_shards_are_gapless_and_grow_into_the_new_one(docs, none):
     got = rows(sharding.shard(docs, bucket_bytes=3000))
     assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter((r[0], r[1]) for r in ROWS)
