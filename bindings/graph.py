@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from ashlar.operators import graph as ops
 from bindings.registry import query
 
-# The whole graph, or (D4, D7) the graph of each release year: node = year and part number in one key.
+# The whole graph, or (D4, D7 next to their SQL) the graph of each release year: node = year and part number in one key.
 SPAN = 1_000_000_000_000
 
 
@@ -112,6 +112,11 @@ def d4(t):
     return ops.cycle_members(by_year(t))
 
 
+@query("d4_cycle_members_whole")
+def d4_whole(t):
+    return ops.cycle_members(edges(t))
+
+
 @query(
     "d5_direction_violations",
     """
@@ -165,6 +170,13 @@ def d7(t):
     return ops.blast_radius(graph, touched)
 
 
+@query("d7_blast_radius_whole")
+def d7_whole(t):
+    """Each release date is a change, on the graph of all years."""
+    graph = edges(t)
+    return ops.blast_radius(graph, graph.select(F.col("l_shipdate").alias("change"), F.col("dst").alias("node")))
+
+
 @query(
     "d8_failure_domains",
     f"""

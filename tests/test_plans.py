@@ -187,6 +187,42 @@ def test_shared_dir_is_the_one_the_session_names(spark, shared):
     assert len(list(shared.iterdir())) == before + 1
 
 
+def whole_graph(spark):
+    """Touched nodes of each release date, and who depends on whom, from all years of the smallest lineitem."""
+    rows = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").select("l_shipdate", "l_partkey", F.expr("l_suppkey * 20 + l_linenumber")).collect()
+    back, touched = {}, {}
+    for date, src, dst in rows:
+        back.setdefault(dst, set()).add(src)
+        touched.setdefault(date, set()).add(dst)
+    return back, touched
+
+
+def hops_from(back, nodes):
+    hops, ring, hop = dict.fromkeys(nodes, 0), set(nodes), 0
+    while ring:
+        hop += 1
+        ring = {up for n in ring for up in back.get(n, ())} - set(hops)
+        hops.update(dict.fromkeys(ring, hop))
+    return hops
+
+
+def test_cycles_of_the_whole_graph_cross_years(spark):
+    back, _ = whole_graph(spark)
+    reach = {n: set().union(*(hops_from(back, [up]) for up in ups)) for n, ups in back.items()}
+    want = {n: min(m for m in reach[n] if n in reach.get(m, ())) for n in reach if n in reach[n]}
+    got = {r["node"]: r["grp"] for r in entry.queries()["d4_cycle_members_whole"](spark, SF_DIR).collect()}
+    assert want and got == want
+
+
+def test_each_release_date_is_a_change_on_the_whole_graph(spark):
+    back, touched = whole_graph(spark)
+    got = entry.queries()["d7_blast_radius_whole"](spark, SF_DIR).select("change", "node", "hops").toArrow().to_pydict()
+    want = {(d, n): h for d, nodes in touched.items() for n, h in hops_from(back, nodes).items() if h}
+    assert len(touched) > 100 and len(got["node"]) == len(want)
+    days = [str(d)[:10] for d in got["change"]]
+    assert dict(zip(zip(days, got["node"]), got["hops"])) == {(str(d)[:10], n): h for (d, n), h in want.items()}
+
+
 LOOPS = {"d4_cycle_members", "d7_blast_radius", "d8_failure_domains", "b2_resolve_supersession"}
 STREAMS = {n for n in entry.queries() if n.endswith(("_stream", "_watch"))} | {"i1_read_records", "i2_write_artifacts"}
 
