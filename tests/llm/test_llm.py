@@ -424,3 +424,74 @@ def test_pipeline_stages_follow_their_rules(spark):
         before = after
     packed = rows(corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir))
     assert {r["doc_id"] for r in packed} == set(before)
+
+
+def without_toxic(spark, docs, texts, sf_dir):
+    grammar = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return {i: t for i, t in texts.items() if grammar.score(np.array([grammar.features(t or "")]))[0] < 0.5}
+
+
+def one_of_each_class(spark, docs, texts, sf_dir):
+    idf = weighted_minhash.inverse_frequency(*weighted_minhash.document_frequencies(docs))
+    bags, up = {}, {i: i for i in texts}
+    for i, t in texts.items():
+        data = np.frombuffer(raw(t), np.uint8)
+        _, s, c = weighted_minhash.shingles(data, np.array([0, len(data)]))
+        bags[i] = dict(zip(s.tolist(), weighted_minhash.weights(s, c, idf).tolist(), strict=True))
+    total = {i: sum(b.values()) for i, b in bags.items()}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    order = sorted(bags)
+    for k, i in enumerate(order):
+        for j in order[:k]:
+            common = sum(min(bags[i][s], bags[j][s]) for s in bags[i].keys() & bags[j].keys())
+            if raw(texts[i]) == raw(texts[j]) or bags[i] and common >= 0.8 * (total[i] + total[j] - common):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return {i: t for i, t in texts.items() if root(i) == i}
+
+
+def without_repeated_bytes(spark, docs, texts, sf_dir):
+    seen = collections.Counter(raw(t)[k : k + 200] for t in texts.values() for k in range(len(raw(t)) - 199))
+    out = {}
+    for i, t in texts.items():
+        data, gone = raw(t), np.zeros(len(raw(t)), bool)
+        for k in range(len(data) - 199):
+            if seen[data[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        out[i] = None if t is None else bytes(b for b, g in zip(data, gone, strict=True) if not g).decode(errors="ignore")
+    return out
+
+
+def without_contaminated(spark, docs, texts, sf_dir):
+    words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = lambda t: words.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {tuple(q[k : k + 13]) for r in rows(spark.read.parquet(f"{sf_dir}/benchmark.parquet")) if (q := lower(r["text"]))
+               for k in range(max(1, len(q) - 12))}
+    out = {}
+    for i, t in texts.items():
+        w, hit = lower(t), set()
+        for n in {len(x) for x in windows}:
+            for at in range(len(w) - n + 1):
+                if tuple(w[at : at + n]) in windows:
+                    hit.update(range(at, at + n))
+        if not hit or 20 * len(hit) < len(w):
+            out[i] = t
+    return out
+
+
+def test_pipeline_stages_give_the_rows_of_plain_python(spark):
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs, left = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    before = rows(docs)
+    for (name, stage), rule in zip(corpus_pipeline.STAGES, [without_toxic, one_of_each_class, without_repeated_bytes, without_contaminated]):
+        want = rule(spark, docs, {r["doc_id"]: r["text"] for r in rows(docs)}, sf_dir)
+        out = stage(spark, docs, sf_dir).collect()
+        assert {r["doc_id"]: r["text"] for r in out} == want and len(out) == len(want), name
+        left.append(len(out))
+        docs = spark.createDataFrame(out, docs.schema)
+    assert 0 < left[-1] < left[1] < left[0] < len(before)
