@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ashlar.llm import decontaminate, packing, quality, sentence_spans, sharding, suffix_dedup, token_counts, toxicity, warc, weighted_minhash
+from ashlar.llm import (decontaminate, fill_in_middle, packing, quality, sentence_spans, sharding, source_mix, spelling_variants, suffix_dedup,
+                        token_counts, toxicity, warc, weighted_minhash)
 from ashlar.llm.toxicity import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +88,58 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = weighted_minhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "is_kept")
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+SQL["op11_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),
+g AS (
+  SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1:lo], '') AS a, array_to_string(u[lo + 1:hi], '') AS b, array_to_string(u[hi + 1:], '') AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b WHEN 'spm' THEN '<S>' || z || '<P>' || a || '<M>' || b ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p"""
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["doc_id"])
+
+
+SQL["op13_source_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    ('0x' || md5('1:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, ''))[1:15])::BIGINT AS h FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+r AS (
+  SELECT *, sum(source_size) OVER () - sum(3 * source_size) OVER o AS remain, sum(w) OVER () - sum(w) OVER o AS weight
+  FROM s WINDOW o AS (ORDER BY source_size / w, source)),
+l AS (
+  SELECT share FROM (SELECT (SELECT sum(source_size) FROM s)::DOUBLE / (SELECT sum(w) FROM s) AS share, -1 AS k
+    UNION ALL SELECT remain::DOUBLE / weight, row_number() OVER (ORDER BY source_size / w, source) FROM r WHERE weight > 0)
+  WHERE share IS NOT NULL ORDER BY share DESC LIMIT 1),
+t AS (
+  SELECT source, source_size, least(w * share, (3 * source_size)::DOUBLE) AS target FROM s, l),
+b AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3)::BIGINT ELSE 0 END AS whole FROM t),
+c AS (
+  SELECT doc_id, size, source_size, target, whole, target - whole * source_size AS rest,
+    coalesce(sum(size) OVER (PARTITION BY b.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target,
+  (size * (whole + (below + size <= rest OR below <= rest AND (rest - below) * 2 > size)::INTEGER))::BIGINT AS taken FROM c"""
