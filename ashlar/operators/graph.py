@@ -126,23 +126,93 @@ def _reach_labels(edges: DataFrame, space: Workspace) -> DataFrame:
     return labels.drop("fresh")
 
 
+def _chains(edges: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None:
+    """Nodes of one in- and one out-edge, taken out of the graph; None if there are none.
+
+    Gives the edges without them, where an edge stands for each chain, and (node, chain), (chain, u, w): a chain leads
+    from u to w, and (node, grp): the nodes of cycles that consist of such nodes only. Every node follows its successors
+    by pointer doubling, so a chain or cycle of n nodes takes about log2(n) rounds. On a cycle no node arrives; its nodes
+    agree on their least one when a round neither lets a node arrive nor lowers a minimum.
+    """
+    ends = F.array(
+        F.struct(F.col("src").alias("node"), F.col("dst").alias("succ"), F.lit(None).cast("long").alias("pred")),
+        F.struct(F.col("dst").alias("node"), F.lit(None).cast("long").alias("succ"), F.col("src").alias("pred")),
+    )
+    degrees = edges.select(F.inline(ends)).groupBy("node").agg(
+        F.count("pred").alias("_in"), F.count("succ").alias("_out"), F.max("pred").alias("pred"), F.max("succ").alias("succ")
+    )
+    inner, n = space.state(degrees.filter("_in = 1 AND _out = 1").select("node", "pred", "succ"), "inner")
+    if not n:
+        return None
+    known = inner.select("node").withColumn("_inner", F.lit(True))
+    after = known.select(F.col("node").alias("succ"), F.col("_inner").alias("_goes_on"))
+    before = known.select(F.col("node").alias("pred"), F.col("_inner").alias("_came"))
+    linked = space.keep(inner.join(after, "succ", "left").join(before, "pred", "left").na.fill(False, ["_goes_on", "_came"]))
+    start = linked.select(
+        "node",
+        F.when(F.col("_goes_on"), F.col("succ")).otherwise(F.col("node")).alias("up"),
+        F.when(F.col("_goes_on"), F.least("node", "succ")).otherwise(F.col("node")).alias("low"),
+        F.col("_goes_on").alias("open"),
+        F.lit(True).alias("_moved"),
+    )
+    rows, moved = space.state(start, "pointers", F.col("open"))
+    while moved:
+        above = rows.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("low").alias("_low"), F.col("open").alias("_open"))
+        on = rows.filter("open").join(above, "up").select(
+            "node", F.col("_up").alias("up"), F.least("low", "_low").alias("low"), F.col("_open").alias("open"),
+            (~F.col("_open") | (F.col("_low") < F.col("low"))).alias("_moved"),
+        )
+        arrived = rows.filter(~F.col("open")).withColumn("_moved", F.lit(False))
+        rows, moved = space.state(on.unionByName(arrived), "pointers", F.col("_moved"))
+    rows = space.keep(rows.drop("_moved"))
+    circles = rows.filter("open").select("node", F.col("low").alias("grp"))
+    nodes = rows.filter(~F.col("open")).select("node", F.col("up").alias("chain"))
+    heads = linked.filter(~F.col("_came")).join(nodes, "node").select("chain", F.col("pred").alias("u"))
+    tails = linked.filter(~F.col("_goes_on")).select(F.col("node").alias("chain"), F.col("succ").alias("w"))
+    chains = space.keep(heads.join(tails, "chain"))
+    outside = edges.join(known.select(F.col("node").alias("src")), "src", "left_anti").join(
+        known.select(F.col("node").alias("dst")), "dst", "left_anti")
+    links = chains.filter(F.col("u") != F.col("w")).select(F.col("u").alias("src"), F.col("w").alias("dst"))
+    return outside.select("src", "dst").unionByName(links).distinct(), nodes, chains, circles
+
+
+def _with_chains(members: DataFrame, nodes: DataFrame, chains: DataFrame) -> DataFrame:
+    """Members (node, grp) and the nodes of chains that lead from a group into itself, or from a node back to it."""
+    start = members.select(F.col("node").alias("u"), F.col("grp").alias("_gu"))
+    end = members.select(F.col("node").alias("w"), F.col("grp").alias("_gw"))
+    closed = chains.join(start, "u", "left").join(end, "w", "left").filter(
+        (F.col("u") == F.col("w")) | (F.col("_gu") == F.col("_gw")))
+    named = closed.select("chain", "u", F.coalesce("_gu", "u").alias("grp"), F.col("_gu").isNull().alias("_alone"))
+    alone = named.filter("_alone").select(F.col("u").alias("node"), "grp").distinct()
+    return members.unionByName(nodes.join(named, "chain").select("node", "grp")).unionByName(alone)
+
+
 def cycle_members(edges: DataFrame, trims: int = 3) -> DataFrame:
-    """Nodes on a directed cycle, with grp = the smallest node of their strongly connected group.
+    """Nodes on a directed cycle, with grp = the smallest node of their strongly connected group. Nodes are long.
 
-    Each pass labels every node with the smallest node reaching it (f) and reached by it (b).
-    f = b names a finished group; an edge whose ends differ in f or b lies on no cycle. The
-    closure is never built. Trimming loose ends first only saves work.
+    Each pass takes out loose ends and chains (nodes of one in- and one out-edge), then labels every node with the smallest
+    node reaching it (f) and reached by it (b). f = b names a finished group; an edge whose ends differ in f or b lies on
+    no cycle. The closure is never built. Chains come back when the groups are known: their nodes lie on a cycle if the
+    chain leads from a group into itself. Self loops are cycles of one node; null ends are no edges.
     """
     space = Workspace(edges.sparkSession)
-    pairs = space.keep(edges.select("src", "dst").distinct())
+    ends = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    pairs = space.keep(ends.na.drop().distinct())
     loops = pairs.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("node"))
-    live, groups = pairs, []
+    live, groups, levels = pairs.filter(F.col("src") != F.col("dst")), [], []
     while True:
         for _ in range(trims):
             live = _on_both_sides(live)
         live, edges_left = space.state(live, "live")
         if not edges_left:
             break
+        if contracted := _chains(live, space):
+            live, nodes, chains, circles = contracted
+            levels.append((nodes, chains))
+            groups.append(circles)
+            live, edges_left = space.state(live, "live")
+            if not edges_left:
+                break
         labels = space.keep(_reach_labels(live, space))
         groups.append(labels.filter(F.col("f") == F.col("b")).select("node", F.col("f").alias("grp")))
         open_ = labels.filter(F.col("f") != F.col("b"))
@@ -152,29 +222,95 @@ def cycle_members(edges: DataFrame, trims: int = 3) -> DataFrame:
         live = live.join(src, "src").join(dst, "dst").filter(same).select("src", "dst")
     if not groups:
         return loops.select("node", F.col("node").alias("grp"))
-    members = reduce(DataFrame.unionByName, groups)
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("_size"))
+    members = space.keep(reduce(DataFrame.unionByName, groups))
+    for nodes, chains in reversed(levels):
+        members = space.keep(_with_chains(members, nodes, chains))
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("_size"), F.min("node").alias("_least"))
     looped = loops.withColumn("_loop", F.lit(True))
     grouped = members.join(sizes, "grp").join(looped, "node", "full_outer")
-    return grouped.filter((F.col("_size") > 1) | F.col("_loop")).select("node", F.coalesce("grp", "node").alias("grp"))
+    return grouped.filter((F.col("_size") > 1) | F.col("_loop")).select("node", F.coalesce("_least", "node").alias("grp"))
 
 
-def blast_radius(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
-    """seeds(change, node) → (change, node, hops): everything that depends on what a change touches.
+#: Words of 64 changes in one row of a bitmap; more changes take further rows.
+BLAST_WORDS = 8
+
+
+def _any_bit(names: Sequence[str]) -> Column:
+    return reduce(Column.__or__, [F.col(c) != 0 for c in names])
+
+
+def _blast(edges: DataFrame, seeds: DataFrame, depth: int | None) -> tuple[DataFrame, DataFrame]:
+    """(change, ordinal) and (node, hops, word, bits): bit k of word w stands for the change of ordinal 64 w + k.
 
-    ``hops`` is the least over the change's nodes, which are left out themselves. A change gives at most one row per
-    node of the graph. Rounds go on until nothing new is reached, or to ``depth`` hops if that is asked for.
+    A row of the state holds 64 · BLAST_WORDS changes of one node: those that reached it, and those that did so in the last
+    round. Only the fresh bits travel along the edges, and bits meet by OR, on the map side first. So a round moves at most
+    one row per edge and 512 changes, and a (change, node) pair travels once in all.
     """
     space = Workspace(edges.sparkSession)
-    back = space.keep(edges.select(F.col("src").alias("_next"), F.col("dst").alias("node")).distinct())
-    reached, fresh = space.state(seeds.select("change", "node").distinct().withColumn("hops", F.lit(0)), "reached")
+    back = space.keep(edges.select(F.col("src").alias("_next"), F.col("dst").alias("node")).na.drop().distinct())
+    numbered = number_rows(seeds.filter("change IS NOT NULL").select("change").distinct(), ["change"], "_no")
+    numbered = space.keep(numbered.select("change", (F.col("_no") - 1).alias("ordinal")))
+    seen, fresh = [f"_s{i}" for i in range(BLAST_WORDS)], [f"_f{i}" for i in range(BLAST_WORDS)]
+    place = F.floor(F.col("ordinal") / 64)
+    bit = F.expr("shiftleft(1L, cast(ordinal % 64 AS int))")
+    zero = F.lit(0).cast("long")
+    first = (
+        seeds.select("change", "node").filter("node IS NOT NULL").join(numbered, "change")
+        .groupBy("node", F.floor(place / BLAST_WORDS).alias("block"))
+        .agg(*[F.bit_or(F.when(place % BLAST_WORDS == i, bit).otherwise(zero)).alias(c) for i, c in enumerate(fresh)])
+    )
+    state = first.select("node", "block", *[F.col(f).alias(s) for f, s in zip(fresh, seen, strict=True)], *fresh)
+    state, moved = space.state(state, "reached", _any_bit(fresh))
+    words = F.array(*[F.struct((F.col("block") * BLAST_WORDS + i).alias("word"), F.col(c).alias("bits")) for i, c in enumerate(fresh)])
     hop = 0
-    while fresh and (depth is None or hop < depth):
-        frontier, hop = reached.filter(F.col("hops") == hop), hop + 1
-        ahead = frontier.join(back, "node").select("change", F.col("_next").alias("node"), F.lit(hop).alias("hops"))
-        nearest = reached.unionByName(ahead).groupBy("change", "node").agg(F.min("hops").alias("hops"))
-        reached, fresh = space.state(nearest, "reached", F.col("hops") == hop)
-    return reached.filter(F.col("hops") > 0)
+    while moved and (depth is None or hop < depth):
+        hop += 1
+        sent = state.filter(_any_bit(fresh)).select("node", "block", *fresh).join(back, "node")
+        sent = sent.select(F.col("_next").alias("node"), "block", *[zero.alias(c) for c in seen], *fresh)
+        had = state.select("node", "block", *seen, *[zero.alias(c) for c in fresh])
+        met = had.unionByName(sent).groupBy("node", "block").agg(*[F.bit_or(c).alias(c) for c in [*seen, *fresh]])
+        news = [F.col(f).bitwiseAND(F.bitwise_not(s)).alias(f) for f, s in zip(fresh, seen, strict=True)]
+        known = [F.col(f).bitwiseOR(F.col(s)).alias(s) for f, s in zip(fresh, seen, strict=True)]
+        state, moved = space.state(met.select("node", "block", *known, *news), "reached", _any_bit(fresh))
+        space.part(state.filter(_any_bit(fresh)).select("node", F.inline(words)).filter("bits <> 0"), "hits", "hops", hop)
+    node = edges.schema["src"].dataType.simpleString()
+    if not hop:
+        return numbered, state.select("node", F.lit(0).alias("hops"), F.inline(words)).filter("false")
+    hits = space.parts(edges.sparkSession, "hits", f"node {node}, word BIGINT, bits BIGINT, hops INT")
+    return numbered, hits.select("node", "hops", "word", "bits")
+
+
+def _changes_of(numbered: DataFrame, bits: DataFrame) -> DataFrame:
+    """Words of bits as one row per change."""
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit(F.col("bits"), k) == 1)
+    listed = bits.withColumn("_k", F.explode(places)).withColumn("ordinal", F.col("word") * 64 + F.col("_k"))
+    return listed.drop("_k", "word", "bits").join(numbered, "ordinal")
+
+
+def blast_bitmaps(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """seeds(change, node) → (node, hops, word, bits, changes): everything that depends on what a change touches.
+
+    The change whose rank among all changes (from 0, in order) is 64 · word + k reaches the node by ``hops`` edges at least
+    if bit k is set; ``changes`` counts the set bits. hops is the least over the change's nodes, which are left out
+    themselves. Rounds go on until nothing new is reached, or to ``depth`` hops if that is asked for. Null nodes and
+    changes take no part; an empty table gives an empty one.
+    """
+    return _blast(edges, seeds, depth)[1].withColumn("changes", F.bit_count("bits"))
+
+
+def blast_radius(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """The same with one row (change, node, hops) for each change and node: as many rows as that makes."""
+    numbered, bits = _blast(edges, seeds, depth)
+    return _changes_of(numbered, bits).select("change", "node", "hops")
+
+
+def blast_sizes(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """The number of nodes that each change reaches, by hops: (change, hops, nodes)."""
+    numbered, bits = _blast(edges, seeds, depth)
+    by_word = bits.groupBy("hops", "word").agg(*[F.sum(F.getbit("bits", F.lit(k)).cast("long")).alias(f"_{k}") for k in range(64)])
+    counts = F.array(*[F.struct(F.lit(k).alias("_k"), F.col(f"_{k}").alias("nodes")) for k in range(64)])
+    listed = by_word.select("hops", "word", F.inline(counts)).filter("nodes > 0")
+    return listed.withColumn("ordinal", F.col("word") * 64 + F.col("_k")).join(numbered, "ordinal").select("change", "hops", "nodes")
 
 
 def _roots(parents: DataFrame, space: Workspace) -> DataFrame:

@@ -58,6 +58,14 @@ class Workspace:
         table = self._store(counted, f"{name}-{turn % 2}")
         return table, seen.get["n"]
 
+    def part(self, df: DataFrame, name: str, column: str, value: int) -> None:
+        """Rows of one round, added to the table ``name`` under column = value; written again, they replace themselves."""
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/{column}={value}")
+
+    def parts(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
+        """All rounds of ``name`` as one table; its plan doesn't grow with their number."""
+        return spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
     def keep(self, df: DataFrame) -> DataFrame:
         """A table that stays."""
         self.kept += 1

@@ -1,27 +1,14 @@
 from pyspark.sql import functions as F
 
 from ashlar.operators import graph as ops
-from bindings.registry import query
+from bindings.registry import SQL, query
 
-# The whole graph, or (D4, D7 next to their SQL) the graph of each release year: node = year and part number in one key.
-SPAN = 1_000_000_000_000
-
-
-def edges(t, period=None):
+def edges(t):
     src, dst = F.col("l_partkey"), F.col("l_suppkey") * 20 + F.col("l_linenumber")
-    if period is not None:
-        src, dst = period * SPAN + src, period * SPAN + dst
     mode = F.when(F.col("l_returnflag") == "A", "sync").otherwise("async")
     return t.lineitem.select(src.alias("src"), dst.alias("dst"), F.col("l_returnflag").alias("protocol"), mode.alias("mode"), "l_shipdate")
 
 
-def by_year(t):
-    return edges(t, F.year("l_shipdate").cast("bigint"))
-
-
-YEAR_EDGES = f"""
-e AS (
-  SELECT DISTINCT year(l_shipdate) * {SPAN} + l_partkey AS src, year(l_shipdate) * {SPAN} + l_suppkey * 20 + l_linenumber AS dst FROM lineitem)"""
 ALL_EDGES = """
 e AS (SELECT DISTINCT l_partkey AS src, l_suppkey * 20 + l_linenumber AS dst FROM lineitem)"""
 
@@ -102,19 +89,17 @@ def d3(t):
 @query(
     "d4_cycle_members",
     f"""
-WITH RECURSIVE {YEAR_EDGES},
+WITH RECURSIVE {ALL_EDGES},
 reach(a, b) AS (
   SELECT src, dst FROM e WHERE src IN (SELECT dst FROM e)
   UNION SELECT r.a, e.dst FROM reach r JOIN e ON e.src = r.b)
 SELECT x.a AS node, min(x.b) AS grp FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a""",
 )
 def d4(t):
-    return ops.cycle_members(by_year(t))
+    return ops.cycle_members(edges(t))
 
 
-@query("d4_cycle_members_whole")
-def d4_whole(t):
-    return ops.cycle_members(edges(t))
+query("d4_cycle_members_whole", SQL["d4_cycle_members"])(d4)
 
 
 @query(
@@ -148,33 +133,48 @@ def d6_shared(t):
     return ops.shared_tables(t.lineitem.select(F.col("l_suppkey").alias("service"), F.col("l_partkey").alias("table")))
 
 
+# Each release date is a change that touches what was released on it.
+BLAST = f"""
+WITH RECURSIVE {ALL_EDGES},
+o AS (SELECT l_shipdate AS change, row_number() OVER (ORDER BY l_shipdate) - 1 AS ordinal FROM (SELECT DISTINCT l_shipdate FROM lineitem)),
+s AS (SELECT DISTINCT ordinal, l_suppkey * 20 + l_linenumber AS node FROM lineitem JOIN o ON l_shipdate = change),
+walk(ordinal, node, hops) USING KEY (ordinal, node) AS (
+  SELECT ordinal, node, 0 FROM s
+  UNION
+  SELECT w.ordinal, e.src, min(w.hops + 1) FROM walk w JOIN e ON e.dst = w.node
+  LEFT JOIN recurring.walk r ON r.ordinal = w.ordinal AND r.node = e.src WHERE r.node IS NULL GROUP BY w.ordinal, e.src)"""
+
+
+def releases(t):
+    graph = edges(t)
+    return graph, graph.select(F.col("l_shipdate").alias("change"), F.col("dst").alias("node"))
+
+
 @query(
     "d7_blast_radius",
-    f"""
-WITH RECURSIVE {YEAR_EDGES},
-s AS (
-  SELECT DISTINCT year(l_shipdate) AS change, year(l_shipdate) * {SPAN} + l_suppkey * 20 + l_linenumber AS node FROM lineitem
-  WHERE l_shipdate IN (SELECT max(l_shipdate) FROM lineitem GROUP BY year(l_shipdate))),
-walk(change, node, hops) USING KEY (change, node) AS (
-  SELECT change, node, 0 FROM s
-  UNION
-  SELECT w.change, e.src, min(w.hops + 1) FROM walk w JOIN e ON e.dst = w.node
-  LEFT JOIN recurring.walk r ON r.change = w.change AND r.node = e.src WHERE r.node IS NULL GROUP BY w.change, e.src)
-SELECT change, node, hops::INTEGER AS hops FROM walk WHERE hops > 0""",
+    f"""{BLAST},
+b AS (
+  SELECT node, hops, ordinal // 64 AS word, bit_or(1::UBIGINT << (ordinal % 64)::UBIGINT) AS bits, count(*) AS changes
+  FROM walk WHERE hops > 0 GROUP BY ALL)
+SELECT node, hops::INTEGER AS hops, word, (bits::HUGEINT - CASE WHEN bits >= 9223372036854775808 THEN 18446744073709551616 ELSE 0 END)::BIGINT AS bits,
+  changes::INTEGER AS changes FROM b""",
 )
 def d7(t):
-    graph = by_year(t)
-    year = F.year("l_shipdate").cast("bigint")
-    last = graph.groupBy(year.alias("change")).agg(F.max("l_shipdate").alias("l_shipdate"))
-    touched = graph.join(last, "l_shipdate").select("change", F.col("dst").alias("node"))
-    return ops.blast_radius(graph, touched)
+    return ops.blast_bitmaps(*releases(t))
 
 
 @query("d7_blast_radius_whole")
 def d7_whole(t):
-    """Each release date is a change, on the graph of all years."""
-    graph = edges(t)
-    return ops.blast_radius(graph, graph.select(F.col("l_shipdate").alias("change"), F.col("dst").alias("node")))
+    """The same rows written out, one for each change and node."""
+    return ops.blast_radius(*releases(t))
+
+
+@query(
+    "d7_blast_sizes",
+    f"{BLAST} SELECT change, hops::INTEGER AS hops, count(*) AS nodes FROM walk JOIN o USING (ordinal) WHERE hops > 0 GROUP BY ALL",
+)
+def d7_sizes(t):
+    return ops.blast_sizes(*releases(t))
 
 
 @query(
