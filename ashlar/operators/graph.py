@@ -485,7 +485,7 @@ def replay_running(events: DataFrame, unit: str = "day") -> DataFrame:
     """events(entity, ts, seq, amount, …) plus the balance and event count after each event."""
     chunk = F.date_trunc(unit, F.col("ts").cast("timestamp"))
     carries = {"balance": running_sum(F.col("amount")), "events": running_sum(F.lit(1).cast("bigint"))}
-    return scan(events, ["entity"], ["ts", "seq"], chunk, carries)
+    return scan(events, ["entity"], ["ts", "seq"], chunk, carries, measured=True)
 
 
 def erase_subjects(history: DataFrame, subjects: DataFrame, key: str, blank_out: Sequence[str] = ()) -> DataFrame:

@@ -262,6 +262,7 @@ def outages(events: DataFrame, unit: str = "day") -> DataFrame:
         chunk,
         {"recovered": last(F.when(F.col("good"), F.col("ts")), inclusive=False)},
         reverse=True,
+        measured=True,
     )
     return following.groupBy("store", "recovered").agg(
         F.min(F.when(F.col("failed"), F.col("ts"))).alias("started"),
@@ -293,7 +294,7 @@ def degraded_share(events: DataFrame, unit: str = "day") -> DataFrame:
     """
     chunk = F.date_trunc(unit, F.col("ts").cast("timestamp"))
     mark = F.when(F.col("failed"), True).when(F.col("good"), False)
-    known = scan(events, ["store"], ["ts", "seq"], chunk, {"_down": last(mark)})
+    known = scan(events, ["store"], ["ts", "seq"], chunk, {"_down": last(mark)}, measured=True)
     down = F.coalesce("_down", F.lit(False))
     return (
         known.groupBy("type")
@@ -373,6 +374,7 @@ def staleness_audit(reads: DataFrame, refreshes: DataFrame, writes: DataFrame, b
         ["ts", "_side", "id"],
         F.date_trunc(unit, ts.cast("timestamp")),
         {"refreshed": last(F.when(side == 1, ts)), "written": last(F.when(side == 0, ts))},
+        measured=True,
     )
     age = seconds_between(F.col("refreshed"), ts)
     newer = F.coalesce(F.col("written") > F.col("refreshed"), F.lit(False))

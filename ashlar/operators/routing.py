@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ashlar.functions.levels import micros, trunc
 from ashlar.functions.lint import blank, broken_rules, names_where
-from ashlar.plans.scans import running_sum, scan
+from ashlar.plans.loops import Workspace
+from ashlar.plans.scans import last, running_max, running_sum, scan, split
 
 # The ordered rules (feature, target); no match means ask.
 RULES = [
@@ -146,6 +147,73 @@ def worktree_overlaps(sessions: DataFrame, unit: str = "month") -> DataFrame:
     return counted.filter(F.col("overlaps") > 0)
 
 
+def overlap_partners(sessions: DataFrame, unit: str = "month") -> DataFrame:
+    """One other agent's session that each overlapping session meets: (worktree, agent, start, end, n, partner_…).
+
+    In the order (start, end, agent) it is the one before it that ends last, if it is still open then, else the next one
+    after it, if that starts in time. A sweep carries the session that ended last so far, and the one that did so among
+    agents other than its agent: a session that takes the lead from another agent leaves the old leader as second, one that
+    doesn't is a second itself if its agent is not the leader's. No pair is listed; a session without overlap gives no row.
+    """
+    merged = sessions.filter(F.col("start") < F.col("end")).groupBy("worktree", "agent", "start", "end").agg(F.count(F.lit(1)).alias("n"))
+    keys, order = ["worktree"], ["start", "end", "agent"]
+    month = F.date_trunc(unit, F.col("start").cast("timestamp"))
+    rows = split(merged, keys, order, month)
+    chunk = F.struct(month.alias("cut"), F.col("_split").alias("split"))
+    me, place, agent = F.struct("end", "agent", "start"), F.struct("start", "end", "agent"), F.col("agent")
+    led = scan(rows.withColumn("_at", chunk).drop("_split"), keys, order, F.col("_at"), {"_lead": running_max(me, inclusive=False)})
+    led = led.withColumn("_loses", F.when(F.col("_lead.agent") != agent, F.least(me, F.col("_lead"))))
+    ahead = scan(led, keys, order, F.col("_at"), {"_second": running_max(F.col("_loses"), inclusive=False)})
+    space = Workspace(sessions.sparkSession)
+    ahead = space.keep(ahead)  # a scan reads its input twice, so that chained scans would double the work each time
+    follows = scan(ahead, keys, order, F.col("_at"), {"_next": last(place, inclusive=False)}, reverse=True)
+    follows = space.keep(follows.withColumn("_change", F.when(F.col("_next.agent") != agent, F.col("_next"))))
+    swept = scan(follows, keys, order, F.col("_at"), {"_after": last(F.col("_change"))}, reverse=True)
+    before = F.when(F.col("_lead.agent") != agent, F.col("_lead")).otherwise(F.col("_second"))
+    open_then = swept.withColumn("_before", before).withColumns({
+        "_before": F.when(F.col("_before.end") > F.col("start"), F.struct("_before.start", "_before.end", "_before.agent")),
+        "_after": F.when(F.col("_after.start") < F.col("end"), F.struct("_after.start", "_after.end", "_after.agent")),
+    })
+    found = open_then.withColumn("_p", F.coalesce("_before", "_after")).filter(F.col("_p").isNotNull())
+    return found.select("worktree", "agent", "start", "end", "n", F.col("_p.agent").alias("partner_agent"),
+                        F.col("_p.start").alias("partner_start"), F.col("_p.end").alias("partner_end"))
+
+
+def overlap_groups(sessions: DataFrame, unit: str = "month") -> DataFrame:
+    """Sessions connected by overlaps of different agents: (worktree, since, first_start, last_end, sessions, agents, links).
+
+    A worktree is contended while two agents or more are in it; whoever is in it then belongs to one group. Two contended
+    spans belong to one group if a session reaches from one into the next. So a sweep over starts and ends finds the groups:
+    agents present, spans, and the last end of what started before a span was over. ``since`` is the first contended
+    moment, ``links`` the number of overlapping pairs, counted from both sides (see ``worktree_overlaps``) and never listed.
+    """
+    keys, order = ["worktree"], ["at", "side"]
+    at, side = F.col("at"), F.col("side")
+    month = F.date_trunc(unit, at.cast("timestamp"))
+    marks = split(_marks(sessions), keys, order, month).withColumn("_at", F.struct(month.alias("cut"), F.col("_split").alias("split")))
+    change = F.when(side == 1, F.col("n")).otherwise(-F.col("n"))
+    own = scan(marks.drop("_split"), ["worktree", "agent"], order, F.col("_at"), {"_own": running_sum(change)})
+    enters, leaves = (side == 1) & (F.col("_own") == F.col("n")), (side == 0) & (F.col("_own") == 0)
+    steps = own.withColumn("_step", F.when(enters, 1).when(leaves, -1).otherwise(0)).filter((side == 1) | (F.col("_step") != 0))
+    space = Workspace(sessions.sparkSession)
+    steps = space.keep(steps.select("worktree", "at", "side", "end", "_step", "_at"))
+    reach = F.when(side == 1, F.col("end"))
+    crowd = scan(steps, keys, order, F.col("_at"), {"_crowd": running_sum(F.col("_step")), "_reach": running_max(reach)})
+    begins = (F.col("_step") == 1) & (F.col("_crowd") == 2)
+    over = (F.col("_step") == -1) & (F.col("_crowd") == 1)
+    spans = space.keep(crowd.filter(begins | over).select("worktree", "at", "side", "_reach", "_at"))
+    reached = scan(spans, keys, order, F.col("_at"), {"_reached": last(F.when(side == 0, F.col("_reach")), inclusive=False)})
+    apart = (side == 1) & ~F.coalesce(F.col("_reached") > at, F.lit(False))
+    named = scan(reached, keys, order, F.col("_at"), {"since": last(F.when(apart, at))})
+    ends = named.filter(side == 0).select("worktree", "at", "side", "since")
+    met = space.keep(worktree_overlaps(sessions, unit)).withColumns({"at": F.col("start"), "side": F.lit(1)})
+    both = met.unionByName(ends.withColumnRenamed("since", "_since"), allowMissingColumns=True)
+    placed = scan(both, keys, order, month, {"since": last(F.col("_since"), inclusive=False)}, reverse=True, measured=True)
+    return placed.filter(side == 1).groupBy("worktree", "since").agg(
+        F.min("start").alias("first_start"), F.max("end").alias("last_end"), F.sum("n").alias("sessions"),
+        F.count_distinct("agent").alias("agents"), (F.sum(F.col("n") * F.col("overlaps")) / 2).cast("bigint").alias("links"))
+
+
 def peak_concurrency(sessions: DataFrame, unit: str = "month") -> DataFrame:
     """Highest number of sessions open at once per worktree, from ±1 events and a running sum."""
     # All starts and ends of one instant combine before the shuffle into at most one row per side.

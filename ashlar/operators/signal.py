@@ -28,7 +28,7 @@ def control_regions(control: DataFrame, unit: str = "day") -> DataFrame:
     """
     chunk = F.date_trunc(unit, F.col("ts").cast("timestamp"))
     order = ["ts", "seq"]
-    before = scan(control, ["track"], order, chunk, {"_prev": last(F.col("event"), inclusive=False)})
+    before = scan(control, ["track"], order, chunk, {"_prev": last(F.col("event"), inclusive=False)}, measured=True)
     changes = before.filter(~F.col("event").eqNullSafe(F.col("_prev"))).drop("_prev")
     after = scan(changes, ["track"], order, chunk, {"_next": last(F.col("ts"), inclusive=False)}, reverse=True)
     return after.select("track", F.col("ts").alias("at"), "seq", "event", F.col("_next").alias("until"))
@@ -44,7 +44,7 @@ def capture_regions(samples: DataFrame, control: DataFrame, unit: str = "day") -
     )
     rows = samples.select("track", "ts", "seq", F.lit(1).alias("_side"), "x").unionByName(marks, allowMissingColumns=True)
     chunk = F.date_trunc(unit, F.col("ts").cast("timestamp"))
-    held = scan(rows, ["track"], ["ts", "seq", "_side"], chunk, {"_in": last(F.col("_mark"))})
+    held = scan(rows, ["track"], ["ts", "seq", "_side"], chunk, {"_in": last(F.col("_mark"))}, measured=True)
     inside = held.filter((F.col("_side") == 1) & (F.col("_in.event") == "CAPTURE"))
     return inside.select("track", "ts", "seq", "x", F.col("_in.at").alias("region"), F.col("_in.until").isNull().alias("open"))
 

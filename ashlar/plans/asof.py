@@ -30,14 +30,17 @@ def asof_join(
         F.lit(first).alias("_side"),
         F.struct(F.lit(0), *tie).alias("_tie"),
         F.struct(*take).alias("_right"),
+        F.lit(0).cast("long").alias("_salt"),
     )
     l = left.select(
         *keys,
         F.col(left_time).alias("_t"),
         F.lit(second).alias("_side"),
         F.struct(*left.columns).alias("_left"),
+        # Left rows of one time may stand in any order; told apart, they can be split.
+        F.xxhash64(*[c for c, kind in left.dtypes if "map<" not in kind]).alias("_salt"),
     )
     both = l.unionByName(r, allowMissingColumns=True)
     chunk = F.date_trunc(unit, F.col("_t").cast("timestamp"))
-    found = scan(both, keys, ["_t", "_side", "_tie"], chunk, {"_found": last(F.col("_right"))})
+    found = scan(both, keys, ["_t", "_side", "_tie", "_salt"], chunk, {"_found": last(F.col("_right"))}, measured=True)
     return found.filter(F.col("_left").isNotNull()).select("_left.*", "_found.*")

@@ -6,16 +6,26 @@ per (key, chunk), combined on the map side, yields the value each chunk starts w
 inserted as a seed row, and the running window then works per (key, chunk). The big side is
 shuffled once and nothing is joined back. Only one row per (key, chunk) meets in a window
 over the bare key.
+
+A calendar says nothing of where the rows are: a bulk load puts a year of rows on one date. ``split`` measures the
+chunks first and cuts those with more than CHUNK_ROWS rows at quantiles of a sample of (key, order).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ashlar.plans.loops import Workspace
+
+#: Rows of one key that a chunk may hold before it is cut by quantiles.
+CHUNK_ROWS = 1_000_000
+
 
 @dataclass(frozen=True)
 class Carry:
@@ -44,6 +54,29 @@ def _running(kind: str, value: Column) -> Column:
     return F.sum(value) if kind == "sum" else F.max(value)
 
 
+def split(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column) -> DataFrame:
+    """``df`` with ``_split``: 0, or a number that rises along ``order`` within a chunk of more than CHUNK_ROWS rows.
+
+    The counts per (key, chunk) combine on the map side. Only rows of large chunks are dealt by range: splitters come from
+    a sample of (key, order), so that each range holds about CHUNK_ROWS rows, whatever their dates; the number of the range
+    is stored, so that both passes of the scan see the same one. Rows equal in the whole order stay together. If no chunk
+    is large, nothing is moved.
+    """
+    space = Workspace(df.sparkSession)
+    cut = df.withColumn("_cut", chunk)
+    counts = cut.groupBy(*keys, "_cut").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CHUNK_ROWS)
+    seen = Observation(f"chunks-{uuid.uuid4().hex}")
+    counts = counts.observe(seen, F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"))
+    large = space.keep(counts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_cut").alias("_of__cut")))
+    if not (rows := seen.get["rows"]):
+        return df.withColumn("_split", F.lit(0))
+    in_large = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*keys, "_cut"]])
+    dealt = cut.join(large, in_large, "left_semi").repartitionByRange(-(-rows // CHUNK_ROWS) + 1, *keys, *order)
+    dealt = space.keep(dealt.withColumn("_split", F.spark_partition_id()))
+    rest = cut.join(large, in_large, "left_anti").withColumn("_split", F.lit(0))
+    return dealt.unionByName(rest).drop("_cut")
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -51,15 +84,19 @@ def scan(
     chunk: Column,
     carries: Mapping[str, Carry],
     reverse: bool = False,
+    measured: bool = False,
 ) -> DataFrame:
     """``df`` plus one running column per carry.
 
     ``order`` must be total within a key unless ties cannot change a carry; ``chunk`` must not
     decrease along it.
     ``reverse`` runs from the last row to the first, so ``last`` becomes "next".
+    ``measured`` counts the chunks first and splits large ones (see ``split``).
     """
     inputs = {f"_in_{n}": c.value for n, c in carries.items()}
-    rows = df.withColumns({"_chunk": chunk, "_seed": F.lit(False), **inputs})
+    if measured:
+        df, chunk = split(df, keys, order, chunk), F.struct(chunk.alias("cut"), F.col("_split").alias("split"))
+    rows = df.withColumns({"_chunk": chunk, "_seed": F.lit(False), **inputs}).drop("_split")
 
     position = F.struct(*order)
     final = F.min_by if reverse else F.max_by

@@ -192,6 +192,42 @@ def f6(t):
     return ops.worktree_overlaps(sessions(t))
 
 
+@query(
+    "f6_overlap_partners",
+    f"""WITH {SESSIONS},
+b AS (
+  SELECT a.worktree, a.agent, a."start", a."end", arg_max({{'a': b.agent, 's': b."start", 'e': b."end"}}, (b."end", b.agent, b."start")) AS p FROM s a
+  JOIN s b ON a.worktree = b.worktree AND a.agent <> b.agent AND (b."start", b."end", b.agent) < (a."start", a."end", a.agent) AND b."end" > a."start" GROUP BY ALL),
+f AS (
+  SELECT a.worktree, a.agent, a."start", a."end", arg_min({{'a': b.agent, 's': b."start", 'e': b."end"}}, (b."start", b."end", b.agent)) AS p FROM s a
+  JOIN s b ON a.worktree = b.worktree AND a.agent <> b.agent AND (b."start", b."end", b.agent) > (a."start", a."end", a.agent) AND b."start" < a."end" GROUP BY ALL),
+j AS (
+  SELECT s.*, coalesce(b.p, f.p) AS p FROM s LEFT JOIN b USING (worktree, agent, "start", "end") LEFT JOIN f USING (worktree, agent, "start", "end"))
+SELECT worktree, agent, "start", "end", n, p.a AS partner_agent, p.s AS partner_start, p.e AS partner_end FROM j WHERE p IS NOT NULL""",
+)
+def f6_partners(t):
+    return ops.overlap_partners(sessions(t))
+
+
+@query(
+    "f6_overlap_groups",
+    f"""WITH RECURSIVE {SESSIONS},
+i AS (SELECT *, row_number() OVER () AS id FROM s),
+p AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b, a.n * b.n AS links, greatest(a."start", b."start") AS since FROM i a
+  JOIN i b ON a.worktree = b.worktree AND a.agent <> b.agent AND a."start" < b."end" AND b."start" < a."end"),
+g(id, label) USING KEY (id) AS (
+  SELECT DISTINCT a, a FROM p
+  UNION
+  SELECT p.a, min(w.label) FROM p JOIN g w ON w.id = p.b JOIN recurring.g r ON r.id = p.a WHERE w.label < r.label GROUP BY p.a),
+l AS (SELECT label, min(since) AS since, (sum(links) // 2)::BIGINT AS links FROM p JOIN g ON g.id = p.a GROUP BY 1)
+SELECT worktree, since, min("start") AS first_start, max("end") AS last_end, sum(n)::BIGINT AS sessions, count(DISTINCT agent) AS agents, links
+FROM g JOIN i USING (id) JOIN l USING (label) GROUP BY worktree, since, links, label""",
+)
+def f6_groups(t):
+    return ops.overlap_groups(sessions(t))
+
+
 @query(
     "f6_peak_concurrency",
     f"""WITH {SESSIONS},

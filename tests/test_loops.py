@@ -105,7 +105,7 @@ def hops_of(edges, seeds):
 def case():
     """Over 512 changes, so that a node has several rows of bits; a third of the seeds is one change, one node a hub."""
     rnd = random.Random(11)
-    edges = {(rnd.randrange(150), rnd.randrange(150)) for _ in range(190)} | {(n, 3) for n in range(0, 150, 2)}
+    edges = {(rnd.randrange(150), rnd.randrange(150)) for _ in range(420)} | {(n, 3) for n in range(0, 150, 2)}
     seeds = {(f"c{i:04}", rnd.randrange(150)) for i in range(700) for _ in range(2)} | {("c0005", n) for n in range(0, 150, 3)}
     return sorted(edges), sorted(seeds)
 
