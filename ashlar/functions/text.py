@@ -44,6 +44,11 @@ def tokens(text: Column) -> Column:
     return F.split(F.lower(text), TOKEN_SEPARATOR)
 
 
+def words(text: Column) -> Column:
+    """The same without blanks."""
+    return F.filter(tokens(text), lambda w: w != "")
+
+
 def may_match(text: Column, hints: Sequence[str]) -> Column:
     """Cheap necessary condition for a pattern whose matches all contain one of the hints."""
     lowered = F.lower(text)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ashlar.functions.lint import blank, names_where
-from ashlar.functions.text import MEASURE, MEASURE_LEAD, tokens
+from ashlar.functions.text import MEASURE, MEASURE_LEAD, tokens, words
 from ashlar.plans.asof import asof_join
 from ashlar.plans.sizes import BROADCAST_BYTES, stored_with_size
 
@@ -37,19 +37,32 @@ def undefined_terms(
 ) -> DataFrame:
     """Watched terms without a ledger row that occur in each document, with hit counts.
 
-    docs(doc_id, text), vocab(term), ledger(term). The watched terms are stored and measured. If they
-    fit, they are broadcast and the words of the corpus are filtered where they are read. Otherwise
-    words are counted per (document, term) first, which combines on the map side, so that a frequent
-    word is not one hot key of raw tokens.
+    docs(doc_id, text), vocab(term), ledger(term). A term is one word or several; case and what stands between the words
+    don't matter, in the vocabulary, the ledger and the text. ``term`` is spelled as in the vocabulary. Overlapping
+    occurrences count each. Terms and texts without a word, nulls among them, match nothing.
+
+    The index holds the words of each term under its first word. Each word of a text carries the words after it, as many
+    as the longest term has, and meets the terms that begin with it. The index is stored and measured. If it fits, it is
+    broadcast, and words that begin no term are dropped where they are read. Otherwise equal stretches of a document are
+    counted first, which combines on the map side, so that a frequent word is not one hot key of raw words.
     """
-    watched = vocab.select("term").distinct().join(ledger.select("term").distinct(), "term", "left_anti")
-    watched, size = stored_with_size(watched, "term")
-    words = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).filter(F.col("term") != "")
-    count = F.count(F.lit(1)).alias("hits")
-    if size <= broadcast_bytes:
-        hits = words.join(F.broadcast(watched), "term", "left_semi").groupBy("doc_id", "term").agg(count)
+    known = ledger.select(F.concat_ws(" ", words(F.col("term"))).alias("_name")).distinct()
+    named = vocab.select("term", words(F.col("term")).alias("_words")).distinct().filter(F.size("_words") > 0)
+    watched = named.withColumn("_name", F.concat_ws(" ", "_words")).join(known, "_name", "left_anti")
+    index, size = stored_with_size(watched.withColumn("_first", F.element_at("_words", 1)), "_name")
+    longest = index.agg(F.coalesce(F.max(F.size("_words")), F.lit(1))).first()[0]
+    # The array of one array keeps the words of a text from being split again for each shift.
+    text = docs.select("doc_id", F.explode(F.array(tokens(F.col("text")))).alias("_all")).filter("_all IS NOT NULL")
+    shifted = [F.slice("_all", k + 1, F.size("_all")).alias(f"_w{k}") if k else F.col("_all") for k in range(longest)]
+    stretch = [f"_w{k}" for k in range(longest)]
+    at = text.select("doc_id", F.inline(F.arrays_zip(*shifted))).toDF("doc_id", *stretch)
+    begins = F.col("_w0") == F.col("_first")
+    fits = (F.size("_words") == 1) | (F.slice(F.array(*stretch), 1, F.size("_words")) == F.col("_words"))
+    if 4 * size <= broadcast_bytes:  # name, words, first word and the term as spelled
+        hits = at.join(F.broadcast(index), begins).filter(fits).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("hits"))
     else:
-        hits = words.groupBy("doc_id", "term").agg(count).join(watched, "term", "left_semi")
+        counted = at.groupBy("doc_id", *stretch).agg(F.count(F.lit(1)).alias("_n"))
+        hits = counted.join(index, begins).filter(fits).groupBy("doc_id", "term").agg(F.sum("_n").alias("hits"))
     return hits.select("doc_id", "term", "hits")
 
 

@@ -38,24 +38,29 @@ def consume_once(events: DataFrame, key: Sequence[str]) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(list(key))
 
 
-def saga_stream(commands: DataFrame, steps: DataFrame, limit: str) -> DataFrame:
-    """commands(key, sent), steps(step_key, done): each command with the steps up to ``limit`` after it,
-    or with null once the watermark shows that none can come."""
-    in_time = (F.col("done") >= F.col("sent")) & (F.col("done") <= F.col("sent") + F.expr(f"INTERVAL {limit}"))
-    joined = commands.join(steps, (F.col("key") == F.col("step_key")) & in_time, "left_outer")
-    state = F.when(F.col("done").isNull(), "missing step").otherwise("complete")
-    return joined.select("key", "sent", "done", state.alias("state"))
+def saga_stream(commands: DataFrame, steps: DataFrame, limit_s: float, patience_s: float) -> DataFrame:
+    """commands(key, ts), steps(key, ts) → the rows of ``saga_reconcile``: complete, late, missing and orphan steps.
+
+    A key is closed once the watermark shows that ``patience_s`` have passed since its first command or step; a row of it
+    that comes later opens it anew. The two sides meet as one keyed stream, so a key with many commands and steps costs
+    its rows and not its pairs.
+    """
+    both = commands.select("key", "ts", F.lit(True).alias("command")).unionByName(steps.select("key", "ts", F.lit(False).alias("command")))
+    return both.groupBy("key").transformWithStateInPandas(p.Sagas(limit_s, patience_s), p.SAGAS, "append", "eventTime")
 
 
 def region_stream(control: DataFrame) -> DataFrame:
-    """control(track, ts, seq, event) → closed capture regions. Samples never enter the state."""
-    return control.groupBy("track").transformWithStateInPandas(p.CaptureRegions(), p.REGIONS, "append", "none")
+    """control(track, ts, seq, event) → closed capture regions, in event order. Samples never enter the state.
+
+    A region comes out once the watermark has passed its STOP; controls may come in any order within the delay.
+    """
+    return control.groupBy("track").transformWithStateInPandas(p.CaptureRegions(), p.REGIONS, "append", "eventTime")
 
 
-def reroute_stream(observations: DataFrame, targets: Mapping[str, str], default: str) -> DataFrame:
-    """observations(task, ts, shape) → tasks that should move to another target."""
+def reroute_stream(observations: DataFrame, targets: Mapping[str, str], default: str, idle_s: float = 7 * 86400.0) -> DataFrame:
+    """observations(task, ts, shape) → tasks that should move to another target; a task is over after ``idle_s`` of silence."""
     keyed = observations.groupBy("task")
-    return keyed.transformWithStateInPandas(p.Reroutes(dict(targets), default), p.REROUTES, "append", "none")
+    return keyed.transformWithStateInPandas(p.Reroutes(dict(targets), default, idle_s), p.REROUTES, "append", "eventTime")
 
 
 def overlap_stream(activity: DataFrame, hold_s: int) -> DataFrame:

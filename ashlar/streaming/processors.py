@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 REGIONS = "track BIGINT, started TIMESTAMP, stopped TIMESTAMP"
 REROUTES = "task BIGINT, ts TIMESTAMP, old_target STRING, new_target STRING"
+SAGAS = "key BIGINT, sent TIMESTAMP, done TIMESTAMP, state STRING"
 CONFLICTS = "worktree BIGINT, ts TIMESTAMP, holder BIGINT, intruder BIGINT"
 RUNS = "metric STRING, threshold INT, sustain INT, first_bucket TIMESTAMP, fired_bucket TIMESTAMP, buckets BIGINT"
 
@@ -29,40 +30,143 @@ def _stamp(micros: int) -> pd.Timestamp:
     return pd.Timestamp(micros, unit="us")
 
 
+def _due(micros: int) -> int:
+    """The first millisecond at which a moment has passed."""
+    return -(-micros // 1000)
+
+
 class CaptureRegions(StatefulProcessor):
-    """Controls of a track → one row per closed region. State: start of the open region."""
+    """Controls of a track → one row per closed region, in the order of their time whatever batch brings them.
+
+    Controls wait in a list until the watermark has passed them, when none before them can come any more; one timer for
+    the earliest of them is set. State: the waiting controls and the start of the open region.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.open = handle.getValueState("open", "started BIGINT")
+        self.timer = handle.getValueState("timer", "due BIGINT")
+        self.waiting = handle.getListState("waiting", "ts BIGINT, seq BIGINT, event STRING")
+
+    def _wait(self, controls: list[tuple[int, int, str]]) -> None:
+        due = _due(min(ts for ts, _, _ in controls)) if controls else None
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if due == before:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+        if due is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = [tuple(c) for c in self.waiting.get()] if self.waiting.exists() else []
+        fresh = [(_micros(r.ts), int(r.seq), r.event) for part in rows for r in part.itertuples()]
+        self.waiting.put(known + fresh)
+        self._wait(known + fresh)
+        yield pd.DataFrame(columns=["track", "started", "stopped"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        controls = sorted(tuple(c) for c in self.waiting.get()) if self.waiting.exists() else []
         started = self.open.get()[0] if self.open.exists() else None
-        out = []
-        for r in _ordered(rows, ["ts", "seq"]).itertuples():
-            if r.event == "CAPTURE" and started is None:
-                started = _micros(r.ts)
-            elif r.event == "STOP" and started is not None:
-                out.append((key[0], _stamp(started), r.ts))
+        out, left = [], []
+        for ts, seq, event in controls:
+            if ts > passed:
+                left.append((ts, seq, event))
+            elif event == "CAPTURE" and started is None:
+                started = ts
+            elif event == "STOP" and started is not None:
+                out.append((key[0], _stamp(started), _stamp(ts)))
                 started = None
         if started is None:
             self.open.clear()
         else:
             self.open.update((started,))
+        if left:
+            self.waiting.put(left)
+        else:
+            self.waiting.clear()
+        self.timer.clear()  # it has fired
+        self._wait(left)
         yield pd.DataFrame(out, columns=["track", "started", "stopped"])
 
     def close(self) -> None:
         pass
 
 
+class Sagas(StatefulProcessor):
+    """Commands and steps of a key → the rows of the batch form once ``patience`` has passed since its first row.
+
+    State: the first row's time, the first command and the times of steps that can still matter: the first of all (an
+    orphan if it comes before the command), the first that answers the command, and those before the command that are not
+    behind the watermark, since an earlier command could still come in front of them.
+    """
+
+    def __init__(self, limit_s: float, patience_s: float) -> None:
+        self.limit, self.patience = int(limit_s * 1_000_000), int(patience_s * 1_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "first BIGINT, sent BIGINT")
+        self.steps = handle.getListState("steps", "done BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first, sent = self.seen.get() if self.seen.exists() else (None, None)
+        before, steps = first, {s[0] for s in self.steps.get()} if self.steps.exists() else set()
+        for part in rows:
+            at = part["ts"].astype("datetime64[us]").astype("int64")
+            first = min(int(at.min()), first if first is not None else int(at.min()))
+            commands = at[part["command"]]
+            if len(commands):
+                sent = min(int(commands.min()), sent if sent is not None else int(commands.min()))
+            steps.update(at[~part["command"]].tolist())
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        early = {s for s in steps if sent is None or s < sent}
+        kept = {s for s in early if s > passed} | {min(x) for x in (steps, steps - early) if x}
+        self.seen.update((first, sent))
+        if kept:
+            self.steps.put([(s,) for s in sorted(kept)])
+        if first != before:
+            if before is not None:
+                self.handle.deleteTimer(_due(before + self.patience))
+            self.handle.registerTimer(_due(first + self.patience))
+        yield pd.DataFrame(columns=["key", "sent", "done", "state"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.seen.exists():
+            _, sent = self.seen.get()
+            steps = sorted(s[0] for s in self.steps.get()) if self.steps.exists() else []
+            if sent is not None:
+                done = next((s for s in steps if s >= sent), None)
+                state = "missing step" if done is None else "late step" if done - sent > self.limit else "complete"
+                out.append((key[0], _stamp(sent), None if done is None else _stamp(done), state))
+            if steps and (sent is None or steps[0] < sent):
+                out.append((key[0], None, _stamp(steps[0]), "orphan step"))
+        self.seen.clear()
+        self.steps.clear()
+        made = pd.DataFrame(out, columns=["key", "sent", "done", "state"])
+        yield made.astype({"sent": "datetime64[us]", "done": "datetime64[us]"})
+
+    def close(self) -> None:
+        pass
+
+
 class Reroutes(StatefulProcessor):
     """Observed shapes of a task → a row when its latest shape asks for another target.
 
-    A new task starts with the target of its first shape."""
+    A new task starts with the target of its first shape. A task that isn't observed for ``idle`` is over: an event-time
+    timer frees its state, and if it is observed again, it is a new one.
+    """
 
-    def __init__(self, targets: dict[str, str], default: str) -> None:
-        self.targets, self.default = targets, default
+    def __init__(self, targets: dict[str, str], default: str, idle_s: float) -> None:
+        self.targets, self.default, self.idle = targets, default, int(idle_s * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.current = handle.getValueState("current", "ts BIGINT, target STRING")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -71,17 +175,25 @@ class Reroutes(StatefulProcessor):
             low, high = part.loc[part["ts"].idxmin()], part.loc[part["ts"].idxmax()]
             oldest = low if oldest is None or low["ts"] < oldest["ts"] else oldest
             newest = high if newest is None or high["ts"] > newest["ts"] else newest
-        if self.current.exists():
-            seen, current = self.current.get()
-        else:
-            seen, current = 0, self.targets.get(oldest["shape"], self.default)
-        if seen > _micros(newest["ts"]):
+        at = _micros(newest["ts"])
+        seen, current = self.current.get() if self.current.exists() else (None, None)
+        if seen is not None and seen > at:
             return
+        if seen is None or _micros(oldest["ts"]) - seen >= self.idle:  # new, or over though its timer lags behind
+            current = self.targets.get(oldest["shape"], self.default)
+        if seen != at:
+            if seen is not None:
+                self.handle.deleteTimer(_due(seen + self.idle))
+            self.handle.registerTimer(_due(at + self.idle))
         target = self.targets.get(newest["shape"], self.default)
-        self.current.update((_micros(newest["ts"]), target))
+        self.current.update((at, target))
         if target != current:
             yield pd.DataFrame([(key[0], newest["ts"], current, target)], columns=["task", "ts", "old_target", "new_target"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.current.clear()
+        yield pd.DataFrame(columns=["task", "ts", "old_target", "new_target"])
+
     def close(self) -> None:
         pass
 

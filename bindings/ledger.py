@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from ashlar.functions.text import MEASURE, MEASURE_LEAD, tokens
+from ashlar.functions.text import MEASURE, MEASURE_LEAD, tokens, words
 from ashlar.operators import ledger as ops
 from bindings.registry import query
 
@@ -42,19 +42,24 @@ def a2(t):
 @query(
     "a3_undefined_terms",
     r"""
-WITH vocab AS (
-  SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}-]+')) AS term FROM benchmark),
+WITH item AS (SELECT text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}-]+'), lambda x: x <> '') AS w FROM benchmark),
+vocab AS (
+  SELECT DISTINCT term, array_to_string(list_filter(regexp_split_to_array(lower(term), '[^\p{L}\p{N}-]+'), lambda x: x <> ''), ' ') AS name FROM (
+    SELECT unnest(w) AS term FROM item UNION ALL SELECT array_to_string(w[1:2], ' - ') FROM item UNION ALL SELECT translate(array_to_string(w[2:4], ' '), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') FROM item)),
 known AS (
-  SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}-]+')) AS term
+  SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}-]+')) AS name
   FROM conversations WHERE role = 'assistant'),
-words AS (
-  SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}-]+')) AS term FROM documents)
-SELECT doc_id, term, count(*) AS hits FROM words
-WHERE term <> '' AND term IN (SELECT term FROM vocab) AND term NOT IN (SELECT term FROM known)
-GROUP BY doc_id, term""",
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}-]+'), lambda x: x <> '') AS w FROM documents),
+g AS (
+  SELECT doc_id, unnest(w) AS name FROM d
+  UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM d
+  UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM d)
+SELECT doc_id, term, count(*) AS hits FROM g JOIN vocab USING (name) WHERE name NOT IN (SELECT name FROM known) GROUP BY doc_id, term""",
 )
 def a3(t):
-    vocab = t.benchmark.select(F.explode(tokens(F.col("text"))).alias("term"))
+    """Terms of one word, of two with a dash between them, and of three in capitals."""
+    w, small = words(F.col("text")), "abcdefghijklmnopqrstuvwxyz"
+    vocab = t.benchmark.select(F.explode(F.concat(w, F.array(F.concat_ws(" - ", F.slice(w, 1, 2)), F.translate(F.concat_ws(" ", F.slice(w, 2, 3)), small, small.upper())))).alias("term"))
     known = t.conversations.filter(F.col("role") == "assistant").select(F.explode(tokens(F.col("text"))).alias("term"))
     return ops.undefined_terms(t.documents.select("doc_id", "text"), vocab, known)
 

@@ -15,6 +15,11 @@ from bindings.records import TRIGGERS
 CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
 
 
+def closed(*kinds):
+    """The watermark of a stream of these events only: the filter acts before it."""
+    return CLOSED.replace("events", f"events WHERE event_type IN {kinds}")
+
+
 def live(t):
     return event_stream(t.spark, t.sf_dir, t.events.schema, glob="events.parquet")
 
@@ -77,12 +82,12 @@ def h3_stream(t):
 
 @query(
     "h1_region_stream",
-    """
+    f"""
 WITH c AS (
   SELECT user_id AS track, ts, event_id, CASE event_type WHEN 'signup' THEN 'CAPTURE' ELSE 'STOP' END AS event FROM events WHERE event_type IN ('signup', 'error')),
 p AS (SELECT *, lag(event) OVER (PARTITION BY track ORDER BY ts, event_id) AS prev FROM c),
 k AS (SELECT *, lead(ts) OVER (PARTITION BY track ORDER BY ts, event_id) AS stopped FROM p WHERE event IS DISTINCT FROM prev)
-SELECT track, ts AS started, stopped FROM k WHERE event = 'CAPTURE' AND stopped IS NOT NULL""",
+SELECT track, ts AS started, stopped FROM k WHERE event = 'CAPTURE' AND stopped <= {closed('signup', 'error')}""",
 )
 def h1_stream(t):
     kind = F.col("event_type")
@@ -190,17 +195,22 @@ def c17_stream(t):
 
 @query(
     "d15_saga_stream",
-    """
-WITH c AS (SELECT user_id AS key, ts AS sent FROM events WHERE event_type = 'click'),
-p AS (SELECT user_id AS key, ts AS done FROM events WHERE event_type = 'purchase'),
-w AS (SELECT least((SELECT max(sent) FROM c), (SELECT max(done) FROM p)) - INTERVAL 2 HOUR AS closed),
-j AS (SELECT c.key, sent, done FROM c LEFT JOIN p ON c.key = p.key AND done >= sent AND done <= sent + INTERVAL 1 HOUR)
-SELECT *, CASE WHEN done IS NULL THEN 'missing step' ELSE 'complete' END AS state FROM j WHERE done IS NOT NULL OR sent < (SELECT closed FROM w)""",
+    f"""
+WITH e AS (SELECT user_id * 1000 + dayofyear(ts) AS key, ts, event_type FROM events WHERE event_type IN ('click', 'purchase')),
+c AS (SELECT key, min(ts) AS sent FROM e WHERE event_type = 'click' GROUP BY 1),
+s AS (SELECT key, ts FROM e WHERE event_type = 'purchase'),
+d AS (SELECT s.key, min(ts) AS done FROM s JOIN c ON c.key = s.key AND ts >= sent GROUP BY 1),
+r AS (
+  SELECT c.key, sent, done, CASE WHEN done IS NULL THEN 'missing step' WHEN done > sent + INTERVAL 1 HOUR THEN 'late step' ELSE 'complete' END AS state
+  FROM c LEFT JOIN d ON c.key = d.key
+  UNION ALL SELECT s.key, NULL, min(ts), 'orphan step' FROM s LEFT JOIN c ON c.key = s.key WHERE sent IS NULL OR ts < sent GROUP BY 1)
+SELECT r.* FROM r JOIN (SELECT key, min(ts) AS opened FROM e GROUP BY 1) o ON o.key = r.key WHERE opened + INTERVAL 1 DAY <= {closed('click', 'purchase')}""",
 )
 def d15_stream(t):
-    commands = live(t).filter(F.col("event_type") == "click").select(F.col("user_id").alias("key"), F.col("ts").alias("sent"))
-    steps = live(t).filter(F.col("event_type") == "purchase").select(F.col("user_id").alias("step_key"), F.col("ts").alias("done"))
-    return ntz(run_available(ops.saga_stream(commands, steps, "1 HOUR")), "sent", "done")
+    """A saga is a user's day: the first click asks, purchases answer."""
+    rows = live(t).withColumn("key", F.col("user_id") * 1000 + F.dayofyear("ts"))
+    commands, steps = (rows.filter(F.col("event_type") == kind).select("key", "ts") for kind in ("click", "purchase"))
+    return ntz(run_available(ops.saga_stream(commands, steps, 3600.0, 86400.0)), "sent", "done")
 
 
 @query("h9_pass_progress_stream", SQL["h9_pass_progress"])

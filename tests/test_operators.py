@@ -61,6 +61,18 @@ def test_undefined_terms_by_either_join(spark, limit):
     assert rows(ledger.undefined_terms(docs, vocab, known, limit)) == [(1, "real-time", 1), (1, "scalable", 2)]
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_undefined_terms_of_several_words(spark, limit):
+    docs = spark.createDataFrame(
+        [(1, "Peak load and PEAK\nLoad; peak, loads. The source of truth-ish"), (2, "source of, truth of source of truth"), (3, None), (4, "a a a a")],
+        "doc_id INT, text STRING")
+    vocab = spark.createDataFrame([("peak load",), ("Source of Truth",), ("  ",), (None,), ("Peak",), ("a a a",), ("gone by",), ("truth of",)], "term STRING")
+    known = spark.createDataFrame([("Truth  OF",), (None,)], "term STRING")
+    got = rows(ledger.undefined_terms(docs, vocab, known, limit))
+    assert sorted(got) == [(1, "Peak", 3), (1, "peak load", 2), (2, "Source of Truth", 2), (4, "a a a", 2)]
+    assert ledger.undefined_terms(docs, vocab.filter("false"), known, limit).isEmpty()
+
+
 def test_intake_of_a_vague_request(spark):
     asked = "request STRING, purpose STRING, quality STRING, scale STRING, constraints STRING, evolution STRING"
     df = spark.createDataFrame([("notifications", "notify users", None, "50k users", "small team", " "), ("full", "a", "b", "c", "d", "e")], asked)

@@ -157,3 +157,78 @@ def test_artifacts(spark):
     write_artifacts(rows.filter("kind <> 'story'"), root)
     counts = {r["kind"]: r["count"] for r in read_artifacts(spark, root).groupBy("kind").count().collect()}
     assert counts == {"decision": 1, "ledger": 2, "story": 1}
+
+
+def shuffled_files(spark, rows, schema, seed, n=5):
+    """The rows in files that overlap in time by up to 40 minutes, each in no order."""
+    import random
+
+    rnd = random.Random(seed)
+    folder = new_folder(spark)
+    late = sorted(rows, key=lambda r: r[1].timestamp() + rnd.uniform(0, 2400))
+    for i in range(n):
+        part = late[i * len(late) // n : (i + 1) * len(late) // n]
+        rnd.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def minute(m):
+    import datetime
+
+    return datetime.datetime(2024, 3, 1) + datetime.timedelta(minutes=m)
+
+
+def test_late_controls_are_ordered_across_batches(spark):
+    import random
+
+    rnd = random.Random(2)
+    control = [(rnd.randrange(4), minute(rnd.randrange(0, 3000, 3)), i, rnd.choice(["CAPTURE", "STOP"])) for i in range(600)]
+    schema = "track BIGINT, ts TIMESTAMP, seq BIGINT, event STRING"
+    folder = shuffled_files(spark, control, schema, 4)
+    got = run_available(ops.region_stream(event_stream(spark, folder, schema, files_per_batch=1)))
+    whole = signal.control_regions(spark.createDataFrame(control, schema)).filter("event = 'CAPTURE'")
+    end = max(r[1] for r in control) - minute(60) + minute(0)
+    want = whole.filter(F.col("until") <= F.lit(end)).select("track", F.col("at").alias("started"), F.col("until").alias("stopped"))
+    assert got.count() > 50 and same(got, want)
+
+
+def test_saga_rows_equal_the_batch_rows(spark):
+    import random
+
+    from ashlar.operators.graph import saga_reconcile
+
+    rnd = random.Random(9)
+    rows = []
+    for key in range(120):
+        start = rnd.randrange(0, 4000)
+        rows += [(key, minute(start + rnd.randrange(0, 100)), rnd.random() < 0.4) for _ in range(rnd.randint(1, 5))]
+    rows += [(500, minute(1000 + i % 90), i % 3 == 0) for i in range(900)]  # a busy key
+    schema = "key BIGINT, ts TIMESTAMP, command BOOLEAN"
+    folder = shuffled_files(spark, rows, schema, 7)
+    live_rows = event_stream(spark, folder, schema, files_per_batch=1)
+    got = run_available(ops.saga_stream(live_rows.filter("command"), live_rows.filter("NOT command"), 900.0, 6 * 3600.0))
+    whole = spark.createDataFrame(rows, schema)
+    batch = saga_reconcile(whole.filter("command"), whole.filter("NOT command"), 900.0)
+    ends = [max(r[1] for r in rows if r[2] == kind) for kind in (True, False)]
+    opened = whole.groupBy("key").agg(F.min("ts").alias("_opened"))
+    end = min(ends) - minute(60) + minute(0)
+    want = batch.join(opened, "key").filter(F.col("_opened") + F.expr("INTERVAL 6 HOURS") <= F.lit(end)).drop("_opened")
+    states = {r["state"] for r in got.collect()}
+    assert states == {"complete", "missing step", "late step", "orphan step"} and same(got, want)
+
+
+def test_idle_tasks_leave_the_state(spark):
+    folder, root = new_folder(spark), new_folder(spark)
+    schema = "task BIGINT, ts TIMESTAMP, shape STRING"
+    files = [[(k, minute(k), "view") for k in range(50)], [(1, minute(200), "click")], [(1, minute(1000), "view")], [(1, minute(2000), "view")],
+             [(2, minute(2100), "click"), (2, minute(2101), "view")]]
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    out = []
+    stream = ops.reroute_stream(event_stream(spark, folder, schema, files_per_batch=1), {"view": "a", "click": "b"}, "ask", idle_s=300 * 60.0)
+    query = run_batches(stream, lambda df, n: out.extend(df.collect()), root)
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert max(held) >= 50 and held[-1] < 10
+    # Task 1 moves while it is held; after 800 idle minutes it starts anew, and so does task 2.
+    assert [(r["task"], r["old_target"], r["new_target"]) for r in out] == [(1, "a", "b"), (2, "b", "a")]
