@@ -7,6 +7,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,13 +20,24 @@ RECORDS = """record_type string, record_id string, refers_to string, target_uri
 content_type string, source_headers array<struct<name:string,value:string>>, source_block_digest string,
 source_payload_digest string, block_digest string, content_length long, content binary"""
 CRLF = b"\r\n"
-#: Elements that end a line of text, and those whose content is no text.
-_BREAKS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
-_SILENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_BREAK = re.compile(rf"</?(?:{_BREAKS})\b[^>]*>", re.I)
-_TAG = re.compile(r"<[!/?a-zA-Z][^>]*(?:>|\Z)")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
-_LINK = re.compile(r"<(a|link|img|script|iframe|form)\b[^>]*?\s(href|src|action)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+# Elements that end a line of text, whose content is no markup, whose content is no text, and that hold links.
+BREAKS = frozenset(("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre "
+                    "section table td th title tr ul").split())
+RAW = ("script", "style")
+SILENT = ("head", "noscript", "template")
+LINKED, ADDRESSES = ("a", "link", "img", "script", "iframe", "form"), ("href", "src", "action")
+# Character sets that pages are read in; any other name is read as UTF-8.
+CHARSETS = frozenset((
+    "utf-8 utf8 utf-16 utf-16le utf-16be us-ascii ascii latin1 iso-8859-1 iso-8859-2 iso-8859-3 iso-8859-4 iso-8859-5 iso-8859-6 iso-8859-7 iso-8859-8 "
+    "iso-8859-9 iso-8859-10 iso-8859-11 iso-8859-13 iso-8859-14 iso-8859-15 iso-8859-16 windows-1250 windows-1251 windows-1252 windows-1253 windows-1254 "
+    "windows-1255 windows-1256 windows-1257 windows-1258 cp1250 cp1251 cp1252 cp874 koi8-r koi8-u shift_jis sjis euc-jp iso-2022-jp gb2312 gbk gb18030 big5 "
+    "euc-kr tis-620").split())
+#: A compressed body that grows beyond this is no page: it has no text.
+MOST_BODY = 1 << 28
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
+_TAG_END = re.compile(r"[>\"']")
+_CLOSE = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in (*RAW, "title")}
+_ATTRIBUTE = re.compile(r"[\s/]([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))")
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
@@ -56,26 +68,140 @@ def split_message(content: bytes) -> tuple[list[tuple[str, str]], bytes]:
 
 def charset_of(headers: list[tuple[str, str]], body: bytes) -> str:
     for place in (next((v for n, v in headers if n.lower() == "content-type"), ""), body[:1024].decode("ascii", "ignore")):
-        if found := _CHARSET.search(place):
-            try:
-                "".encode(found[1])
-                return found[1].lower()
-            except LookupError:
-                pass
+        if (found := _CHARSET.search(place)) and found[1].lower() in CHARSETS:
+            return found[1].lower()
     return "utf-8"
 
 
-def plain_text(page: str) -> str:
-    """Visible text, one line for each block of the page, blanks collapsed."""
-    text = _TAG.sub("", _BREAK.sub("\n", _SILENT.sub("\n", page)))
-    lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
-    return "\n".join(line for line in lines if line)
-
-
-def links(page: str) -> list[tuple[str, str]]:
-    """(element/attribute, address) of each link outside comments."""
-    return [(f"{m[1].lower()}/{m[2].lower()}", html.unescape(m[3] or m[4] or m[5] or "").strip())
-            for m in _LINK.finditer(re.sub(r"<!--.*?(?:-->|\Z)", "", page, flags=re.S))]
+def unchunked(body: bytes) -> bytes | None:
+    """The chunks of a body joined, up to the empty one; None if it isn't made of chunks."""
+    out, at = [], 0
+    while at < len(body):
+        stop = body.find(CRLF, at, at + 1024)
+        try:
+            size = int(body[at:stop].split(b";")[0].strip(), 16) if stop >= 0 else -1
+        except ValueError:
+            size = -1
+        if size < 0:
+            return None
+        if not size:
+            break
+        out.append(body[stop + 2 : stop + 2 + size])
+        at = stop + 2 + size + 2
+    return b"".join(out)
+
+
+def inflated(body: bytes, how: str) -> bytes | None:
+    """A gzip or deflate body; as far as it goes if it breaks off, None if it isn't one or grows beyond MOST_BODY."""
+    for bits in (31,) if "gzip" in how else (15, -15):
+        unpacker = zlib.decompressobj(bits)
+        try:
+            made = unpacker.decompress(body, MOST_BODY)
+        except zlib.error:
+            continue
+        return None if unpacker.unconsumed_tail else made
+    return None
+
+
+def entity(headers: list[tuple[str, str]], body: bytes) -> bytes:
+    """The page that a body carries: chunks joined and compression undone. A body that isn't what its headers say stays."""
+    named = {n.lower(): v.lower() for n, v in headers}
+    if "chunked" in named.get("transfer-encoding", ""):
+        joined = unchunked(body)
+        body = body if joined is None else joined
+    how = named.get("content-encoding", "")
+    if "gzip" in how or "deflate" in how:
+        made = inflated(body, how)
+        return b"" if made is None else made
+    return body
+
+
+def unescaped(text: str) -> str:
+    """Character references resolved; a number of very many digits is no character, and no reason to fail."""
+    if "&" not in text:
+        return text
+    short = re.sub(r"&#0+(?=[0-9])", "&#", text)
+    return html.unescape(re.sub(r"&#[0-9]{8,};?", "\ufffd", short))
+
+
+def _tag_stop(page: str, at: int) -> int:
+    """Place after the > of the tag that opens before ``at``; a > inside a quoted value doesn't end it."""
+    searched = at
+    while found := _TAG_END.search(page, searched):
+        searched = found.end()
+        if found[0] == ">":
+            return searched
+        before = page[max(at, found.start() - 64) : found.start()].rstrip()
+        if before.endswith("=") and (close := page.find(found[0], searched)) >= 0:
+            searched = close + 1
+    return len(page)
+
+
+class Page:
+    """Text, title and links of a page, from one walk over its tags; time grows with the length, whatever the page holds."""
+
+    def __init__(self, page: str) -> None:
+        self.pieces: list[str] = []
+        self.links: list[tuple[str, str]] = []
+        self.title: str | None = None
+        at, silent = 0, None
+        unclosed: set[str] = set()
+        while (opens := page.find("<", at)) >= 0:
+            if silent is None and opens > at:
+                self.pieces.append(unescaped(page[at:opens]))
+            if page.startswith("<!--", opens):
+                stop = page.find("-->", opens + 4)
+                at = len(page) if stop < 0 else stop + 3
+                continue
+            if page[opens + 1 : opens + 2] not in _OPENERS:
+                at = opens + 1
+                if silent is None:
+                    self.pieces.append("<")
+                continue
+            at = _tag_stop(page, opens + 1)
+            found = _NAME.match(page, opens + 1, at)
+            if not found:
+                continue
+            name, closes = found[1].lower(), page[opens + 1] == "/"
+            if closes and name == silent or name == "body" and silent == "head":
+                silent = None
+            if silent is None and name in BREAKS:
+                self.pieces.append("\n")
+            if closes:
+                continue
+            if name in LINKED:
+                self._link(name, page[opens:at])
+            if name in SILENT:
+                silent = silent or name
+            elif name in _CLOSE and name not in unclosed:
+                close = _CLOSE[name].search(page, at)
+                if close is None:
+                    unclosed.add(name)
+                    if name in RAW:
+                        at = len(page)
+                else:
+                    if name == "title" and self.title is None:
+                        self.title = " ".join(unescaped(page[at : close.start()]).split())
+                    if name in RAW:
+                        at = close.start()
+        if silent is None:
+            self.pieces.append(unescaped(page[at:]))
+
+    def _link(self, name: str, tag: str) -> None:
+        for m in _ATTRIBUTE.finditer(tag):
+            if m[1].lower() in ADDRESSES:
+                address = " ".join(unescaped(m[2] or m[3] or m[4] or "").split())
+                if address:
+                    self.links.append((f"{name}/{m[1].lower()}", address))
+                return
+
+    def text(self) -> str:
+        """Visible text, one line for each block of the page, blanks collapsed."""
+        lines = (" ".join(line.split()) for line in "".join(self.pieces).split("\n"))
+        return "\n".join(line for line in lines if line)
+
+
+_OPENERS = frozenset("!/?abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 def derive(record_id: str | None, target: str | None, date: str | None, content: bytes | None) -> list[tuple]:
@@ -84,15 +210,15 @@ def derive(record_id: str | None, target: str | None, date: str | None, content:
     headers, body = split_message(content)
     block, payload = digest(content), digest(body)
     source = record_id or urn("response", target, date, block)
-    charset = charset_of(headers, body)
-    page = body.decode(charset, "replace")
-    title = _TITLE.search(page)
+    carried = entity(headers, body)
+    charset = charset_of(headers, carried)
+    page = Page(carried.decode(charset, "replace"))
     fields = [("charset-detected", charset)]
-    if title:
-        fields.append(("title", " ".join(html.unescape(title[1]).split())))
-    fields += [("outlink", f"{address} {kind}") for kind, address in links(page) if address]
-    notes = b"".join(f"{n}: {' '.join(v.split())}\r\n".encode() for n, v in fields)
-    text = plain_text(page).encode()
+    if page.title is not None:
+        fields.append(("title", page.title))
+    fields += [("outlink", f"{address} {kind}") for kind, address in page.links]
+    notes = b"".join(f"{n}: {' '.join(v.split())}\r\n".encode("utf-8", "replace") for n, v in fields)
+    text = page.text().encode("utf-8", "replace")
     out = []
     for kind, content_type, raw in (("metadata", "application/warc-fields", notes), ("conversion", "text/plain; charset=utf-8", text)):
         out.append((kind, urn(kind, source), source, target, date, content_type, headers, block, payload, digest(raw), len(raw), raw))
@@ -105,7 +231,10 @@ def derivatives(responses: DataFrame) -> DataFrame:
     Rows follow RECORDS after the columns of ``responses`` that are neither of these four nor in RECORDS. The
     identifiers follow from the response's own; a response without one gets one from address, date and digest, so
     repeated rows give repeated identifiers. A null or empty content gives empty records; a null address or date stays
-    null. An address longer than any limit, or a page of any length, is handled whole. Rows never meet: no shuffle.
+    null. An address longer than any limit, or a page of any length, is handled whole, in time that grows with it. Chunked
+    and compressed bodies are undone before they are read (digests are those of the bytes as they came); a body that its
+    headers misname is read as it is, one that unpacks to over MOST_BODY has no text. Character sets outside CHARSETS are
+    read as UTF-8, and bytes that are none as U+FFFD. Rows never meet: no shuffle.
     """
     made = T._parse_datatype_string(RECORDS)
     four = ["record_id", "target_uri", "date", "content"]
@@ -141,15 +270,16 @@ def responses_of(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFr
 
 
 def serialise(record: dict) -> bytes:
-    """One WARC/1.1 record. The headers of the source follow as WARC-Source-Header lines."""
+    """One WARC/1.1 record. The headers of the source follow as WARC-Source-Header lines; line ends in values are escaped."""
     lines = [("WARC-Type", record["record_type"]), ("WARC-Record-ID", record["record_id"]), ("WARC-Refers-To", record["refers_to"]),
              ("WARC-Target-URI", record["target_uri"]), ("WARC-Date", record["date"]), ("Content-Type", record["content_type"]),
              ("WARC-Block-Digest", record["block_digest"]), ("WARC-Source-Block-Digest", record["source_block_digest"]),
              ("WARC-Source-Payload-Digest", record["source_payload_digest"]),
              *(("WARC-Source-Header", f"{h['name']}: {h['value']}") for h in record["source_headers"] or []),
              ("Content-Length", str(record["content_length"]))]
-    head = "WARC/1.1\r\n" + "".join(f"{n}: {v}\r\n" for n, v in lines if v is not None)
-    return head.encode() + CRLF + bytes(record["content"]) + CRLF + CRLF
+    safe = ((n, v.replace("\r", "%0D").replace("\n", "%0A")) for n, v in lines if v is not None)
+    head = "WARC/1.1\r\n" + "".join(f"{n}: {v}\r\n" for n, v in safe)
+    return head.encode("utf-8", "replace") + CRLF + bytes(record["content"]) + CRLF + CRLF
 
 
 def parse(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
