@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -29,6 +30,14 @@ _BLANK = re.compile("[ \t\n\r]+")
 _ODD = re.compile("[^\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
 #: The vocabulary's words in a lower-cased text of the other characters.
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\t\n\r a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+# How a vocabulary file says that its words are those of _WORDS, each encoded by itself.
+_CUT_BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 #: Letters that byte-level vocabularies write for the bytes beyond ASCII.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _SPELT = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
@@ -37,6 +46,7 @@ _SPELT = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PL
 class WordIds:
     """Token ids of texts, word by word, for a vocabulary that drops white space and encodes each word by itself.
 
+    A file that cuts texts in another way than _CUT_BY_WORDS goes through its own tokenizer, text by text.
     Stretches of ASCII and Latin-1 letters are cut into words here, by the vocabulary file's own pattern, and each
     different word is encoded once; a stretch between blanks with other characters goes through the whole tokenizer.
     """
@@ -46,6 +56,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.model = self.tokenizer.model
+        said = json.loads(tokenizer_json)
+        marked = all("<|" in t["content"] for t in said.get("added_tokens") or [])
+        self.by_words = marked and all(said.get(part) == value for part, value in _CUT_BY_WORDS.items())
         self.words = Memory(self._word)
         self.odd = Memory(self._odd)
 
@@ -58,6 +71,8 @@ class WordIds:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of one text."""
+        if not self.by_words:
+            return self._odd(text)
         if _ODD.search(text) or "<|" in text:
             stretches = _BLANK.split(text)
             return b"".join([self.odd[x] if _ODD.search(x) or "<|" in x else self.encode(x) for x in stretches])
