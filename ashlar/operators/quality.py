@@ -18,6 +18,7 @@ from ashlar.functions.text import (
     may_match,
 )
 from ashlar.plans.quantiles import exact_percentiles
+from ashlar.plans.loops import Workspace
 from ashlar.plans.scans import last, scan
 
 # Data classes, lowest rank first, and the patterns that vote for each.
@@ -214,6 +215,24 @@ def heavy_keys_approx(events: DataFrame, k: int = 20, max_items: int = 100_000)
     )
 
 
+def heavy_keys(events: DataFrame, k: int, buckets: int = 1 << 14) -> DataFrame:
+    """events(grp, key): every key that makes more than one in ``k`` of its group's rows, with exact hits and share.
+
+    The first pass adds rows up by hash bucket of the key, a sketch that merges on the map side and holds ``buckets``
+    counts per group whatever the number of keys. A key cannot be heavier than its bucket, so only fewer than ``k`` buckets
+    of a group can hold a heavy one. The second pass counts the keys of those buckets exactly. Null is a key, and a group.
+    """
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets))
+    sketch = events.groupBy("grp", bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    sketch = Workspace(events.sparkSession).keep(sketch)
+    totals = sketch.groupBy(F.col("grp").alias("_of")).agg(F.sum("_n").alias("_all"))
+    mine = F.col("grp").eqNullSafe(F.col("_of"))
+    heavy = sketch.join(totals, mine).filter(F.col("_n") * k > F.col("_all")).select("_of", "_bucket", "_all")
+    named = events.withColumn("_at", bucket).join(heavy, mine & (F.col("_at") == F.col("_bucket")))
+    hits = named.groupBy("grp", "key").agg(F.count(F.lit(1)).alias("hits"), F.max("_all").alias("_all"))
+    return hits.filter(F.col("hits") * k > F.col("_all")).select("grp", "key", "hits", (F.col("hits") / F.col("_all")).alias("share"))
+
+
 def spikes(buckets: DataFrame, seconds: int, n: int, ratio: float) -> DataFrame:
     """buckets(key, bucket, value) far above the mean of the n earlier buckets (absent ones are zero).
 

@@ -240,6 +240,17 @@ def c11(t):
     return ops.hot_spots(rows, 10).withColumn("share", F.round("share", 8))
 
 
+@query(
+    "c12_heavy_keys",
+    """
+WITH c AS (SELECT o_orderpriority AS grp, o_custkey AS key, count(*) AS hits FROM orders GROUP BY ALL),
+t AS (SELECT *, sum(hits) OVER (PARTITION BY grp) AS total FROM c)
+SELECT grp, key, hits, hits / total AS share FROM t WHERE hits * 1200 > total""",
+)
+def c12_exact(t):
+    return ops.heavy_keys(t.orders.select(F.col("o_orderpriority").alias("grp"), F.col("o_custkey").alias("key")), 1200)
+
+
 @query("c12_heavy_keys_approx")
 def c12(t):
     rows = t.lineitem.select(F.col("l_returnflag").alias("grp"), F.col("l_partkey").alias("key"))

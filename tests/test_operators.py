@@ -357,3 +357,18 @@ def test_separation_quality(spark):
     est = spark.createDataFrame([(1, 0, 0.9), (1, 1, 1.1), (2, 0, 3.0)], "track INT, i INT, e DOUBLE")
     got = dict(rows(signal.separation_quality(ref, est)))
     assert got[1] == pytest.approx(20.0) and got[2] is None
+
+
+@pytest.mark.parametrize("buckets", [1 << 14, 8])
+def test_heavy_keys_are_exact_and_none_is_lost(spark, buckets):
+    import random
+    from collections import Counter
+
+    rnd = random.Random(3)
+    events = [(g, int(rnd.paretovariate(0.6)) if rnd.random() < 0.9 else None) for g in ("a", "b", None) for _ in range(4000)]
+    events += [("a", -1)] * 2000 + [("c", 1)]
+    counts, totals = Counter(events), Counter(g for g, _ in events)
+    want = {(g, key): n for (g, key), n in counts.items() if n * 50 > totals[g]}
+    got = quality.heavy_keys(spark.createDataFrame(events, "grp STRING, key BIGINT"), 50, buckets).collect()
+    assert {(r["grp"], r["key"]): r["hits"] for r in got} == want and len(got) == len(want) > 10
+    assert all(abs(r["share"] - r["hits"] / totals[r["grp"]]) < 1e-12 for r in got)
