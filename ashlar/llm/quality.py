@@ -24,7 +24,7 @@ _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words",
-            "n_stops", "n_short_words")
+            "n_stops", "n_short_words", "n_upper", "n_cased", "n_marks", "n_symbol_words")
 
 
 def repeats(key: np.ndarray) -> np.ndarray:
@@ -55,6 +55,10 @@ def measure_block(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out[:, 0] = np.bincount(doc, minlength=n)
     out[:, 1] = count(np.flatnonzero(word & ((data & 0xC0) != 0x80)))
     out[:, 2] = count(np.flatnonzero(_SYMBOL[data]))
+    upper = (data >= 0x41) & (data <= 0x5A)
+    out[:, 9] = count(np.flatnonzero(upper))
+    out[:, 10] = count(np.flatnonzero(upper | (data >= 0x61) & (data <= 0x7A)))
+    out[:, 11] = count(np.flatnonzero((data == 0x21) | (data == 0x3F)))
     salt = mix(np.arange(n, dtype=np.uint64))
     hashes = PrefixHash(data)
     # lines: cut at \n and between documents
@@ -83,6 +87,8 @@ def measure_block(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             out[:, 4] = np.bincount(doc[np.cumsum(mark[:-1]) > 0], minlength=n)
         letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
         out[:, 6] = np.bincount(doc[letters[end] > letters[start]], minlength=n)
+        symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
+        out[:, 12] = np.bincount(doc[symbols[end] > symbols[start]], minlength=n)
         out[:, 7] = np.bincount(doc[_STOP[data[end - 1]]], minlength=n)
         out[:, 8] = np.bincount(doc[end - start <= 3], minlength=n)
     return out
@@ -122,11 +128,14 @@ def rules() -> dict[str, Column]:
         "length": vote(n >= 50, n < 10),
         "word_length": vote((2 * chars >= 5 * n) & (chars <= 9 * n), (n == 0) | (chars > 14 * n)),
         "symbols": vote((n > 0) & (10 * F.col("n_symbols") < n), 2 * F.col("n_symbols") > n),
-        "lines": vote((F.col("n_lines") > 1) & (F.col("n_dup_lines") == 0), 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+        "lines": vote((F.col("n_lines") > 1) & (F.col("n_dup_lines") == 0), 2 * F.col("n_dup_lines") > F.col("n_lines")),
         "repetition": vote((n >= 10) & (20 * F.col("n_repeat_words") <= n), 5 * F.col("n_repeat_words") > n),
-        "letters": vote(10 * F.col("n_letter_words") >= 9 * n, (n > 0) & (10 * F.col("n_letter_words") < 7 * n)),
+        "letters": vote(10 * F.col("n_letter_words") >= 9 * n, (n >= 20) & (10 * F.col("n_letter_words") < 7 * n)),
         "sentences": vote((n >= 20) & (80 * F.col("n_stops") >= n), (n >= 100) & (F.col("n_stops") == 0)),
         "short_words": vote((n >= 20) & (10 * F.col("n_short_words") >= n), (n >= 50) & (20 * F.col("n_short_words") < n)),
+        "symbol_words": vote((n >= 10) & (20 * F.col("n_symbol_words") <= n), 10 * F.col("n_symbol_words") > 3 * n),
+        "capitals": vote((n >= 10) & (10 * F.col("n_upper") <= F.col("n_cased")), 2 * F.col("n_upper") > F.col("n_cased")),
+        "marks": vote((n >= 10) & (20 * F.col("n_marks") <= n), 10 * F.col("n_marks") > 3 * n),
     }
 
 
@@ -134,32 +143,32 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, float]:
     """Posterior of good for each vote pattern, each rule's accuracy on good and bad documents, share of good.
 
-    Expectation-maximisation of a model in which rules vote independently given the quality, started from the
-    majority of votes. Abstaining tells nothing. Counts are smoothed, and a rule is taken to be right more often
-    than not, which fixes which class is the good one.
+    Expectation-maximisation of a model in which rules vote independently given the quality. Abstaining tells nothing. A
+    bad document is bad in one way and passes most rules, so that a rule may miss most of the bad ones: its accuracy there
+    is as low as the counts say. What is asked of a rule is that its good votes are no likelier on bad documents than on
+    good ones, which fixes which class is the good one. It starts from the votes: mostly good without a bad vote, and half
+    as likely with each bad one. Counts are smoothed.
     """
     voted, good = patterns >= 0, patterns == 1
-    votes = voted.sum(1)
-    p = np.where(votes > 0, (good.sum(1) + 1) / (votes + 2), 0.5)
-    share = 0.5
+    bad = voted & ~good
+    p = np.where(bad.any(1), 0.8 * 0.5 ** bad.sum(1), 0.95)
     for _ in range(rounds):
         on_good, on_bad = counts * p, counts * (1 - p)
         share = float((on_good.sum() + 1) / (counts.sum() + 2))
-        right_good = ((on_good[:, None] * good).sum(0) + 4) / ((on_good[:, None] * voted).sum(0) + 5)
-        right_bad = ((on_bad[:, None] * (voted & ~good)).sum(0) + 4) / ((on_bad[:, None] * voted).sum(0) + 5)
-        right_good, right_bad = np.clip(right_good, 0.5, 0.999), np.clip(right_bad, 0.5, 0.999)
-        like_good = np.where(good, np.log(right_good), np.log(1 - right_good)) * voted
-        like_bad = np.where(good, np.log(1 - right_bad), np.log(right_bad)) * voted
-        odds = np.log(share) - np.log(1 - share) + (like_good - like_bad).sum(1)
+        right = ((on_good[:, None] * good).sum(0) + 2) / ((on_good[:, None] * voted).sum(0) + 2.02)
+        missed = ((on_bad[:, None] * good).sum(0) + 1) / ((on_bad[:, None] * voted).sum(0) + 2)
+        missed = np.minimum(missed, right)
+        told = np.where(good, np.log(right / missed), 0) + np.where(bad, np.log((1 - right) / (1 - missed)), 0)
+        odds = np.log(share) - np.log(1 - share) + told.sum(1)
         new = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
         done = np.abs(new - p).max() < 1e-9
         p = new
         if done:
             break
-    return p, np.stack([right_good, right_bad]), share
+    return p, np.stack([right, 1 - missed]), share
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -167,8 +176,10 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     ``kept`` is false for a document that fails the base rule, else whether the posterior reaches ``threshold``.
     The driver sees one count for each vote pattern, at most 3 to the power of the number of rules. Null and empty
-    texts fail the base rule; repeated rows are judged alike; an empty table gives no rows.
+    texts fail the base rule; repeated rows are judged alike; an empty table gives no rows. Columns of the added names
+    (MEASURES, pattern, p_good, base_failed, kept) are replaced.
     """
+    docs = docs.drop("pattern", "p_good", "base_failed", "kept")
     named = rules()
     stored = Stored(docs.sparkSession)
     measured = measure(docs)
