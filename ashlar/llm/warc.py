@@ -35,6 +35,7 @@ CHARSETS = frozenset((
 #: A compressed body that grows beyond this is no page: it has no text.
 MOST_BODY = 1 << 28
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
+_SIMPLE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*+)(?=[\s/>])[^<>\"']*+>")
 _TAG_END = re.compile(r"[>\"']")
 _CLOSE = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in (*RAW, "title")}
 _ATTRIBUTE = re.compile(r"[\s/]([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))")
@@ -149,20 +150,23 @@ class Page:
         while (opens := page.find("<", at)) >= 0:
             if silent is None and opens > at:
                 self.pieces.append(unescaped(page[at:opens]))
-            if page.startswith("<!--", opens):
+            if simple := _SIMPLE.match(page, opens):  # no quotes to heed: most tags
+                at, name, closes = simple.end(), simple[2].lower(), bool(simple[1])
+            elif page.startswith("<!--", opens):
                 stop = page.find("-->", opens + 4)
                 at = len(page) if stop < 0 else stop + 3
                 continue
-            if page[opens + 1 : opens + 2] not in _OPENERS:
+            elif page[opens + 1 : opens + 2] not in _OPENERS:
                 at = opens + 1
                 if silent is None:
                     self.pieces.append("<")
                 continue
-            at = _tag_stop(page, opens + 1)
-            found = _NAME.match(page, opens + 1, at)
-            if not found:
-                continue
-            name, closes = found[1].lower(), page[opens + 1] == "/"
+            else:
+                at = _tag_stop(page, opens + 1)
+                found = _NAME.match(page, opens + 1, at)
+                if not found:
+                    continue
+                name, closes = found[1].lower(), page[opens + 1] == "/"
             if closes and name == silent or name == "body" and silent == "head":
                 silent = None
             if silent is None and name in BREAKS:
