@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexicon maps words to symbols: insult, threat, target, negation, reported speech. Three small transducers
-rewrite a clause one after another: negation marks an insult or threat shortly after a negator, report marks one
-in the rest of a clause after a verb of speech, target joins it with a person addressed in the clause. Their
-composition is one table from (state, symbol) to (state, kind of hit). A matched clause scores the weights of its
-hits; a logistic curve turns a document's clause scores into a probability.
+A lexicon maps words to symbols: insult, threat, target, negation, reported speech; commas and colons, quotation marks,
+sentence ends and line ends have symbols of their own. Three small transducers rewrite the symbols one after another:
+negation marks an insult or threat shortly after a negator, report marks one in the rest of the sentence after a verb of
+speech and, if a quotation opens there, up to its end, target joins it with a person addressed in the clause. Their
+composition is one table from (state, symbol) to (state, kind of hit). A clause with hits is matched and gets a score from
+their weights and marks; a logistic curve over the clause scores of a document gives a probability.
 """
 
 from __future__ import annotations
@@ -44,12 +45,17 @@ NEGATORS = "not no never nobody isn't aren't don't nicht kein keine nie niemals
 SPEECH = """said says say called calls wrote writes claimed quoted sagte sagt nannte schrieb behauptete
 dit appelé écrit affirmé dijo dice llamó escribió afirmó""".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+SYMBOLS = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, PAUSE, QUOTE, END, LINE = range(10)
 #: What a transducer may make of an insult or threat.
-NEGATED, REPORTED, AIMED = 8, 16, 32
-_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.,;:!?\n]")
-#: Features of a document: summed clause scores by kind of hit, the best clause, hits.
-FEATURES = ("plain", "negated", "reported", "aimed", "threat", "best", "hits")
+NEGATED, REPORTED, AIMED = 16, 32, 64
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.,;:!?\n\"«»„“”]")
+#: Symbols of the marks between words; the first three kinds close a clause.
+MARKS = {**dict.fromkeys(",;:", PAUSE), **dict.fromkeys(".!?", END), "\n": LINE, **dict.fromkeys('"«»„“”', QUOTE)}
+CLOSING = (PAUSE, END, LINE)
+#: What a hit's marks make of its weight.
+WEAKER, AIMED_MORE = 0.5, 1.5
+#: Features of a document: scores of its matched clauses summed by kind, the best one, and how many there are.
+FEATURES = ("plain", "negated", "reported", "aimed", "threat", "best", "clauses")
 
 
 @dataclass
@@ -64,31 +70,33 @@ class Transducer:
 
 
 def is_hit(symbol: int) -> bool:
-    return symbol & 7 in (INSULT, THREAT)
+    return symbol & 15 in (INSULT, THREAT)
 
 
 def negation(reach: int = NEGATION_REACH) -> Transducer:
     """State n: words the last negator still reaches."""
     arcs = {}
     for state in range(reach + 1):
-        for symbol in range(END):
+        for symbol in (OTHER, INSULT, THREAT, TARGET, REPORT):
             arcs[state, symbol] = (max(0, state - 1), symbol | NEGATED if state and is_hit(symbol) else symbol)
         arcs[state, NEGATION] = (reach, NEGATION)
-        arcs[state, END] = (0, END)
+        for symbol in CLOSING:
+            arcs[state, symbol] = (0, symbol)
     return Transducer(arcs, reach + 1)
 
 
 def report() -> Transducer:
-    """State 1: a verb of speech stood before in the clause."""
-    arcs = {(0, REPORT): (1, REPORT), (1, END): (0, END)}
+    """State 1: a verb of speech stood before in the sentence. State 2: in the quotation that opened after it."""
+    arcs = {(0, REPORT): (1, REPORT), (1, QUOTE): (2, QUOTE), (2, QUOTE): (0, QUOTE), (1, END): (0, END), (1, LINE): (0, LINE), (2, LINE): (0, LINE)}
     for symbol in (INSULT, THREAT, INSULT | NEGATED, THREAT | NEGATED):
         arcs[1, symbol] = (1, symbol | REPORTED)
-    return Transducer(arcs, 2)
+        arcs[2, symbol] = (2, symbol | REPORTED)
+    return Transducer(arcs, 3)
 
 
 def target() -> Transducer:
     """State 1: a person was addressed before in the clause."""
-    arcs = {(0, TARGET): (1, TARGET), (1, END): (0, END)}
+    arcs = {(0, TARGET): (1, TARGET), **{(1, symbol): (0, symbol) for symbol in CLOSING}}
     for hit in (INSULT, THREAT):
         for marks in (0, NEGATED, REPORTED, NEGATED | REPORTED):
             arcs[1, hit | marks] = (1, hit | marks | AIMED)
@@ -103,7 +111,7 @@ def compose(*parts: Transducer) -> tuple[list[list[int]], list[list[int]]]:
     writes: list[list[int]] = []
     for states in todo:
         next_row, write_row = [], []
-        for symbol in range(END + 1):
+        for symbol in SYMBOLS:
             moved, written = [], symbol
             for part, state in zip(parts, states, strict=True):
                 state, written = part.step(state, written)
@@ -139,30 +147,33 @@ class Grammar:
         return None if best is None else (INSULT, best)
 
     def features(self, text: str) -> list[float]:
-        """Clause scores of one text by kind of hit."""
-        memory, tokens = self.memory, _TOKEN.findall(text.lower())
+        """The scores of one text's matched clauses, as logarithms of FEATURES.
+
+        A clause counts as negated or reported if all its hits are, else as plain; as aimed or threat if any hit is.
+        """
+        memory, tokens = self.memory, _TOKEN.findall(text.lower().replace("\u2019", "'"))
         for token in set(tokens).difference(memory):
-            memory[token] = (END, 0.0) if token in ".,;:!?\n" else self.look_up(token)
+            memory[token] = (MARKS[token], 0.0) if token in MARKS else self.look_up(token)
         found = [memory[t] for t in tokens]
         out = [0.0] * len(FEATURES)
         if len(memory) > 400_000:
             memory.clear()
         if not any(x is not None and is_hit(x[0]) for x in found):
             return out
-        state, clause = 0, 0.0
-        for x in found:
+        state, clause, common, some = 0, 0.0, NEGATED | REPORTED, 0
+        for x in (*found, (END, 0.0)):
             symbol, weight = (OTHER, 0.0) if x is None else x
             written, state = WRITE[state][symbol], NEXT[state][symbol]
-            if symbol == END:
-                out[5], clause = max(out[5], clause), 0.0
-            elif is_hit(written):
-                kind = 1 if written & NEGATED else 2 if written & REPORTED else 0
-                out[kind] += weight
-                out[3] += weight if written & AIMED else 0.0
-                out[4] += weight if written & 7 == THREAT else 0.0
+            if is_hit(written):
+                clause += weight * (WEAKER if written & (NEGATED | REPORTED) else 1.0) * (AIMED_MORE if written & AIMED else 1.0)
+                common, some = common & written, some | written & AIMED | (1 if written & 15 == THREAT else 2)
+            elif symbol in CLOSING and some:
+                out[1 if common & NEGATED else 2 if common & REPORTED else 0] += clause
+                out[3] += clause if some & AIMED else 0.0
+                out[4] += clause if some & 1 else 0.0
+                out[5] = max(out[5], clause)
                 out[6] += 1
-                clause += weight * (0.5 if kind else 1.0)
-        out[5] = max(out[5], clause)
+                clause, common, some = 0.0, NEGATED | REPORTED, 0
         return [math.log1p(v) for v in out]
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -179,7 +190,7 @@ def fixed_words() -> dict[str, tuple[int, float]]:
 
 def entries(text: str) -> set[str]:
     """Words of a text, and word beginnings ending in a star, that may become lexicon entries."""
-    words = {t for t in _TOKEN.findall(text.lower()) if len(t) > 1}
+    words = {t for t in _TOKEN.findall(text.lower().replace("\u2019", "'")) if len(t) > 1}
     return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
 
 
@@ -196,8 +207,9 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> tuple
     chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * most ids
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    # repeated ids give one row each; the class sizes count ids
-    return texts.join(ids, "doc_id").select("text", "toxic"), sizes
+    # one text for each id, however often it is repeated: what the driver sees is bounded by rows, and sizes count ids
+    one = texts.join(ids, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").alias("toxic"))
+    return one.select("text", "toxic"), sizes
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, lexicon: int = LEXICON_ENTRIES) -> Grammar:
@@ -308,7 +320,12 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
-    """Learn from ``labels`` (doc_id, toxic), score every document, and judge it: ``held_out``, ``predicted``."""
+    """Learn from ``labels`` (doc_id, toxic), score every document, and judge it: ``held_out``, ``predicted``.
+
+    Null and empty texts have no clause and score as the curve does at zero; a null id is never held out; repeated rows are
+    judged alike; an empty table gives no rows; columns of the added names are replaced. At most ``most`` labelled rows of
+    each class are learned from, one text for each id.
+    """
     scored = score(docs, learn(docs, labels, most))
     return scored.withColumns({"held_out": held_out(F.col("doc_id")),
                                "predicted": (F.col("score") >= 0.5).cast("int")})

@@ -84,6 +84,38 @@ def test_grammar_marks_negated_reported_and_aimed_hits():
     assert f("you idiot")["aimed"] > 0 and f("idiot. you")["aimed"] == 0
     assert f("not. idiot")["plain"] > 0
     assert f("they kill")["threat"] > 0
+    for text in ("He said: you idiot", 'She wrote, "idiot"', "he said, they are, all of them, idiot", 'they wrote: “a word. Then idiot.” and', "sagte: „Idiot“"):
+        assert f(text)["reported"] > 0 and f(text)["plain"] == 0, text
+    for text in ("he said no. idiot", 'she wrote "a word" idiot', 'he said "x\nidiot', 'the "idiot"'):
+        assert f(text)["plain"] > 0 and f(text)["reported"] == 0, text
+    assert f("I don’t idiot")["negated"] > 0 and f("I don't, idiot")["plain"] > 0
+    assert f("not an idiot, idiot")["clauses"] == f("idiot. idiot")["clauses"] > f("idiot idiot")["clauses"]
+    assert f("you idiot")["best"] > f("idiot")["best"] > f("no idiot")["best"]
+
+
+def test_composition_equals_the_transducers_one_after_another():
+    rng, parts = random.Random(4), [toxicity.negation(), toxicity.report(), toxicity.target()]
+    for _ in range(300):
+        line = [rng.choice(toxicity.SYMBOLS) for _ in range(rng.randint(0, 60))]
+        want = line
+        for part in parts:
+            state, out = 0, []
+            for symbol in want:
+                state, written = part.step(state, symbol)
+                out.append(written)
+            want = out
+        state, got = 0, []
+        for symbol in line:
+            got.append(toxicity.WRITE[state][symbol])
+            state = toxicity.NEXT[state][symbol]
+        assert got == want
+
+
+def test_sample_takes_one_text_of_each_id(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(500)] + [(9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic int")
+    texts, sizes = toxicity.sample(docs, labels)
+    assert texts.count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(5)) and sum(sizes.values()) <= 10
 
 
 def test_near_duplicates_against_all_pairs(spark, docs, none):
