@@ -65,7 +65,7 @@ def i3(t):
     "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
 )
 def i4(t):
-    return ntz(upsert_stream(live(t), ["user_id"], ["ts", "event_id"]), "ts")
+    return ntz(upsert_stream(live(t), ["user_id"], ["ts", "event_id"], every=1), "ts")
 
 
 @query(

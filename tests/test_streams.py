@@ -7,7 +7,7 @@ from ashlar.operators import routing, signal
 from ashlar.plans.loops import new_folder
 from ashlar.sources.artifacts import read_artifacts, write_artifacts
 from ashlar.sources.streams import event_stream, late_rows, run_available, run_batches
-from ashlar.sources.upsert import compact, latest_by, read_current, upsert_stream
+from ashlar.sources.upsert import latest_by, upsert_stream
 from ashlar.streaming import operators as ops
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -131,12 +131,6 @@ def test_upsert_is_idempotent(spark, parts):
     got = upsert_stream(live(spark, parts), key, order, root)
     want = latest_by(spark.read.parquet(EVENTS).withColumn("ts", F.col("ts").cast("timestamp")), key, order)
     assert same(got, want)
-    again = spark.read.parquet(f"{root}/rows").filter("batch = 1").drop("batch").toPandas()
-    spark.createDataFrame(again, want.schema).write.mode("overwrite").parquet(f"{root}/rows/batch=1")
-    assert same(read_current(spark, root, key, order), want)
-    target = new_folder(spark)
-    compact(spark, root, target, key, order)
-    assert same(read_current(spark, target, key, order), want)
 
 
 def test_late_rows_are_counted(spark):
