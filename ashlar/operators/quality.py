@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ashlar.functions.levels import micros, seconds_between
+from ashlar.functions.lint import blank
 from ashlar.functions.text import (
     DATA_CLASS_HINTS,
     DATA_CLASS_PATTERNS,
@@ -84,14 +85,42 @@ def verdict_matrix(measured: DataFrame, targets: DataFrame) -> DataFrame:
     return measured.join(targets, "attribute").select("candidate", "attribute", "value", verdict.alias("verdict"))
 
 
+def justified(verdicts: DataFrame, targets: DataFrame) -> DataFrame:
+    """The rows of :func:`verdict_matrix` with a one-line justification: the value, the target, by how much it is missed.
+
+    Numbers have two decimals; a missing value (its verdict is fails) is said to be one. targets may name in ``source`` the ledger entry they come from; it stands in brackets.
+    """
+
+    def number(col: Column) -> Column:
+        return col.cast("decimal(28,2)").cast("string")
+
+    value, target = F.col("value"), F.col("target")
+    source = F.col("source") if "source" in targets.columns else F.lit(None).cast("string")
+    share = F.concat(F.round(F.col("margin") * 100).cast("bigint").cast("string"), F.lit(" %"))
+    bound = F.concat("op", F.lit(" "), number(target))
+    missed = F.concat(F.lit(" misses "), bound, F.lit(" by "), number(F.abs(value - target)))
+    said = (
+        F.when(F.col("verdict") == "meets", F.concat(F.lit(" meets "), bound))
+        .when(F.col("verdict") == "risks", F.concat(missed, F.lit(", within "), share))
+        .otherwise(F.concat(missed, F.lit(", beyond "), share))
+    )
+    cited = F.when(~blank(source), F.concat(F.lit(" ("), source, F.lit(")"))).otherwise("")
+    told = F.coalesce(F.concat(F.lit(" "), number(value), said), F.lit(" is not measured"))
+    line = F.concat("attribute", told, cited).alias("justification")
+    return verdicts.join(targets, "attribute").select("candidate", "attribute", "value", "verdict", line)
+
+
 def verdict_grid(verdicts: DataFrame, attributes: Sequence[str]) -> DataFrame:
     return verdicts.groupBy("candidate").pivot("attribute", list(attributes)).agg(F.min("verdict"))
 
 
-def prune_candidates(verdicts: DataFrame, drivers: Sequence[str]) -> DataFrame:
-    """Per candidate: kept, and the hard drivers it fails (at most one reason per driver)."""
-    reason = F.when(F.col("attribute").isin(list(drivers)) & (F.col("verdict") == "fails"), F.col("attribute"))
-    out = verdicts.groupBy("candidate").agg(F.array_sort(F.collect_set(reason)).alias("reasons"))
+def prune_candidates(verdicts: DataFrame, drivers: Sequence[str], reason: str = "attribute") -> DataFrame:
+    """Per candidate: kept, and the hard drivers it fails (at most one reason per driver).
+
+    ``reason`` is the column told as the reason: the driver's name, or the ``justification`` of :func:`justified`.
+    """
+    told = F.when(F.col("attribute").isin(list(drivers)) & (F.col("verdict") == "fails"), F.coalesce(F.col(reason), F.col("attribute")))
+    out = verdicts.groupBy("candidate").agg(F.array_sort(F.collect_set(told)).alias("reasons"))
     return out.withColumn("kept", F.size("reasons") == 0)
 
 

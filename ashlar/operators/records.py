@@ -17,6 +17,8 @@ HEADER_FIELDS = {"status": "Status", "date": "Date", "deciders": "Deciders", "ta
 SUPERSEDED_BY = r"^superseded by ADR-([0-9]+)$"
 STATUSES = ["proposed", "accepted", "superseded", "deprecated"]
 RISK_CLASSES = ["mitigated", "mitigable", "accepted"]
+#: The phases a record of each shape must show.
+PHASES = {"mini": [2, 4], "full": [1, 2, 3, 4, 5, 6]}
 
 
 def record_headers(docs: DataFrame) -> DataFrame:
@@ -160,6 +162,33 @@ def record_lint(
     )
 
 
+def record_shape_lint(records: DataFrame, phases: DataFrame, principles: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
+    """One row (num, rule) per broken rule of a record's shape.
+
+    records(num, shape, stakes) with the stakes of :func:`gate_by_stakes`, phases(num, phase) that the record has parts of,
+    principles(num, ...). A mini record has phases 2 and 4 alone and serves lightweight changes only; null stakes break nothing.
+    """
+    has = phases.groupBy("num").agg(F.collect_set(F.col("phase").cast("int")).alias("_has"))  # a handful of numbers
+    said = principles.groupBy("num").agg(F.count(F.lit(1)).alias("_said"))
+    joined = records.join(has, "num", "left").join(said, "num", "left")
+    none = F.array().cast("array<int>")
+    present, said_n = F.coalesce("_has", none), F.coalesce("_said", F.lit(0))
+    mini, full = (F.array(*[F.lit(n) for n in PHASES[shape]]) for shape in ("mini", "full"))
+    needed = F.when(F.col("shape") == "mini", mini).when(F.col("shape") == "full", full).otherwise(none)
+    return broken_rules(
+        joined,
+        ["num"],
+        {
+            "shape outside domain": F.col("shape").isNull() | ~F.col("shape").isin(list(PHASES)),
+            "mini record of a full change": (F.col("shape") == "mini") & (F.col("stakes") == "full"),
+            "record of a trivial change": F.col("stakes") == "none",
+            "phase missing": F.size(F.array_except(needed, present)) > 0,
+            "phase beyond a mini record": (F.col("shape") == "mini") & (F.size(F.array_except(present, mini)) > 0),
+            "principles outside 3-5": (said_n < low) | (said_n > high),
+        },
+    )
+
+
 def tradeoff_matrix(scores: DataFrame, options: Sequence, by: Sequence[str] = ("driver",)) -> DataFrame:
     """scores(driver, option, score) → one row per driver, one column per option, absent cells null."""
     return scores.groupBy(*by).pivot("option", list(options)).agg(F.avg("score"))
@@ -184,15 +213,36 @@ def gate_by_stakes(changes: DataFrame) -> DataFrame:
     )
 
 
+def trigger_bounds(triggers: DataFrame, baseline: DataFrame) -> DataFrame:
+    """triggers(record, metric, op, threshold, factor, sustain), baseline(metric, base) → triggers with a level to compare with.
+
+    A trigger without a threshold is a ratio: factor × the metric's base, its value when the decision was taken. Without
+    either, or without a base, it stays null and never fires. One base for each metric.
+    """
+    level = F.coalesce(F.col("threshold").cast("double"), F.col("factor") * F.col("base"))
+    return triggers.join(baseline.select("metric", "base"), "metric", "left").withColumn("threshold", level).drop("base")
+
+
+def fires(triggers: DataFrame) -> Column:
+    """Whether ``value`` meets a trigger: op is >, >=, < or <=; without that column, >. Other operators never fire."""
+    value, level = F.col("value"), F.col("threshold")
+    if "op" not in triggers.columns:
+        return value > level
+    op = F.coalesce("op", F.lit(">"))
+    return F.when(op == ">", value > level).when(op == ">=", value >= level).when(op == "<", value < level).when(op == "<=", value <= level)
+
+
 def trigger_monitor(buckets: DataFrame, triggers: DataFrame, seconds: int) -> DataFrame:
-    """buckets(metric, bucket, value), triggers(metric, threshold, sustain) → runs of consecutive
-    buckets above the threshold that last at least ``sustain`` buckets, for each trigger by itself.
+    """buckets(metric, bucket, value), triggers(metric, threshold, sustain, and more) → runs of consecutive
+    buckets that meet a trigger and last at least ``sustain`` buckets, for each trigger (all its columns) by itself.
 
-    Works on one row per (trigger, bucket), so a window over a trigger is bounded by time, not by rows.
+    Works on one row per (trigger, bucket), so a window over a trigger is bounded by time, not by rows. ``peak`` is the
+    greatest value, or the least one where the trigger waits for small values.
     """
-    above = buckets.join(triggers, "metric").filter(F.col("value") > F.col("threshold"))
+    above = buckets.join(triggers, "metric").filter(fires(triggers))
     index = F.floor(F.unix_seconds(F.col("bucket").cast("timestamp")) / seconds)
-    trigger = ["metric", "threshold", "sustain"]
+    trigger = ["metric", *[c for c in triggers.columns if c != "metric"]]
+    falling = F.col("op").isin("<", "<=") if "op" in trigger else F.lit(False)
     w = Window.partitionBy(*trigger).orderBy("bucket")
     runs = above.withColumn("_run", index - F.row_number().over(w)).groupBy(*trigger, "_run")
     return (
@@ -200,7 +250,7 @@ def trigger_monitor(buckets: DataFrame, triggers: DataFrame, seconds: int) -> Da
             F.min("bucket").alias("first_bucket"),
             F.max("bucket").alias("last_bucket"),
             F.count(F.lit(1)).alias("buckets"),
-            F.max("value").alias("peak"),
+            F.when(F.any_value(falling), F.min("value")).otherwise(F.max("value")).alias("peak"),
         )
         .filter(F.col("buckets") >= F.col("sustain"))
         .drop("_run")

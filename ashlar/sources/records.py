@@ -8,17 +8,20 @@ half of one.
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from ashlar.session import ship
+# The data source travels with its code: the workers that plan a scan or a write see no files sent to executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed value: the file name format.
 RECORD_PATH = r"([^/]+)/([0-9]{4,})-([A-Za-z0-9-]+)\.md$"
@@ -36,7 +39,6 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     only. Bytes that aren't UTF-8 become replacement signs. Stores without a Python file system go through
     :func:`scan_records`.
     """
-    ship(spark)
     spark.dataSource.register(RecordFiles)
     return spark.read.format("record_files").load(path)
 
@@ -156,7 +158,6 @@ def write_records(records: DataFrame, path: str) -> int:
     found = names.agg(F.count_if(~fits).alias("bad"), F.count_if(F.col("_n") > 1).alias("twice"), F.sum("_n").alias("files")).first()
     if found["bad"] or found["twice"]:
         raise ValueError(f"{found['bad']} names no record can have, {found['twice']} names of several records")
-    ship(spark)
     spark.dataSource.register(RecordFiles)
     store, folder = store_of(path)
     store.create_dir(folder, recursive=True)

@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ashlar.operators.records import fires
 from ashlar.operators.signal import peak_meter
 from ashlar.streaming import processors as p
 
@@ -27,10 +29,17 @@ def bucket_stream(events: DataFrame, keys: Sequence[str], size: str) -> DataFram
 
 
 def trigger_stream(buckets: DataFrame, triggers: DataFrame, bucket_s: int) -> DataFrame:
-    """buckets(metric, bucket, value) as a stream, triggers(metric, threshold, sustain) → runs as they reach sustain."""
-    above = buckets.join(triggers, "metric").filter(F.col("value") > F.col("threshold"))
-    keyed = above.select("metric", "threshold", "sustain", "bucket").groupBy("metric", "threshold", "sustain")
-    return keyed.transformWithStateInPandas(p.SustainedRuns(bucket_s), p.RUNS, "append", "none")
+    """buckets(metric, bucket, value) as a stream, triggers(metric, threshold, sustain, and more) → runs as they reach sustain.
+
+    Ratio triggers get their level from ``records.trigger_bounds`` first.
+    """
+    names = ["metric", *[c for c in triggers.columns if c != "metric"]]
+    above = buckets.join(triggers, "metric").filter(fires(triggers))
+    # Triggers may have null columns, which a key of the state may not: the whole trigger travels as one text.
+    keyed = above.select(F.to_json(F.struct(*names)).alias("trigger"), "sustain", "bucket").groupBy("trigger")
+    runs = keyed.transformWithStateInPandas(p.SustainedRuns(bucket_s), p.RUNS, "append", "none")
+    trigger = F.from_json("trigger", StructType([above.schema[c] for c in names]))
+    return runs.withColumn("_t", trigger).select("_t.*", "first_bucket", "fired_bucket", "buckets")
 
 
 def consume_once(events: DataFrame, key: Sequence[str]) -> DataFrame:

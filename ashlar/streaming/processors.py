@@ -15,7 +15,7 @@ REGIONS = "track BIGINT, started TIMESTAMP, stopped TIMESTAMP"
 REROUTES = "task BIGINT, ts TIMESTAMP, old_target STRING, new_target STRING"
 SAGAS = "key BIGINT, sent TIMESTAMP, done TIMESTAMP, state STRING"
 CONFLICTS = "worktree BIGINT, ts TIMESTAMP, holder BIGINT, intruder BIGINT"
-RUNS = "metric STRING, threshold INT, sustain INT, first_bucket TIMESTAMP, fired_bucket TIMESTAMP, buckets BIGINT"
+RUNS = "trigger STRING, first_bucket TIMESTAMP, fired_bucket TIMESTAMP, buckets BIGINT"
 
 
 def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -238,7 +238,7 @@ class WorktreeHolder(StatefulProcessor):
 
 
 class SustainedRuns(StatefulProcessor):
-    """Buckets above the threshold of one trigger (metric, threshold, sustain) → one row when a run reaches its length."""
+    """Buckets that meet one trigger, the key → one row when a run reaches its length."""
 
     def __init__(self, bucket_s: int) -> None:
         self.step = bucket_s * 1_000_000
@@ -256,10 +256,10 @@ class SustainedRuns(StatefulProcessor):
             else:
                 first, n = at, 1
             last = at
-            if n == key[2]:
+            if n == r.sustain:
                 out.append((*key, _stamp(first), r.bucket, n))
         self.run.update((first, last, n))
-        yield pd.DataFrame(out, columns=["metric", "threshold", "sustain", "first_bucket", "fired_bucket", "buckets"])
+        yield pd.DataFrame(out, columns=["trigger", "first_bucket", "fired_bucket", "buckets"])
 
     def close(self) -> None:
         pass

@@ -131,6 +131,43 @@ def c5(t):
     return ops.prune_candidates(verdicts(t), ["lowest", "suppliers"]).withColumn("reasons", F.concat_ws(",", "reasons"))
 
 
+SOURCED = f"""
+s AS (
+  SELECT attribute, op, target::DOUBLE AS target, margin::DOUBLE AS margin, 'ledger ' || attribute AS source
+  FROM ({TARGETS}) v(attribute, op, target, margin)),
+x AS (
+  SELECT v.candidate, v.attribute, v.value, v.verdict, v.attribute || ' ' || v.value::DECIMAL(28,2)
+    || CASE WHEN verdict = 'meets' THEN ' meets ' || op || ' ' || target::DECIMAL(28,2)
+       ELSE ' misses ' || op || ' ' || target::DECIMAL(28,2) || ' by ' || abs(v.value - target)::DECIMAL(28,2)
+         || CASE verdict WHEN 'risks' THEN ', within ' ELSE ', beyond ' END || round(margin * 100)::BIGINT || ' %' END
+    || ' (' || source || ')' AS justification
+  FROM v JOIN s ON s.attribute = v.attribute)"""
+
+
+def justified(t):
+    targets = t.spark.sql(f"SELECT * FROM {TARGETS} AS v(attribute, op, target, margin)").select(
+        "attribute", "op", F.col("target").cast("double").alias("target"), F.col("margin").cast("double").alias("margin"),
+        F.concat(F.lit("ledger "), F.col("attribute")).alias("source"),
+    )
+    return ops.justified(verdicts(t), targets)
+
+
+@query("c4_verdict_justified", f"WITH {VERDICTS}, {SOURCED} SELECT candidate, attribute, round(value, 4) AS value, verdict, justification FROM x")
+def c4_justified(t):
+    return justified(t).withColumn("value", F.round("value", 4))
+
+
+@query(
+    "c5_prune_justified",
+    f"""WITH {VERDICTS}, {SOURCED}
+SELECT candidate, coalesce(string_agg(justification, '; ' ORDER BY justification) FILTER (verdict = 'fails' AND attribute IN ('lowest', 'suppliers')), '') AS reasons,
+  count_if(verdict = 'fails' AND attribute IN ('lowest', 'suppliers')) = 0 AS kept FROM x GROUP BY candidate""",
+)
+def c5_justified(t):
+    pruned = ops.prune_candidates(justified(t), ["lowest", "suppliers"], "justification")
+    return pruned.withColumn("reasons", F.concat_ws("; ", "reasons"))
+
+
 @query(
     "c6_request_rates",
     """

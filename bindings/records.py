@@ -258,6 +258,72 @@ def b9(t):
     return ops.trigger_monitor(hourly_counts(t), triggers, 3600)
 
 
+REVISIT = """VALUES ('rec-1', 'view', '>', 4, NULL, 2), ('rec-1', 'view', '<=', 1, NULL, 1), ('rec-2', 'click', '>=', NULL, 2.0, 1),
+  ('rec-3', 'purchase', '<', NULL, 1.0, 3), ('rec-3', 'error', NULL, 2, NULL, 1), ('rec-4', 'nothing', '>', NULL, 2.0, 1)"""
+REVISIT_COLUMNS = "record, metric, op, threshold, factor, sustain"
+REVISIT_SQL = f"""
+f AS (SELECT event_type AS metric, arg_min(n, bucket) AS base
+  FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1),
+g AS (
+  SELECT record, t.metric, op, coalesce(threshold::DOUBLE, factor::DOUBLE * base) AS threshold, factor::DOUBLE AS factor, sustain
+  FROM ({REVISIT}) t({REVISIT_COLUMNS}) LEFT JOIN f ON f.metric = t.metric)"""
+FIRES = """CASE coalesce(op, '>') WHEN '>' THEN value > threshold WHEN '>=' THEN value >= threshold
+    WHEN '<' THEN value < threshold WHEN '<=' THEN value <= threshold END"""
+
+
+def revisit_triggers(t):
+    """Levels and ratios; the base of a metric is its first hour."""
+    base = hourly_counts(t).groupBy("metric").agg(F.min_by("value", "bucket").alias("base"))
+    triggers = t.spark.sql(f"SELECT * FROM {REVISIT} AS v({REVISIT_COLUMNS})").withColumn("factor", F.col("factor").cast("double"))
+    return ops.trigger_bounds(triggers, base)
+
+
+@query(
+    "b9_revisit_triggers",
+    f"""
+WITH {REVISIT_SQL},
+b AS (SELECT event_type AS metric, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, count(*) AS value FROM events GROUP BY ALL),
+r AS (
+  SELECT g.*, bucket, value,
+    bucket - INTERVAL 1 HOUR * (row_number() OVER (PARTITION BY record, g.metric, op, threshold, factor, sustain ORDER BY bucket)) AS run
+  FROM b JOIN g ON b.metric = g.metric AND {FIRES})
+SELECT record, metric, op, threshold, factor, sustain, min(bucket) AS first_bucket, max(bucket) AS last_bucket, count(*) AS buckets,
+  CASE WHEN op IN ('<', '<=') THEN min(value) ELSE max(value) END AS peak
+FROM r GROUP BY record, metric, op, threshold, factor, sustain, run HAVING count(*) >= sustain""",
+)
+def b9_revisit(t):
+    return ops.trigger_monitor(hourly_counts(t), revisit_triggers(t), 3600)
+
+
+@query(
+    "b5_record_shape_lint",
+    """
+WITH rec AS (
+  SELECT o_orderkey AS num, CASE o_orderstatus WHEN 'F' THEN 'full' WHEN 'O' THEN 'mini' END AS shape, CASE
+    WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') OR o_totalprice > 450000 THEN 'full'
+    WHEN o_orderstatus = 'P' OR o_totalprice < 50000 THEN 'lightweight' ELSE 'none' END AS stakes FROM orders),
+l AS (
+  SELECT l_orderkey AS num, count(*) AS said, count(DISTINCT l_linenumber) FILTER (l_linenumber IN (2, 4)) AS in_mini,
+    count(DISTINCT l_linenumber) FILTER (l_linenumber BETWEEN 1 AND 6) AS in_full,
+    count_if(l_linenumber NOT IN (2, 4)) AS beyond FROM lineitem GROUP BY 1),
+j AS (SELECT rec.*, coalesce(said, 0) AS said, coalesce(in_mini, 0) AS in_mini, coalesce(in_full, 0) AS in_full, coalesce(beyond, 0) AS beyond
+  FROM rec LEFT JOIN l ON l.num = rec.num)
+SELECT num, 'shape outside domain' AS rule FROM j WHERE shape IS NULL
+UNION ALL SELECT num, 'mini record of a full change' FROM j WHERE shape = 'mini' AND stakes = 'full'
+UNION ALL SELECT num, 'record of a trivial change' FROM j WHERE stakes = 'none'
+UNION ALL SELECT num, 'phase missing' FROM j WHERE shape = 'mini' AND in_mini < 2 OR shape = 'full' AND in_full < 6
+UNION ALL SELECT num, 'phase beyond a mini record' FROM j WHERE shape = 'mini' AND beyond > 0
+UNION ALL SELECT num, 'principles outside 3-5' FROM j WHERE said NOT BETWEEN 3 AND 5""",
+)
+def b5_shape(t):
+    """An order is a record, its status the shape; line numbers are the phases it shows, lines its principles."""
+    status = F.col("o_orderstatus")
+    shape = t.orders.select(F.col("o_orderkey").alias("change"), F.when(status == "F", "full").when(status == "O", "mini").alias("shape"))
+    records = b8(t).join(shape, "change").withColumnRenamed("change", "num")
+    lines = t.lineitem.select(F.col("l_orderkey").alias("num"), F.col("l_linenumber").alias("phase"))
+    return ops.record_shape_lint(records, lines, lines)
+
+
 for _base in ["first", "previous"]:
     _value = "first_value(value)" if _base == "first" else "lag(value)"
 

@@ -10,7 +10,7 @@ from ashlar.streaming import operators as ops
 import bindings.signal  # noqa: F401  its SQL is reused below
 from bindings.registry import SQL, query
 from bindings.routing import SHAPE_CASE, SHAPES
-from bindings.records import TRIGGERS
+from bindings.records import FIRES, REVISIT_SQL, TRIGGERS, revisit_triggers
 
 CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
 
@@ -185,6 +185,28 @@ def b9_stream(t):
     return ntz(run_available(ops.trigger_stream(buckets, triggers, 3600)), "first_bucket", "fired_bucket")
 
 
+@query(
+    "b9_revisit_stream",
+    f"""
+WITH {REVISIT_SQL},
+b AS (
+  SELECT * FROM (SELECT event_type AS metric, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, count(*) AS value FROM events GROUP BY ALL)
+  WHERE bucket + INTERVAL 1 HOUR <= {CLOSED}),
+r AS (
+  SELECT g.*, bucket,
+    bucket - INTERVAL 1 HOUR * (row_number() OVER (PARTITION BY record, g.metric, op, threshold, factor, sustain ORDER BY bucket)) AS run
+  FROM b JOIN g ON b.metric = g.metric AND {FIRES})
+SELECT record, metric, op, threshold, factor, sustain, min(bucket) AS first_bucket,
+  min(bucket) + INTERVAL 1 HOUR * (any_value(sustain) - 1) AS fired_bucket, any_value(sustain)::BIGINT AS buckets
+FROM r GROUP BY record, metric, op, threshold, factor, sustain, run HAVING count(*) >= sustain""",
+)
+def b9_revisit_stream(t):
+    root = new_folder(t.spark)
+    run_available(ops.bucket_stream(live(t).withColumnRenamed("event_type", "metric"), ["metric"], "1 hour"), root)
+    buckets = event_stream(t.spark, f"{root}/rows", "metric STRING, bucket TIMESTAMP, value BIGINT", time="bucket")
+    return ntz(run_available(ops.trigger_stream(buckets, revisit_triggers(t), 3600)), "first_bucket", "fired_bucket")
+
+
 @query("c17_consume_once_stream", "SELECT DISTINCT user_id, event_type, date_trunc('hour', ts)::TIMESTAMP AS hour FROM events")
 def c17_stream(t):
     hour = F.date_trunc("hour", "ts")

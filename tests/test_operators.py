@@ -123,6 +123,52 @@ def test_trigger_needs_consecutive_buckets(spark):
     assert rows(records.trigger_monitor(b, two, 3600), "threshold", "buckets") == [(1, 3), (5, 3)]
 
 
+def test_triggers_by_ratio_and_operator(spark):
+    b = spark.createDataFrame([("price", h, v) for h, v in [(0, 10), (1, 21), (2, 20), (3, 4), (4, 5)]], "metric STRING, h INT, value INT")
+    b = b.select("metric", F.timestamp_seconds(F.col("h") * 3600).alias("bucket"), "value")
+    schema = "record INT, metric STRING, op STRING, threshold INT, factor DOUBLE, sustain INT"
+    t = [(1, "price", ">", None, 2.0, 1), (2, "price", ">=", None, 2.0, 2), (3, "price", "<", 5, None, 1), (4, "price", "<=", None, 0.5, 2),
+         (5, "price", "!=", 5, None, 1), (6, "price", ">", None, None, 1), (7, "other", ">", None, 2.0, 1), (8, "price", None, 20, None, 1)]
+    bounds = records.trigger_bounds(spark.createDataFrame(t, schema), spark.createDataFrame([("price", 10)], "metric STRING, base INT"))
+    assert [r["threshold"] for r in bounds.orderBy("record").collect()] == [20.0, 20.0, 5.0, 5.0, 5.0, None, None, 20.0]
+    got = records.trigger_monitor(b, bounds, 3600)
+    assert sorted((r["record"], r["buckets"], r["peak"]) for r in got.collect()) == [(1, 1, 21), (2, 2, 21), (3, 1, 4), (4, 2, 4), (8, 1, 21)]
+
+
+def test_record_shapes(spark):
+    rec = spark.createDataFrame(
+        [(1, "mini", "lightweight"), (2, "mini", "full"), (3, "full", "full"), (4, "full", "none"), (5, None, None)], "num INT, shape STRING, stakes STRING"
+    )
+    phases = spark.createDataFrame([(1, 2), (1, 4), (1, 4), (2, 2), (2, 3), *[(3, p) for p in range(1, 8)]], "num INT, phase INT")
+    said = spark.createDataFrame([(n, i) for n, k in [(1, 3), (2, 5), (3, 6), (5, 4)] for i in range(k)], "num INT, ord INT")
+    got = {}
+    for r in records.record_shape_lint(rec, phases, said).collect():
+        got.setdefault(r["num"], set()).add(r["rule"])
+    assert got == {
+        2: {"mini record of a full change", "phase missing", "phase beyond a mini record"},
+        3: {"principles outside 3-5"},
+        4: {"record of a trivial change", "phase missing", "principles outside 3-5"},
+        5: {"shape outside domain"},
+    }
+
+
+def test_verdicts_say_why(spark):
+    measured = spark.createDataFrame([("a", "p99", 150.0), ("b", "p99", 210.0), ("c", "p99", 300.0), ("d", "p99", None)], "candidate STRING, attribute STRING, value DOUBLE")
+    targets = spark.createDataFrame([("p99", "<=", 200.0, 0.1, "row 4")], "attribute STRING, op STRING, target DOUBLE, margin DOUBLE, source STRING")
+    got = quality.justified(quality.verdict_matrix(measured, targets), targets)
+    assert {r["candidate"]: r["justification"] for r in got.collect()} == {
+        "a": "p99 150.00 meets <= 200.00 (row 4)",
+        "b": "p99 210.00 misses <= 200.00 by 10.00, within 10 % (row 4)",
+        "c": "p99 300.00 misses <= 200.00 by 100.00, beyond 10 % (row 4)",
+        "d": "p99 is not measured (row 4)",
+    }
+    pruned = quality.prune_candidates(got, ["p99"], "justification")
+    assert {r["candidate"]: r["reasons"] for r in pruned.collect() if not r["kept"]} == {
+        "c": ["p99 300.00 misses <= 200.00 by 100.00, beyond 10 % (row 4)"],
+        "d": ["p99 is not measured (row 4)"],
+    }
+
+
 def test_saga_steps_before_the_command_answer_nothing(spark):
     at = F.col("ts").cast("timestamp_ntz")
     sent = spark.createDataFrame([(1, "2024-01-10"), (2, "2024-01-10"), (3, "2024-01-10"), (5, "2024-01-10")], "key INT, ts STRING").withColumn("ts", at)
