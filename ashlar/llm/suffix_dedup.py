@@ -20,11 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ashlar.llm.common import PrefixHash, Stored, blocks, mix, signed, text_of
+from ashlar.llm.common import BLOCK_BYTES, PrefixHash, Stored, blocks, mix, signed, text_of
 
 WIDTH = 200
 TRIGGER_BYTES = 64
 CELL = 16
+#: Dictionary bytes under one suffix array.
+BIN_BYTES = 4 << 20
+#: Dictionary bytes of one trigger beyond which its suffixes are split by their next bytes.
+TRIGGER_MOST = 1 << 20
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
@@ -86,6 +90,47 @@ def cells(data: np.ndarray, begin: np.ndarray, count: np.ndarray, place: np.ndar
     return phrase, start, high - low + 1, core, whole
 
 
+def suffix_array(data: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes at ``starts`` in the order of their first ``width`` (8 or more) bytes, each at least so long, and for each
+    whether it agrees with the one before it over all of them.
+
+    Suffixes are sorted by eight bytes at a time. Groups of one suffix are done; a group whose next eight bytes are
+    all the same is passed on as it is, so passages held many times cost a comparison and no sort.
+    """
+    starts = starts.astype(np.int64)
+    if not len(starts):
+        return starts, np.zeros(0, bool)
+    eight = np.ndarray((len(data) - 7,), ">u8", np.ascontiguousarray(data), strides=(1,))
+    key = eight[starts].astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    starts, key = starts[order], key[order]
+    agrees = np.append(False, key[1:] == key[:-1])
+    at = np.arange(len(starts))
+    for depth in [*range(8, width - 8, 8), width - 8]:
+        at = at[agrees[at] | np.append(agrees, False)[at + 1]]
+        if not len(at):
+            break
+        key, begins = eight[starts[at] + depth].astype(np.uint64), ~agrees[at]
+        group = np.cumsum(begins) - 1
+        differs = np.append(False, key[1:] != key[:-1]) & ~begins
+        if differs.any():
+            mixed = np.zeros(group[-1] + 1, bool)
+            mixed[group[differs]] = True
+            some = np.flatnonzero(mixed[group])
+            order = some[np.lexsort((key[some], group[some]))]
+            starts[at[some]], key[some] = starts[at[order]], key[order]
+            agrees[at] = np.append(False, key[1:] == key[:-1]) & ~begins
+    return starts, agrees
+
+
+def repeated_windows(data: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """By position in ``data``: whether a suffix at ``starts`` begins there that agrees with another one over ``width`` bytes."""
+    order, agrees = suffix_array(data, starts, width)
+    out = np.zeros(len(data), bool)
+    out[order[agrees | np.append(agrees[1:], False)]] = True
+    return out
+
+
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.column("document")
@@ -97,6 +142,49 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["trigger", "phrase", "document", "start", "windows"])
 
 
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the dictionary phrases that the documents of a batch hold."""
+    for batch in batches:
+        todo = batch.column("todo")
+        if not len(todo.flatten()):
+            continue
+        row = np.repeat(np.arange(len(todo)), todo.value_lengths().fill_null(0).to_numpy())
+        begin, windows, trigger, single = (todo.flatten().field(k) for k in range(4))
+        texts, keys = text_of(batch), batch.column("document").take(pa.array(row))
+        _, offsets, data = texts.buffers()
+        base = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts)]
+        lo = base[row] + begin.to_numpy()
+        hi = lo + windows.to_numpy() + WIDTH - 1
+        view, cut = memoryview(data), 0
+        while cut < len(lo):
+            end = max(cut + 1, int(np.searchsorted(np.cumsum(hi[cut:] - lo[cut:]), BLOCK_BYTES, "right")) + cut)
+            yield pa.RecordBatch.from_arrays(
+                [c.slice(cut, end - cut) for c in (trigger, single, keys, begin, windows)]
+                + [pa.array([bytes(view[a:b]) for a, b in zip(lo[cut:end], hi[cut:end], strict=True)], pa.binary())],
+                names=["trigger", "single", "document", "start", "windows", "bytes"])
+            cut = end
+
+
+def _sorted_bin(table: pa.Table) -> pa.Table:
+    """Runs of repeated windows in the phrases of one bin that the parse holds once."""
+    table = table.combine_chunks()
+    raw = pa.concat_arrays(table.column("bytes").cast(pa.large_binary()).chunks)
+    _, ends, data = raw.buffers()
+    ends = np.frombuffer(ends, np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data, offsets = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+    count = table.column("windows").to_numpy().astype(np.int64)
+    phrase = np.repeat(np.arange(len(count)), count)
+    within = np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count)
+    starts = offsets[phrase] + within
+    gone = repeated_windows(data, starts)[starts] & table.column("single").to_numpy()[phrase]
+    opens = gone & (np.append(True, phrase[1:] != phrase[:-1]) | ~np.append(False, gone[:-1]))
+    first = np.flatnonzero(opens)
+    length = np.add.reduceat(gone, first, dtype=np.int64) if len(first) else first
+    start = table.column("start").to_numpy().astype(np.int64)[phrase[first]] + within[first]
+    return pa.table([table.column("document").take(pa.array(phrase[first])), pa.array(start.astype(np.int32)),
+                     pa.array(length.astype(np.int16))], names=["document", "start", "windows"])
+
+
 def _suffixes(cell: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,17 +245,18 @@ _RESULT = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()),
 _ADDED = f"n_bytes long, n_removed long, spans {_SPANS}, kept_sha256 string, kept binary, kept_text string"
 
 
-def remove_substrings(docs: DataFrame) -> DataFrame:
+def remove_substrings(docs: DataFrame, bin_bytes: int = BIN_BYTES, trigger_most: int = TRIGGER_MOST) -> DataFrame:
     """``docs`` with n_bytes, n_removed, spans (removed byte ranges), kept_sha256, kept (the
     remaining bytes) and kept_text (the same without characters that lost a part).
 
     Every byte inside a WIDTH-byte string that also starts elsewhere, in the same or another document, goes; all is
     judged on the texts as they came, and no match crosses documents. Null texts count as empty; texts shorter
     than WIDTH stay whole. Each row is a document of its own, so rows equal in id and text lose all windows; rows
-    are told apart by a 64-bit hash of id and text, equality of strings by 64-bit hashes. Columns of the added names are
-    replaced. An empty table gives no rows.
-    A trigger or phrase that a third of all phrases share is counted before it is shuffled and split in joins;
-    phrases of one document are all that meets in one row.
+    are told apart by a 64-bit hash of id and text, frequent phrases by 64-bit hashes, suffixes under a suffix array
+    by their bytes. Columns of the added names are replaced. An empty table gives no rows.
+    A trigger or phrase that a third of all phrases share is counted before it is shuffled and split in joins; a suffix
+    array covers about ``bin_bytes``, and no trigger of more than ``trigger_most``. Phrases of one document are all that
+    meets in one row; rows equal in id and text meet only in joins with stored sides, where they can be split.
     """
     stored = Stored(docs.sparkSession)
     plain = docs.drop("n_bytes", "n_removed", "spans", "kept_sha256", "kept", "kept_text", "document", "full", "more", "todo")
@@ -181,18 +270,52 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min(F.struct("document", "start", "windows")).alias("at")), "dictionary")
     full = parse_.join(dictionary.where("n > 1").select("trigger", "phrase"), ["trigger", "phrase"])
     single = dictionary.where("n = 1")
-    open_ = stored.keep(single.select("trigger").distinct(), "open")
-    partners = dictionary.where("n > 1").join(open_, "trigger", "left_semi")
-    entries = single.select("at.*").unionByName(partners.select("at.*"))
+    bytes_ = F.col("at.windows").cast("long") + (WIDTH - 1)
+    open_ = stored.keep(dictionary.groupBy("trigger").agg(
+        F.sum(bytes_).alias("bytes"), F.min("n").alias("least")).where("least = 1").select("trigger", "bytes"), "open")
+    judged = (single.withColumn("single", F.lit(True)).unionByName(dictionary.where("n > 1").withColumn("single", F.lit(False)))
+              .join(open_, "trigger"))
+    entries = judged.select("at.*", "trigger", "single", (F.col("bytes") > trigger_most).alias("hot"))
+    size = open_.agg(F.sum("bytes").alias("all"), F.max("bytes").alias("most")).first()
+    bins = -(-(size["all"] or 0) // bin_bytes) or 1
 
     pair = F.struct("start", "windows")
-    marked = (full.select("document", pair.alias("full"), F.lit(None).cast("struct<start:int,windows:smallint>").alias("todo"))
-              .unionByName(entries.select("document", F.lit(None).cast("struct<start:int,windows:smallint>").alias("full"), pair.alias("todo")))
-              .groupBy("document").agg(F.collect_set("full").alias("full"), F.collect_set("todo").alias("todo")))
+    entry = F.struct("start", "windows", "trigger", "single", "hot")
+    no_pair, no_entry = "struct<start:int,windows:smallint>", "struct<start:int,windows:smallint,trigger:bigint,single:boolean,hot:boolean>"
+    marked = stored.keep(full.select("document", pair.alias("full"), F.lit(None).cast(no_entry).alias("todo"))
+                         .unionByName(entries.select("document", F.lit(None).cast(no_pair).alias("full"), entry.alias("todo")))
+                         .groupBy("document").agg(F.collect_set("full").alias("full"), F.collect_set("todo").alias("todo")), "marked")
     touched = stored.keep(keyed.join(marked, "document"), "touched")
 
-    more = None
-    source = touched.where(F.size("todo") > 0).select("document", "text", "todo")
+    # rows equal in id and text hold the same phrases: one of them brings the bytes
+    again = stored.keep(keyed.groupBy("document").agg(F.count("*").alias("n")).where("n > 1").select("document"), "again")
+    holders = touched.where(F.size("todo") > 0).select("document", "text", "todo")
+    one = (holders.join(again, "document", "left_semi")
+           .groupBy("document").agg(F.min("text").alias("text")).join(marked.select("document", "todo"), "document"))
+    source = holders.join(again, "document", "left_anti").unionByName(one)
+    cold = source.withColumn("todo", F.filter("todo", lambda t: ~t["hot"])).where(F.size("todo") > 0)
+    more = (cold.mapInArrow(_entries, "trigger long, single boolean, document long, start int, windows short, bytes binary")
+            .withColumn("bin", F.pmod(F.xxhash64("trigger"), F.lit(bins))).drop("trigger")
+            .groupBy("bin").applyInArrow(_sorted_bin, "document long, start int, windows short"))
+    if (size["most"] or 0) > trigger_most:
+        hot = source.withColumn("todo", F.filter("todo", lambda t: t["hot"])).where(F.size("todo") > 0)
+        more = more.unionByName(_named(stored, hot))
+    more = stored.keep(more.groupBy("document").agg(F.collect_set(pair).alias("more")), "more")
+    columns = plain.columns
+    schema = T.StructType([*(keyed.schema[c] for c in columns), *T._parse_datatype_string(_ADDED)])
+    changed = touched.join(more, "document", "left").select(*columns, "full", "more").mapInArrow(_cut(columns), schema)
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    same = (keyed.withColumns({"n_bytes": F.octet_length(raw).cast("long"), "n_removed": F.lit(0).cast("long"),
+                               "spans": F.array().cast(_SPANS), "kept_sha256": F.sha2(raw, 256), "kept": raw,
+                               "kept_text": F.coalesce("text", F.lit(""))})
+            .join(marked.select("document"), "document", "left_anti").drop("document"))
+    return changed.unionByName(same)
+
+
+def _named(stored: Stored, source: DataFrame) -> DataFrame:
+    """Runs of repeated windows in phrases whose trigger is too frequent for one suffix array, by names of suffixes."""
+    pair = F.struct("start", "windows")
+    out = None
     for cell in (CELL, 1):
         found = source.mapInArrow(_suffixes(cell), "core long, whole long, document long, start int, windows short")
         shared = stored.keep(found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), f"shared-{cell}")
@@ -204,27 +327,14 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
             judged = left.join(same, ["core", "whole"])
             open_ = stored.keep(same.where("n = 1").select("core").distinct(), "open-cells")
             done = judged.where("n > 1")
-            todo = (judged.where("n = 1").unionByName(
-                        judged.where("n > 1").join(open_, "core", "left_semi")
-                        .dropDuplicates(["core", "whole"]))
-                    .groupBy("document").agg(F.collect_set(pair).alias("todo")))
+            todo = stored.keep(judged.where("n = 1").unionByName(
+                                   judged.where("n > 1").join(open_, "core", "left_semi")
+                                   .dropDuplicates(["core", "whole"]))
+                               .groupBy("document").agg(F.collect_set(pair).alias("todo")), "todo")
             source = source.select("document", "text").join(todo, "document")
-        spans = done.select("document", pair.alias("more"))
-        more = spans if more is None else more.unionByName(spans)
-    more = more.groupBy("document").agg(F.collect_set("more").alias("more"))
-    columns = plain.columns
-    schema = T.StructType([*(keyed.schema[c] for c in columns), *T._parse_datatype_string(_ADDED)])
-    changed = touched.join(more, "document", "left").select(*columns, "full", "more").mapInArrow(_cut(columns), schema)
-    raw = F.coalesce("text", F.lit("")).cast("binary")
-    same = (keyed.withColumns({"n_bytes": F.octet_length(raw).cast("long"), "n_removed": F.lit(0).cast("long"),
-                               "spans": F.array().cast(_SPANS), "kept_sha256": F.sha2(raw, 256), "kept": raw,
-                               "kept_text": F.coalesce("text", F.lit(""))})
-            .join(touched.select("document").distinct(), "document", "left_anti").drop("document"))
-    return changed.unionByName(same)
-
-
-def marked_documents(stored: Stored, touched: DataFrame) -> DataFrame:
-    return touched.select("document").distinct()
+        spans = done.select("document", "start", "windows")
+        out = spans if out is None else out.unionByName(spans)
+    return out
 
 
 def digest(cut: DataFrame) -> DataFrame:
