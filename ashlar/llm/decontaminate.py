@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import text_of
+from ashlar.llm.common import Stored, text_of
 
 #: Consecutive words of an item that make a window.
 WINDOW_WORDS = 13
-#: Bytes of window text in one automaton; a larger benchmark is scanned with several, one after another.
+#: Bytes of windows and ids in one automaton; a larger benchmark is scanned with several, one after another.
 AUTOMATON_BYTES = 32 << 20
 
 #: A-Z become a-z; digits, letters and every byte of a character beyond ASCII stay; the rest separates words.
@@ -34,12 +34,24 @@ def item_windows(text: str | None, width: int = WINDOW_WORDS) -> list[bytes]:
     return [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
 
 
-def build(items: list[tuple[str | None, str | None]], width: int) -> ahocorasick.Automaton | None:
-    """Automaton over all windows; the value of a window is (its words, the ids of its items)."""
+def windows_of(items: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
+    """The different (item_id, window) of ``items`` (item_id, text)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item_id"), batch.column("text"), strict=True):
+                found = list(set(item_windows(text.as_py(), width)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([item.as_py()] * len(found), pa.string()), pa.array(found, pa.binary())], names=["item_id", "window"])
+
+    return items.mapInArrow(cut, "item_id string, window binary").distinct()
+
+
+def build(windows: list[tuple[str | None, bytes]]) -> ahocorasick.Automaton | None:
+    """Automaton over windows with their items; the value of a window is (its words, the ids of its items)."""
     of: dict[bytes, set[str]] = {}
-    for item, text in items:
-        for window in item_windows(text, width):
-            of.setdefault(window, set()).update(() if item is None else (item,))
+    for item, window in windows:
+        of.setdefault(window, set()).update(() if item is None else (item,))
     if not of:
         return None
     automaton = ahocorasick.Automaton()
@@ -91,10 +103,13 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW_WO
     after the columns of ``docs``, whose own columns of these names are replaced. A null or wordless text has
     no words and no hits. An item without words has no window; an item with a null id marks words but is
     not listed. Repeated items count once. Any number of documents with one text are scanned alike.
-    Text is scanned in place: nothing is shuffled. The windows of one automaton are bounded by
-    ``automaton_bytes``; a larger benchmark is cut by item into as many automata, scanned in turn.
+    Text is scanned in place: nothing of it is shuffled. The windows of one automaton are bounded by
+    ``automaton_bytes``; of a larger benchmark the windows are dealt by hash into as many parts. Each part is
+    collected, scanned and released, and its result stored, before the next one reaches the driver; an item of any
+    length and a window of any number of items are dealt over all parts.
     """
     spark = docs.sparkSession
+    stored = Stored(spark)
     added = ["n_words", "hit_words", "items", "spans"]
     out = docs.drop(*added).withColumns({
         "n_words": F.lit(0).cast("long"), "hit_words": F.array().cast("array<int>"),
@@ -102,18 +117,19 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW_WO
         "spans": F.array().cast("array<struct<start:long,end:long>>"),
     })
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(1, -(-size * width // automaton_bytes))
+    windows = stored.keep(windows_of(items, width), "windows")
+    size = windows.agg(F.sum(F.octet_length("window") + F.coalesce(F.octet_length("item_id"), F.lit(0))).alias("n")).first()["n"] or 0
+    parts = max(1, -(-size // automaton_bytes))
     schema = out.schema
     at = {name: i for i, name in enumerate(out.columns)}
     for part in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in mine.distinct().collect()])
+        mine = windows.where(F.pmod(F.xxhash64("item_id", "window"), F.lit(parts)) == part)
+        shared = spark.sparkContext.broadcast([(r["item_id"], bytes(r["window"])) for r in mine.collect()])
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex, later=part > 0) -> Iterator[pa.RecordBatch]:
             if key not in _built:
                 _built.clear()
-                _built[key] = build(shared.value, width)
+                _built[key] = build(shared.value)
             automaton = _built[key]
             for batch in batches:
                 n_words, hit_words, found, spans = [], [], [], []
@@ -134,6 +150,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW_WO
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
         out = out.mapInArrow(scan, schema)
+        if part + 1 < parts:
+            out = stored.keep(out, f"part-{part}")
+            shared.unpersist()
     return out
 
 
