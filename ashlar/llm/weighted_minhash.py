@@ -321,7 +321,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     live = stored.keep(members.join(several, "bucket").where("node != centre"), "live")
     pairs = stored.keep(live.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    keys = needed.join(nodes.select("node", "document"), "node")
+    keys = stored.keep(needed.join(nodes.select("node", "document"), "node"), "keys")  # rows equal in id and text are split
     texts = stored.keep(plain.select("document", "text").join(keys, "document").select("node", "text").dropDuplicates(["node"]), "texts")
     links = stored.keep(similar(pairs, texts, idf, similarity), "links-0")
     labels = stored.keep(components(links), "labels-0")
