@@ -173,9 +173,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "document", "first")
     repeated = (places.groupBy("run").agg(F.min(place).alias("kept"), F.max(place).alias("other"))
                 .where(~F.col("kept").eqNullSafe(F.col("other"))).select("run", "kept"))
-    repeated = Stored(docs.sparkSession).keep(repeated, "repeated")  # a table, so that a skewed run can be split
+    stored = Stored(docs.sparkSession)
+    repeated = stored.keep(repeated, "repeated")  # a table, so that a skewed run can be split
     gone = (places.join(repeated, "run").where(~place.eqNullSafe(F.col("kept")))
             .groupBy("document").agg(F.collect_set(F.struct("first", "after")).alias("gone")))
+    gone = stored.keep(gone, "gone")  # and rows equal in id and text
     columns = plain.columns
     schema = T.StructType([*plain.schema, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("kept_text", T.StringType())])
