@@ -13,6 +13,9 @@ from ashlar.operators.records import fires
 from ashlar.operators.signal import peak_meter
 from ashlar.streaming import processors as p
 
+#: Groups of keys that share a state in ``saga_stream``; fixed, as the state of a running stream is.
+SAGA_SLOTS = 256
+
 # State processors travel with their code: the worker that prepares a query sees no files sent to executors.
 cloudpickle.register_pickle_by_value(p)
 
@@ -52,10 +55,12 @@ def saga_stream(commands: DataFrame, steps: DataFrame, limit_s: float, patience_
 
     A key is closed once the watermark shows that ``patience_s`` have passed since its first command or step; a row of it
     that comes later opens it anew. The two sides meet as one keyed stream, so a key with many commands and steps costs
-    its rows and not its pairs.
+    its rows and not its pairs. The state is kept in SAGA_SLOTS slots of keys (see ``Sagas``). Rows without key or time
+    take no part.
     """
     both = commands.select("key", "ts", F.lit(True).alias("command")).unionByName(steps.select("key", "ts", F.lit(False).alias("command")))
-    return both.groupBy("key").transformWithStateInPandas(p.Sagas(limit_s, patience_s), p.SAGAS, "append", "eventTime")
+    slots = both.na.drop(subset=["key", "ts"]).withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(SAGA_SLOTS))).groupBy("slot")
+    return slots.transformWithStateInPandas(p.Sagas(limit_s, patience_s), p.SAGAS, "append", "eventTime")
 
 
 def region_stream(control: DataFrame) -> DataFrame:

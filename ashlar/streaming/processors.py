@@ -1,4 +1,5 @@
 """Keyed state for streams. Each processor holds a few values per key; rows arrive in Arrow batches.
+``Sagas`` holds many keys in one state, since its keys are many and short-lived.
 
 Inputs are reduced before they reach a processor (controls only, one row per bucket), so the rows
 of a key in one micro-batch are few and may be ordered here.
@@ -8,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,6 +17,9 @@ REGIONS = "track BIGINT, started TIMESTAMP, stopped TIMESTAMP"
 REROUTES = "task BIGINT, ts TIMESTAMP, old_target STRING, new_target STRING"
 SAGAS = "key BIGINT, sent TIMESTAMP, done TIMESTAMP, state STRING"
 CONFLICTS = "worktree BIGINT, ts TIMESTAMP, holder BIGINT, intruder BIGINT"
+#: A time that no row has, and the rows that a slot of sagas may take in before it is read again.
+NEVER = np.iinfo("i8").max
+LOG_ROWS = 50_000
 RUNS = "trigger STRING, first_bucket TIMESTAMP, fired_bucket TIMESTAMP, buckets BIGINT"
 
 
@@ -98,11 +103,15 @@ class CaptureRegions(StatefulProcessor):
 
 
 class Sagas(StatefulProcessor):
-    """Commands and steps of a key → the rows of the batch form once ``patience`` has passed since its first row.
-
-    State: the first row's time, the first command and the times of steps that can still matter: the first of all (an
-    orphan if it comes before the command), the first that answers the command, and those before the command that are not
-    behind the watermark, since an earlier command could still come in front of them.
+    """Commands and steps of many keys, dealt over slots → the rows of the batch form once ``patience`` has passed since a
+    key's first row.
+
+    A call of Python costs milliseconds and most keys have a row or two, so the state is kept by slot: rows are appended as
+    they come, without reading what is there, and one timer stands for the key of the slot that is due first. When it
+    fires, or when more rows came in than the last reading left, the slot is read as arrays: due keys are closed, and of
+    the others only rows that can still matter stay: the first command, the first step of all (an orphan if it comes before
+    the command), the first that answers the command, and those before the command that are not behind the watermark,
+    since an earlier command could still come in front of them.
     """
 
     def __init__(self, limit_s: float, patience_s: float) -> None:
@@ -110,46 +119,80 @@ class Sagas(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "first BIGINT, sent BIGINT")
-        self.steps = handle.getListState("steps", "done BIGINT")
+        self.log = handle.getListState("log", "key ARRAY<BIGINT>, at ARRAY<BIGINT>, command ARRAY<BOOLEAN>")
+        self.size = handle.getValueState("size", "due BIGINT, left BIGINT, fresh BIGINT")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first, sent = self.seen.get() if self.seen.exists() else (None, None)
-        before, steps = first, {s[0] for s in self.steps.get()} if self.steps.exists() else set()
+        due, left, fresh = self.size.get() if self.size.exists() else (None, 0, 0)
+        before = due
         for part in rows:
             at = part["ts"].astype("datetime64[us]").astype("int64")
-            first = min(int(at.min()), first if first is not None else int(at.min()))
-            commands = at[part["command"]]
-            if len(commands):
-                sent = min(int(commands.min()), sent if sent is not None else int(commands.min()))
-            steps.update(at[~part["command"]].tolist())
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        early = {s for s in steps if sent is None or s < sent}
-        kept = {s for s in early if s > passed} | {min(x) for x in (steps, steps - early) if x}
-        self.seen.update((first, sent))
-        if kept:
-            self.steps.put([(s,) for s in sorted(kept)])
-        if first != before:
+            self.log.appendValue((part["key"].tolist(), at.tolist(), part["command"].tolist()))
+            fresh += len(part)
+            opened = _due(int(at.min()) + self.patience)
+            due = opened if due is None else min(due, opened)
+        if fresh > max(left, LOG_ROWS):
+            _, left = self._sweep(timerValues.getCurrentWatermarkInMs(), closing=False)
+            fresh = 0
+        self.size.update((due, left, fresh))
+        if due != before:
             if before is not None:
-                self.handle.deleteTimer(_due(before + self.patience))
-            self.handle.registerTimer(_due(first + self.patience))
-        yield pd.DataFrame(columns=["key", "sent", "done", "state"])
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(due)
+        yield self._rows([], [], [], [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.seen.exists():
-            _, sent = self.seen.get()
-            steps = sorted(s[0] for s in self.steps.get()) if self.steps.exists() else []
-            if sent is not None:
-                done = next((s for s in steps if s >= sent), None)
-                state = "missing step" if done is None else "late step" if done - sent > self.limit else "complete"
-                out.append((key[0], _stamp(sent), None if done is None else _stamp(done), state))
-            if steps and (sent is None or steps[0] < sent):
-                out.append((key[0], None, _stamp(steps[0]), "orphan step"))
-        self.seen.clear()
-        self.steps.clear()
-        made = pd.DataFrame(out, columns=["key", "sent", "done", "state"])
-        yield made.astype({"sent": "datetime64[us]", "done": "datetime64[us]"})
+        first, left, made = None, 0, self._rows([], [], [], [])
+        if self.log.exists():
+            (first, made), left = self._sweep(timerValues.getCurrentWatermarkInMs(), closing=True)
+        if first is None:
+            self.size.clear()
+        else:
+            self.size.update((_due(first + self.patience), left, 0))
+            self.handle.registerTimer(_due(first + self.patience))
+        yield made
+
+    def _sweep(self, watermark: int, closing: bool) -> tuple[tuple[int | None, pd.DataFrame], int]:
+        """Reads the slot and writes back what can still matter: the first time left and the rows of closed keys, rows left."""
+        columns = zip(*self.log.get(), strict=True)
+        key, at, command = (np.concatenate([np.array(c, kind) for c in part]) for part, kind in zip(columns, ("i8", "i8", "?"), strict=True))
+        order = np.lexsort((command, at, key))
+        key, at, command = key[order], at[order], command[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)]))
+
+        def earliest(which: np.ndarray) -> np.ndarray:
+            return np.minimum.reduceat(np.where(which, at, NEVER), starts)
+
+        first, sent, step = at[starts], earliest(command), earliest(~command)
+        done = earliest(~command & (at >= sent[group]))
+        closed = np.full(len(starts), closing) & (-(-(first + self.patience) // 1000) <= watermark)
+        again = np.r_[False, (key[1:] == key[:-1]) & (at[1:] == at[:-1]) & (command[1:] == command[:-1])]
+        matters = np.where(
+            command, at == sent[group], (at == step[group]) | (at == done[group]) | ((at < sent[group]) & (at > watermark * 1000))
+        )
+        stays = matters & ~again & ~closed[group]
+        if stays.any():
+            self.log.put([(key[stays].tolist(), at[stays].tolist(), command[stays].tolist())])
+        else:
+            self.log.clear()
+        asked, orphan = closed & (sent != NEVER), closed & (step < sent)
+        answered = done[asked] != NEVER
+        late = answered & (np.where(answered, done[asked], 0) - sent[asked] > self.limit)
+        state = np.where(answered, np.where(late, "late step", "complete"), "missing step")
+        keys, none = key[starts], np.full(orphan.sum(), NEVER)
+        made = self._rows(
+            np.r_[keys[asked], keys[orphan]], np.r_[sent[asked], none], np.r_[done[asked], step[orphan]],
+            [*state.tolist(), *["orphan step"] * len(none)],
+        )
+        return (None if closed.all() else int(first[~closed].min()), made), int(stays.sum())
+
+    def _rows(self, key, sent, done, state) -> pd.DataFrame:
+        def time(at) -> pd.Series:
+            at = np.asarray(at, "i8")
+            return pd.Series(np.where(at == NEVER, np.iinfo("i8").min, at).astype("datetime64[us]"))  # the least number is NaT
+
+        return pd.DataFrame({"key": np.asarray(key, "i8"), "sent": time(sent), "done": time(done), "state": pd.Series(state, dtype=object)})
 
     def close(self) -> None:
         pass
