@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ashlar.functions.lint import blank, broken_rules, names_where
 from ashlar.functions.levels import seconds_between
-from ashlar.plans.loops import Workspace
+from ashlar.plans.loops import Workspace, cells_joined_in_place
 from ashlar.plans.numbering import number_rows
 from ashlar.plans.scans import running_sum, scan
 
@@ -239,44 +239,102 @@ def _any_bit(names: Sequence[str]) -> Column:
     return reduce(Column.__or__, [F.col(c) != 0 for c in names])
 
 
+#: Rows of a hop that one task may combine, messages that it may read, and the least number of tasks, all of one grid.
+GRID_ROWS, GRID_MESSAGES, GRID_CELLS = 5_000_000, 50_000_000, 32
+
+
+def _grid(edges: int, senders: int, receivers: int, blocks: int) -> tuple[int, int]:
+    """Rows and columns of the grid of cells that moves least in a hop; (1, 1) stands for one message per edge."""
+    best = (senders + edges, 1, 1)
+    for columns in (2, 4, 8, 16, 32, 64, 128):
+        rows = -(-GRID_CELLS // columns)
+        while min(edges // rows, receivers) * blocks > GRID_ROWS * columns or edges * blocks > GRID_MESSAGES * rows * columns:
+            if receivers * blocks > GRID_ROWS * columns and edges < receivers * rows:
+                break
+            rows += 1
+        best = min(best, (senders * columns + min(edges, receivers * rows), rows, columns))
+    return best[1:]
+
+
+def _messages(front: DataFrame, live: DataFrame, rows: int, columns: int, fresh: Sequence[str]) -> DataFrame:
+    """The bits of ``front`` carried over the edges: (node, block, bits), met by OR.
+
+    Senders are dealt over rows of a grid and receivers over columns. An edge lies in one cell; a sender's bits go to the
+    cells of its row, where they are combined by receiver. So a hop moves columns × senders + rows × receivers rows and
+    not one for each edge.
+    """
+    if columns == 1:
+        joined = front.join(live, "node")
+    else:
+        conf = front.sparkSession.conf
+        least = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or conf.get("spark.sql.shuffle.partitions")
+        tasks = max(rows * columns, int(least))  # with fewer, Spark would deal both sides again
+        row = F.pmod(F.xxhash64("node"), F.lit(rows))
+        column = F.pmod(F.xxhash64("_next"), F.lit(columns))
+        dealt = live.select("node", "_next", (row * columns + column).alias("cell")).repartition(tasks, "cell")
+        copies = F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))
+        front = front.join(live.select("node").distinct(), "node", "left_semi")  # no copies of nodes that nothing depends on
+        sent = front.select("*", copies.alias("_c")).withColumn("cell", row * columns + F.col("_c")).drop("_c")
+        joined = sent.repartition(tasks, "cell").join(dealt.hint("merge"), ["cell", "node"])  # a broadcast would leave the cells
+    return joined.groupBy(F.col("_next").alias("node"), "block").agg(*[F.bit_or(c).alias(c) for c in fresh])
+
+
 def _blast(edges: DataFrame, seeds: DataFrame, depth: int | None) -> tuple[DataFrame, DataFrame]:
     """(change, ordinal) and (node, hops, word, bits): bit k of word w stands for the change of ordinal 64 w + k.
 
     A row of the state holds 64 · BLAST_WORDS changes of one node: those that reached it, and those that did so in the last
-    round. Only the fresh bits travel along the edges, and bits meet by OR, on the map side first. So a round moves at most
-    one row per edge and 512 changes, and a (change, node) pair travels once in all.
+    round. Only the fresh bits travel along the edges, so a (change, node) pair travels once in all, and bits meet by OR in
+    the cells of a grid first (see ``_messages``). Edges to nodes that every change has reached are dropped; without edges
+    the rounds end.
     """
-    space = Workspace(edges.sparkSession)
-    back = space.keep(edges.select(F.col("src").alias("_next"), F.col("dst").alias("node")).na.drop().distinct())
+    spark = edges.sparkSession
+    space = Workspace(spark)
+    live = space.keep(edges.select(F.col("src").alias("_next"), F.col("dst").alias("node")).na.drop().distinct())
     numbered = number_rows(seeds.filter("change IS NOT NULL").select("change").distinct(), ["change"], "_no")
     numbered = space.keep(numbered.select("change", (F.col("_no") - 1).alias("ordinal")))
+    size = live.agg(F.count(F.lit(1)), F.approx_count_distinct("node"), F.approx_count_distinct("_next")).first()
+    changes = numbered.count()
+    blocks = -(-changes // (64 * BLAST_WORDS))
+    rows, columns = _grid(*size, blocks)
     seen, fresh = [f"_s{i}" for i in range(BLAST_WORDS)], [f"_f{i}" for i in range(BLAST_WORDS)]
     place = F.floor(F.col("ordinal") / 64)
     bit = F.expr("shiftleft(1L, cast(ordinal % 64 AS int))")
     zero = F.lit(0).cast("long")
+
+    def word(i: int) -> Column:
+        return F.col("block") * BLAST_WORDS + i
+
+    whole, rest = changes // 64, F.lit((1 << changes % 64) - 1).cast("long")
+    masks = [F.when(word(i) < whole, F.lit(-1).cast("long")).when(word(i) == whole, rest).otherwise(zero) for i in range(BLAST_WORDS)]
+    is_full = reduce(Column.__and__, [F.col(s) == m for s, m in zip(seen, masks, strict=True)])
     first = (
         seeds.select("change", "node").filter("node IS NOT NULL").join(numbered, "change")
         .groupBy("node", F.floor(place / BLAST_WORDS).alias("block"))
         .agg(*[F.bit_or(F.when(place % BLAST_WORDS == i, bit).otherwise(zero)).alias(c) for i, c in enumerate(fresh)])
     )
     state = first.select("node", "block", *[F.col(f).alias(s) for f, s in zip(fresh, seen, strict=True)], *fresh)
-    state, moved = space.state(state, "reached", _any_bit(fresh))
-    words = F.array(*[F.struct((F.col("block") * BLAST_WORDS + i).alias("word"), F.col(c).alias("bits")) for i, c in enumerate(fresh)])
-    hop = 0
-    while moved and (depth is None or hop < depth):
+    state, count = space.counted(state, "reached", moved=_any_bit(fresh), full=is_full)
+    words = F.array(*[F.struct(word(i).alias("word"), F.col(c).alias("bits")) for i, c in enumerate(fresh)])
+    hop, left, full = 0, size[0], 0
+    while count["moved"] and left and (depth is None or hop < depth):
         hop += 1
-        sent = state.filter(_any_bit(fresh)).select("node", "block", *fresh).join(back, "node")
-        sent = sent.select(F.col("_next").alias("node"), "block", *[zero.alias(c) for c in seen], *fresh)
-        had = state.select("node", "block", *seen, *[zero.alias(c) for c in fresh])
-        met = had.unionByName(sent).groupBy("node", "block").agg(*[F.bit_or(c).alias(c) for c in [*seen, *fresh]])
-        news = [F.col(f).bitwiseAND(F.bitwise_not(s)).alias(f) for f, s in zip(fresh, seen, strict=True)]
-        known = [F.col(f).bitwiseOR(F.col(s)).alias(s) for f, s in zip(fresh, seen, strict=True)]
-        state, moved = space.state(met.select("node", "block", *known, *news), "reached", _any_bit(fresh))
+        front = state.filter(_any_bit(fresh)).select("node", "block", *fresh)
+        sent = _messages(front, live, rows, columns, fresh)
+        met = state.select("node", "block", *seen).join(sent, ["node", "block"], "full_outer")
+        had, got = [F.coalesce(s, zero) for s in seen], [F.coalesce(f, zero) for f in fresh]
+        news = [g.bitwiseAND(F.bitwise_not(h)).alias(f) for f, g, h in zip(fresh, got, had, strict=True)]
+        known = [g.bitwiseOR(h).alias(s) for s, g, h in zip(seen, got, had, strict=True)]
+        with cells_joined_in_place(spark):
+            state, count = space.counted(met.select("node", "block", *known, *news), "reached", moved=_any_bit(fresh), full=is_full)
         space.part(state.filter(_any_bit(fresh)).select("node", F.inline(words)).filter("bits <> 0"), "hits", "hops", hop)
+        if count["full"] > full:
+            full = count["full"]
+            done = state.filter(is_full).groupBy(F.col("node").alias("_next")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == blocks)
+            live, left = space.state(live.join(done, "_next", "left_anti"), "live")
     node = edges.schema["src"].dataType.simpleString()
     if not hop:
         return numbered, state.select("node", F.lit(0).alias("hops"), F.inline(words)).filter("false")
-    hits = space.parts(edges.sparkSession, "hits", f"node {node}, word BIGINT, bits BIGINT, hops INT")
+    hits = space.parts(spark, "hits", f"node {node}, word BIGINT, bits BIGINT, hops INT")
     return numbered, hits.select("node", "hops", "word", "bits")
 
 

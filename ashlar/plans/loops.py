@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,18 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def cells_joined_in_place(spark: SparkSession) -> Iterator[None]:
+    """Within it, sides dealt alike by the first of their join keys are joined without being dealt again by all of them."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Workspace:
     """Tables of one loop. State that each round replaces alternates between two slots, so a loop
     holds at most two copies of it however long it runs."""
@@ -51,12 +65,17 @@ class Workspace:
         The value before the last one is overwritten. The count is observed while writing, so a
         stop test costs no job of its own.
         """
+        table, counts = self.counted(df, name, n=F.lit(True) if where is None else where)
+        return table, counts["n"]
+
+    def counted(self, df: DataFrame, name: str, **where: Column) -> tuple[DataFrame, dict[str, int]]:
+        """The same with one count for each of several conditions."""
         turn = self.rounds.get(name, 0)
         self.rounds[name] = turn + 1
         seen = Observation(f"{name}-{turn}-{uuid.uuid4().hex}")
-        counted = df.observe(seen, F.count_if(F.lit(True) if where is None else where).alias("n"))
-        table = self._store(counted, f"{name}-{turn % 2}")
-        return table, seen.get["n"]
+        counts = [F.count_if(condition).alias(n) for n, condition in where.items()]
+        table = self._store(df.observe(seen, *counts), f"{name}-{turn % 2}")
+        return table, seen.get
 
     def part(self, df: DataFrame, name: str, column: str, value: int) -> None:
         """Rows of one round, added to the table ``name`` under column = value; written again, they replace themselves."""
