@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Collection, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ashlar.functions.levels import decibel, loudness, seconds_between
 from ashlar.functions.lint import broken_rules
 from ashlar.plans.scans import last, scan
+from ashlar.plans.sizes import dealt_by_rows
 
 # The delivery spec and the gates of the published loudness measure.
 SAMPLE_RATE = 44100
@@ -19,6 +20,8 @@ LOUDNESS_TARGET = -14.0
 PEAK_CEILING = -1.0
 ABSOLUTE_GATE = -70.0
 RELATIVE_GATE = -10.0
+#: Rows (one per track and step) that one task spreads over blocks.
+TASK_STEPS = 200_000
 
 
 def control_regions(control: DataFrame, unit: str = "day") -> DataFrame:
@@ -72,16 +75,18 @@ def loudness_blocks(energy: DataFrame, step: str, steps: int = 4) -> DataFrame:
     """energy(track, ts, e) → mean square per complete block of ``steps`` steps, a new block each step.
 
     A block is complete if it lies between the track's first and last step; a step without samples is silence. Samples are
-    reduced to one row per step first; only those rows are spread over the blocks. Wholly silent blocks have no row.
+    reduced to one row per step first; only those rows, dealt by track into tasks of about TASK_STEPS, are spread over the
+    blocks. Wholly silent blocks have no row.
     """
     length = F.expr(f"INTERVAL {step}")
-    per_step = energy.groupBy("track", F.window("ts", step).start.alias("_step")).agg(F.avg("e").alias("_e"))
-    span = per_step.groupBy("track").agg(F.min("_step").alias("_first"), F.max("_step").alias("_last"))
+    per_step = energy.filter(F.col("track").isNotNull()).groupBy("track", F.window("ts", step).start.alias("_step")).agg(F.avg("e").alias("_e"))
+    per_step = dealt_by_rows(per_step, "track", TASK_STEPS)
+    track = Window.partitionBy("track")
+    spans = per_step.withColumns({"_first": F.min("_step").over(track), "_last": F.max("_step").over(track)})
     starts = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.col("_step") - k * length)
     complete = (F.col("block") >= F.col("_first")) & (F.col("block") + (steps - 1) * length <= F.col("_last"))
     return (
-        per_step.join(span, "track")
-        .select("track", F.explode(starts).alias("block"), "_e", "_first", "_last")
+        spans.select("track", F.explode(starts).alias("block"), "_e", "_first", "_last")
         .filter(complete)
         .groupBy("track", "block")
         .agg((F.sum("_e") / steps).alias("ms"))
@@ -91,11 +96,12 @@ def loudness_blocks(energy: DataFrame, step: str, steps: int = 4) -> DataFrame:
 def integrated_loudness(energy: DataFrame, step: str, steps: int = 4) -> DataFrame:
     """Gated loudness per track. Input is already frequency-weighted energy.
 
-    Blocks below the absolute gate are dropped, then those below the mean of the rest less 10.
+    Blocks below the absolute gate are dropped, then those below the mean of the rest less 10. The blocks stay where their
+    track's steps were dealt; a window over a track holds one row per step.
     """
     blocks = loudness_blocks(energy, step, steps).filter(loudness(F.col("ms")) > ABSOLUTE_GATE)
-    gate = blocks.groupBy("track").agg((loudness(F.avg("ms")) + RELATIVE_GATE).alias("_gate"))
-    kept = blocks.join(gate, "track").filter(loudness(F.col("ms")) > F.col("_gate"))
+    gated = blocks.withColumn("_gate", loudness(F.avg("ms").over(Window.partitionBy("track"))) + RELATIVE_GATE)
+    kept = gated.filter(loudness(F.col("ms")) > F.col("_gate"))
     return kept.groupBy("track").agg(loudness(F.avg("ms")).alias("lufs"), F.count(F.lit(1)).alias("blocks"))
 
 

@@ -19,3 +19,9 @@ def stored_with_size(df: DataFrame, text: str) -> tuple[DataFrame, int]:
     size = F.coalesce(F.sum(F.octet_length(text) + ROW_OVERHEAD), F.lit(0))
     table = Workspace(df.sparkSession).keep(df.observe(seen, size.alias("bytes")))
     return table, int(seen.get["bytes"])
+
+
+def dealt_by_rows(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` stored, counted and dealt by ``key`` into tasks of about ``rows`` rows, whatever the session's partitions are."""
+    table, n = Workspace(df.sparkSession).state(df, "dealt")
+    return table.repartition(-(-n // rows) + 1, key)
