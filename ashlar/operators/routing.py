@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ashlar.functions.levels import micros, trunc
 from ashlar.functions.lint import blank, broken_rules, names_where
-from ashlar.plans.loops import Workspace
-from ashlar.plans.scans import last, running_max, running_sum, scan, split
+from ashlar.plans.scans import Chunked, Whole, in_two, last, running_max, running_sum
 
 # The ordered rules (feature, target); no match means ask.
 RULES = [
@@ -111,19 +110,39 @@ def handoff_lint(handoffs: DataFrame) -> DataFrame:
 # -- sessions ----------------------------------------------------------------------------------
 
 
+def _held(sessions: DataFrame) -> DataFrame:
+    return sessions.select("worktree", "agent", "start", "end").filter(F.col("start") < F.col("end"))
+
+
+def _merged(sessions: DataFrame) -> DataFrame:
+    """Equal sessions as one row with their number."""
+    return sessions.groupBy("worktree", "agent", "start", "end").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _marks(sessions: DataFrame) -> DataFrame:
-    """One row per session end (side 0) and start (side 1); equal sessions are merged with their number.
-    Ends sort first, so touching sessions do not overlap."""
-    merged = (
-        sessions.filter(F.col("start") < F.col("end"))
-        .groupBy("worktree", "agent", "start", "end")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """One row per session end (side 0) and start (side 1). Ends sort first, so touching sessions do not overlap."""
     ends = F.array(
         F.struct(F.col("end").alias("at"), F.lit(0).alias("side")),
         F.struct(F.col("start").alias("at"), F.lit(1).alias("side")),
     )
-    return merged.select("*", F.inline(ends))
+    return sessions.select("*", F.inline(ends))
+
+
+_KEYS, _ORDER = ["worktree"], ["at", "side"]  # a sum of one side does not depend on the order within the other
+
+
+def _started() -> Column:
+    return F.when(F.col("side") == 1, F.col("n")).otherwise(0)
+
+
+def _ended() -> Column:
+    return F.when(F.col("side") == 0, F.col("n")).otherwise(0)
+
+
+def _overlaps() -> Column:
+    """Starts before my end minus ends up to my start, over the worktree less over my own sessions."""
+    at_end = F.max(F.when(F.col("side") == 0, F.col("_s") - F.col("_os")))
+    return at_end - F.max(F.when(F.col("side") == 1, F.col("_e") - F.col("_oe")))
 
 
 def worktree_overlaps(sessions: DataFrame, unit: str = "month") -> DataFrame:
@@ -134,17 +153,15 @@ def worktree_overlaps(sessions: DataFrame, unit: str = "month") -> DataFrame:
     Each overlapping pair counts once at either session, so sum(n · overlaps) / 2 is the number of
     pairs. Cost and output grow with the sessions, not with the pairs.
     """
-    marks = _marks(sessions)
-    chunk = F.date_trunc(unit, F.col("at").cast("timestamp"))
-    order = ["at", "side"]  # a sum of one side does not depend on the order within the other
-    started = F.when(F.col("side") == 1, F.col("n")).otherwise(0)
-    ended = F.when(F.col("side") == 0, F.col("n")).otherwise(0)
-    everyone = scan(marks, ["worktree"], order, chunk, {"_s": running_sum(started), "_e": running_sum(ended)})
-    own = scan(everyone, ["worktree", "agent"], order, chunk, {"_os": running_sum(started), "_oe": running_sum(ended)})
-    at_end = F.max(F.when(F.col("side") == 0, F.col("_s") - F.col("_os")))
-    at_start = F.max(F.when(F.col("side") == 1, F.col("_e") - F.col("_oe")))
-    counted = own.groupBy("worktree", "agent", "start", "end", "n").agg((at_end - at_start).alias("overlaps"))
-    return counted.filter(F.col("overlaps") > 0)
+
+    def run(rows: DataFrame, by: Whole | Chunked) -> DataFrame:
+        marks = by.cut(_marks(_merged(rows)), _KEYS, _ORDER, F.date_trunc(unit, F.col("at").cast("timestamp")))
+        own = by.keep(by.scan(marks, ["worktree", "agent"], _ORDER, {"_os": running_sum(_started()), "_oe": running_sum(_ended())}))
+        everyone = by.scan(own, _KEYS, _ORDER, {"_s": running_sum(_started()), "_e": running_sum(_ended())})
+        counted = everyone.groupBy("worktree", "agent", "start", "end", "n").agg(_overlaps().alias("overlaps"))
+        return counted.filter(F.col("overlaps") > 0)
+
+    return in_two(_held(sessions), _KEYS, run)
 
 
 def overlap_partners(sessions: DataFrame, unit: str = "month") -> DataFrame:
@@ -155,28 +172,27 @@ def overlap_partners(sessions: DataFrame, unit: str = "month") -> DataFrame:
     agents other than its agent: a session that takes the lead from another agent leaves the old leader as second, one that
     doesn't is a second itself if its agent is not the leader's. No pair is listed; a session without overlap gives no row.
     """
-    merged = sessions.filter(F.col("start") < F.col("end")).groupBy("worktree", "agent", "start", "end").agg(F.count(F.lit(1)).alias("n"))
-    keys, order = ["worktree"], ["start", "end", "agent"]
-    month = F.date_trunc(unit, F.col("start").cast("timestamp"))
-    rows = split(merged, keys, order, month)
-    chunk = F.struct(month.alias("cut"), F.col("_split").alias("split"))
-    me, place, agent = F.struct("end", "agent", "start"), F.struct("start", "end", "agent"), F.col("agent")
-    led = scan(rows.withColumn("_at", chunk).drop("_split"), keys, order, F.col("_at"), {"_lead": running_max(me, inclusive=False)})
-    led = led.withColumn("_loses", F.when(F.col("_lead.agent") != agent, F.least(me, F.col("_lead"))))
-    ahead = scan(led, keys, order, F.col("_at"), {"_second": running_max(F.col("_loses"), inclusive=False)})
-    space = Workspace(sessions.sparkSession)
-    ahead = space.keep(ahead)  # a scan reads its input twice, so that chained scans would double the work each time
-    follows = scan(ahead, keys, order, F.col("_at"), {"_next": last(place, inclusive=False)}, reverse=True)
-    follows = space.keep(follows.withColumn("_change", F.when(F.col("_next.agent") != agent, F.col("_next"))))
-    swept = scan(follows, keys, order, F.col("_at"), {"_after": last(F.col("_change"))}, reverse=True)
+    order, agent = ["start", "end", "agent"], F.col("agent")
+    me, place = F.struct("end", "agent", "start"), F.struct("start", "end", "agent")
     before = F.when(F.col("_lead.agent") != agent, F.col("_lead")).otherwise(F.col("_second"))
-    open_then = swept.withColumn("_before", before).withColumns({
-        "_before": F.when(F.col("_before.end") > F.col("start"), F.struct("_before.start", "_before.end", "_before.agent")),
-        "_after": F.when(F.col("_after.start") < F.col("end"), F.struct("_after.start", "_after.end", "_after.agent")),
-    })
-    found = open_then.withColumn("_p", F.coalesce("_before", "_after")).filter(F.col("_p").isNotNull())
-    return found.select("worktree", "agent", "start", "end", "n", F.col("_p.agent").alias("partner_agent"),
-                        F.col("_p.start").alias("partner_start"), F.col("_p.end").alias("partner_end"))
+
+    def run(rows: DataFrame, by: Whole | Chunked) -> DataFrame:
+        merged = by.cut(_merged(rows), _KEYS, order, F.date_trunc(unit, F.col("start").cast("timestamp")))
+        led = by.scan(merged, _KEYS, order, {"_lead": running_max(me, inclusive=False)})
+        led = by.keep(led.withColumn("_loses", F.when(F.col("_lead.agent") != agent, F.least(me, F.col("_lead")))))
+        ahead = by.keep(by.scan(led, _KEYS, order, {"_second": running_max(F.col("_loses"), inclusive=False)}))
+        follows = by.scan(ahead, _KEYS, order, {"_next": last(place, inclusive=False)}, reverse=True)
+        follows = by.keep(follows.withColumn("_change", F.when(F.col("_next.agent") != agent, F.col("_next"))))
+        swept = by.scan(follows, _KEYS, order, {"_after": last(F.col("_change"))}, reverse=True)
+        open_then = swept.withColumn("_before", before).withColumns({
+            "_before": F.when(F.col("_before.end") > F.col("start"), F.struct("_before.start", "_before.end", "_before.agent")),
+            "_after": F.when(F.col("_after.start") < F.col("end"), F.struct("_after.start", "_after.end", "_after.agent")),
+        })
+        found = open_then.withColumn("_p", F.coalesce("_before", "_after")).filter(F.col("_p").isNotNull())
+        return found.select("worktree", "agent", "start", "end", "n", F.col("_p.agent").alias("partner_agent"),
+                            F.col("_p.start").alias("partner_start"), F.col("_p.end").alias("partner_end"))
+
+    return in_two(_held(sessions), _KEYS, run)
 
 
 def overlap_groups(sessions: DataFrame, unit: str = "month") -> DataFrame:
@@ -187,41 +203,43 @@ def overlap_groups(sessions: DataFrame, unit: str = "month") -> DataFrame:
     agents present, spans, and the last end of what started before a span was over. ``since`` is the first contended
     moment, ``links`` the number of overlapping pairs, counted from both sides (see ``worktree_overlaps``) and never listed.
     """
-    keys, order = ["worktree"], ["at", "side"]
-    at, side = F.col("at"), F.col("side")
-    month = F.date_trunc(unit, at.cast("timestamp"))
-    marks = split(_marks(sessions), keys, order, month).withColumn("_at", F.struct(month.alias("cut"), F.col("_split").alias("split")))
-    change = F.when(side == 1, F.col("n")).otherwise(-F.col("n"))
-    own = scan(marks.drop("_split"), ["worktree", "agent"], order, F.col("_at"), {"_own": running_sum(change)})
-    enters, leaves = (side == 1) & (F.col("_own") == F.col("n")), (side == 0) & (F.col("_own") == 0)
-    steps = own.withColumn("_step", F.when(enters, 1).when(leaves, -1).otherwise(0)).filter((side == 1) | (F.col("_step") != 0))
-    space = Workspace(sessions.sparkSession)
-    steps = space.keep(steps.select("worktree", "at", "side", "end", "_step", "_at"))
-    reach = F.when(side == 1, F.col("end"))
-    crowd = scan(steps, keys, order, F.col("_at"), {"_crowd": running_sum(F.col("_step")), "_reach": running_max(reach)})
+    at, side, own = F.col("at"), F.col("side"), F.col("_os") - F.col("_oe")
+    enters, leaves = (side == 1) & (own == F.col("n")), (side == 0) & (own == 0)
     begins = (F.col("_step") == 1) & (F.col("_crowd") == 2)
     over = (F.col("_step") == -1) & (F.col("_crowd") == 1)
-    spans = space.keep(crowd.filter(begins | over).select("worktree", "at", "side", "_reach", "_at"))
-    reached = scan(spans, keys, order, F.col("_at"), {"_reached": last(F.when(side == 0, F.col("_reach")), inclusive=False)})
-    apart = (side == 1) & ~F.coalesce(F.col("_reached") > at, F.lit(False))
-    named = scan(reached, keys, order, F.col("_at"), {"since": last(F.when(apart, at))})
-    ends = named.filter(side == 0).select("worktree", "at", "side", "since")
-    met = space.keep(worktree_overlaps(sessions, unit)).withColumns({"at": F.col("start"), "side": F.lit(1)})
-    both = met.unionByName(ends.withColumnRenamed("since", "_since"), allowMissingColumns=True)
-    placed = scan(both, keys, order, month, {"since": last(F.col("_since"), inclusive=False)}, reverse=True, measured=True)
-    return placed.filter(side == 1).groupBy("worktree", "since").agg(
-        F.min("start").alias("first_start"), F.max("end").alias("last_end"), F.sum("n").alias("sessions"),
-        F.count_distinct("agent").alias("agents"), (F.sum(F.col("n") * F.col("overlaps")) / 2).cast("bigint").alias("links"))
+    apart = begins & ~F.coalesce(F.col("_reached") > at, F.lit(False))
+
+    def run(rows: DataFrame, by: Whole | Chunked) -> DataFrame:
+        marks = by.cut(_marks(_merged(rows)), _KEYS, _ORDER, F.date_trunc(unit, at.cast("timestamp")))
+        steps = by.scan(marks, ["worktree", "agent"], _ORDER, {"_os": running_sum(_started()), "_oe": running_sum(_ended())})
+        steps = by.keep(steps.withColumn("_step", F.when(enters, 1).when(leaves, -1).otherwise(0)))
+        crowd = by.keep(by.scan(steps, _KEYS, _ORDER, {
+            "_s": running_sum(_started()), "_e": running_sum(_ended()),
+            "_crowd": running_sum(F.col("_step")), "_reach": running_max(F.when(side == 1, F.col("end")))}))
+        reached = by.keep(by.scan(crowd, _KEYS, _ORDER, {"_reached": last(F.when(over, F.col("_reach")), inclusive=False)}))
+        named = by.keep(by.scan(reached, _KEYS, _ORDER, {"_since": last(F.when(apart, at))}))
+        placed = by.scan(named, _KEYS, _ORDER, {"_group": last(F.when(over, F.col("_since")), inclusive=False)}, reverse=True)
+        counted = placed.groupBy("worktree", "agent", "start", "end", "n").agg(
+            _overlaps().alias("overlaps"), F.max(F.when(side == 1, F.col("_group"))).alias("since"))
+        return counted.filter(F.col("overlaps") > 0).groupBy("worktree", "since").agg(
+            F.min("start").alias("first_start"), F.max("end").alias("last_end"), F.sum("n").alias("sessions"),
+            F.count_distinct("agent").alias("agents"), (F.sum(F.col("n") * F.col("overlaps")) / 2).cast("bigint").alias("links"))
+
+    return in_two(_held(sessions), _KEYS, run)
 
 
 def peak_concurrency(sessions: DataFrame, unit: str = "month") -> DataFrame:
     """Highest number of sessions open at once per worktree, from ±1 events and a running sum."""
-    # All starts and ends of one instant combine before the shuffle into at most one row per side.
-    marks = _marks(sessions).groupBy("worktree", "at", "side").agg(F.sum("n").alias("n"))
-    chunk = F.date_trunc(unit, F.col("at").cast("timestamp"))
-    step = F.when(F.col("side") == 1, F.col("n")).otherwise(-F.col("n"))
-    open_now = scan(marks, ["worktree"], ["at", "side"], chunk, {"_open": running_sum(step)})
-    return open_now.groupBy("worktree").agg(F.max("_open").alias("peak"))
+
+    def run(rows: DataFrame, by: Whole | Chunked) -> DataFrame:
+        marks = _marks(rows).withColumn("n", F.lit(1))
+        if isinstance(by, Chunked):  # all starts and ends of one instant combine before the shuffle into at most one row per side
+            marks = marks.groupBy(*_KEYS, *_ORDER).agg(F.sum("n").alias("n"))
+        marks = by.cut(marks, _KEYS, _ORDER, F.date_trunc(unit, F.col("at").cast("timestamp")))
+        open_now = by.scan(marks, _KEYS, _ORDER, {"_open": running_sum(_started() - _ended())})
+        return open_now.groupBy("worktree").agg(F.max("_open").alias("peak"))
+
+    return in_two(_held(sessions), _KEYS, run)
 
 
 def activity_sessions(log: DataFrame, keys: Sequence[str], gap_s: int, unit: str = "day") -> DataFrame:
