@@ -20,7 +20,7 @@ from ashlar.functions.text import (
 )
 from ashlar.plans.quantiles import exact_percentiles
 from ashlar.plans.loops import Workspace
-from ashlar.plans.scans import last, scan
+from ashlar.plans.scans import Chunked, Whole, in_two, last, scan
 
 # Data classes, lowest rank first, and the patterns that vote for each.
 DATA_CLASSES = {
@@ -353,9 +353,14 @@ def degraded_share(events: DataFrame, unit: str = "day") -> DataFrame:
 
 def duplicate_writes(rows: DataFrame, key: Sequence[str], payload: Sequence[str]) -> DataFrame:
     """Repeated keys: replay when all payloads are equal, conflict otherwise."""
-    # Whole payloads first: equal copies combine on the map side, so one key copied a billion times is cheap.
-    variants = rows.groupBy(*key, *payload).agg(F.count(F.lit(1)).alias("_n"))
-    found = variants.groupBy(*key).agg(F.sum("_n").alias("copies"), F.count(F.lit(1)).alias("payloads"))
+
+    def run(part: DataFrame, by: Whole | Chunked) -> DataFrame:
+        # Whole payloads first: equal copies of a large key combine on the map side, so one key copied a billion times is cheap.
+        # Small keys lie in tasks of their own, since hardly any of them combines there.
+        variants = part.groupBy(*key, *payload).agg(F.count(F.lit(1)).alias("_n"))
+        return variants.groupBy(*key).agg(F.sum("_n").alias("copies"), F.count(F.lit(1)).alias("payloads"))
+
+    found = in_two(rows.select(*dict.fromkeys([*key, *payload])), key, run)
     kind = F.when(F.col("payloads") > 1, "conflict").otherwise("replay")
     return found.filter(F.col("copies") > 1).withColumn("kind", kind)
 
