@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ashlar.plans.loops import new_folder
 
@@ -15,6 +16,8 @@ BLOCK_BYTES = 1 << 20
 #: Odd multiplier of the polynomial hashes, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: A table of hashes that marks its rows has so many places for each, and at most 2**PLACE_BITS; it is made in 2**SLICE_BITS slices.
+PLACES, PLACE_BITS, SLICE_BITS = 16, 26, 6
 #: One random 64-bit number for each byte value.
 BYTE_VALUES = np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -32,6 +35,38 @@ class Stored:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def marked(keys: DataFrame, column: str) -> Callable[[str], Column]:
+    """A condition on a column of 64-bit hashes that all those of ``keys`` meet, and few others (a Bloom filter of one hash).
+
+    It spares a shuffle rows that the join after it would drop. Beyond 2**PLACE_BITS / PLACES keys more others meet it.
+    """
+    spark = keys.sparkSession
+    bits = min(max((PLACES * keys.count()).bit_length(), 16), PLACE_BITS)
+    low = bits - SLICE_BITS
+
+    def mark(part: pa.Table) -> pa.Table:
+        place = part.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+        held = np.zeros(1 << low, bool)
+        held[place & np.uint64((1 << low) - 1)] = True
+        return pa.table({"slice": [int(place[0]) >> low], "held": [np.packbits(held, bitorder="little").tobytes()]},
+                        schema=pa.schema([("slice", pa.int32()), ("held", pa.binary())]))
+
+    parts = keys.select(F.col(column).alias("key")).groupBy(F.shiftrightunsigned("key", 64 - SLICE_BITS))
+    size = 1 << low - 3
+    places = np.zeros(size << SLICE_BITS, np.uint8)
+    for r in parts.applyInArrow(mark, "slice int, held binary").collect():
+        places[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["held"], np.uint8)
+    shared = spark.sparkContext.broadcast(places)
+
+    @F.arrow_udf("boolean")
+    def is_marked(key: pa.Array) -> pa.Array:
+        place = key.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+        held = shared.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)
+        return pa.array((held & 1).astype(bool))
+
+    return is_marked
+
+
 def text_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The text column as bytes with 64-bit offsets; null texts become empty."""
     return batch.column(column).cast(pa.large_binary()).fill_null(b"")

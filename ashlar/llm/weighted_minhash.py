@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import BASE, INVERSE, PrefixHash, Stored, blocks, mix, powers_to, signed, text_of, word_bounds
+from ashlar.llm.common import BASE, INVERSE, PrefixHash, Stored, blocks, marked, mix, powers_to, signed, text_of, word_bounds
 from ashlar.operators.graph import failure_domains
 
 SHINGLE_WORDS = 5
@@ -318,11 +318,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     members = nodes.select("node", "n_bytes", F.explode("bands").alias("bucket"))
     several = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre != other")
     several = stored.keep(several.select("bucket", "centre"), "several")  # a table, so that a skewed bucket can be split
-    live = stored.keep(members.join(several, "bucket").where("node != centre"), "live")
+    live = members.where(marked(several, "bucket")("bucket")).join(several, "bucket")
+    live = stored.keep(live.where("node != centre"), "live")
     pairs = stored.keep(live.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    keys = stored.keep(needed.join(nodes.select("node", "document"), "node"), "keys")  # rows equal in id and text are split
-    texts = stored.keep(plain.select("document", "text").join(keys, "document").select("node", "text").dropDuplicates(["node"]), "texts")
+    keys = stored.keep(needed.join(nodes.select("node", "document"), "node"), "keys")
+    wanted = plain.select("document", "text").where(marked(keys, "document")("document")).dropDuplicates(["document"])
+    texts = stored.keep(wanted.join(keys, "document").select("node", "text"), "texts")
     links = stored.keep(similar(pairs, texts, idf, similarity), "links-0")
     labels = stored.keep(components(links), "labels-0")
     named = live.select("bucket", "node", "n_bytes").join(labels, "node", "left").withColumn("label", F.coalesce("domain", "node"))
